@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,3 +35,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 def words(text: Column) -> Column:
     """Words of a text as an array; null texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once for a row, also where lambdas within use refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

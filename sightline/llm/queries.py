@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .pii import op9_pii
+from .quality import op6_quality
 from .sharding import op10_sharding
 from .simhash import op8_simhash
 from .url_filter import OP5_SQL, op5_url_filter
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_url_filter, op8_simhash, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_url_filter, op6_quality, op8_simhash, op9_pii, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {"op5_url_filter": OP5_SQL}
