@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontam import op1_decontamination
 from .pii import op9_pii
 from .quality import op6_quality
+from .sentencepiece_scan import op4_sentencepiece
 from .sharding import op10_sharding
 from .simhash import op8_simhash
 from .toxicity import op3_toxicity
 from .url_filter import OP5_SQL, op5_url_filter
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_toxicity, op5_url_filter, op6_quality, op8_simhash, op9_pii, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_sentencepiece, op5_url_filter, op6_quality, op8_simhash, op9_pii, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {"op5_url_filter": OP5_SQL}
