@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op7_chat_quotation
 from .decontam import op1_decontamination
 from .html_extract import op2_html_extraction
 from .pii import op9_pii
@@ -16,5 +17,5 @@ from .simhash import op8_simhash
 from .toxicity import op3_toxicity
 from .url_filter import OP5_SQL, op5_url_filter
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_html_extraction, op3_toxicity, op4_sentencepiece, op5_url_filter, op6_quality, op8_simhash, op9_pii, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_html_extraction, op3_toxicity, op4_sentencepiece, op5_url_filter, op6_quality, op7_chat_quotation, op8_simhash, op9_pii, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {"op5_url_filter": OP5_SQL}
