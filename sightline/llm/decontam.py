@@ -18,9 +18,11 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,45 +130,48 @@ def _bounded(text: str, low: int, high: int) -> bool:
     return (low == 0 or not text[low - 1].isalnum()) and (high == len(text) or not text[high].isalnum())
 
 
-def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, pass_chars: int = PASS_CHARS) -> DataFrame:
-    """One row per document row and item that it holds: id, item_id, edits, budget and the end of the best occurrence."""
-    spark = docs.sparkSession
+def _passes(items: DataFrame, item_col: str, item_text_col: str, pass_chars: int) -> Iterator[Broadcast]:
+    """The items, broadcast in groups of about pass_chars characters: one group but for very large test sets."""
     test = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item_text"))
-    chars = test.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()[0]
-    passes = chars // pass_chars + 1
-    found = None
-    for p in range(passes):  # one pass but for very large test sets
-        own = test.filter(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(passes)) == p)
-        shared = spark.sparkContext.broadcast([(r.item_id, r.item_text) for r in own.collect()])
+    n = test.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()[0] // pass_chars + 1
+    for p in range(n):
+        own = test.filter(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(n)) == p)
+        yield items.sparkSession.sparkContext.broadcast([(r.item_id, r.item_text) for r in own.collect()])
+
+
+def _search(shared: Broadcast, rate: float):
+    columns = ["id", "item_id", "edits", "budget", "end"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(shared.value, rate)
+        for batch in batches:
+            yield pd.DataFrame([(d, *hit) for d, text in zip(batch["id"], batch["text"], strict=True) for hit in matcher.find(text)], columns=columns)
+
+    return run
 
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(shared.value, rate)
-            for batch in batches:
-                rows = [(d, *hit) for d, text in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True) for hit in matcher.find(text)]
-                yield pd.DataFrame(rows, columns=["id", "item_id", "edits", "budget", "end"]).astype({"item_id": "int64"}) if rows else pd.DataFrame({c: [] for c in ("id", "item_id", "edits", "budget", "end")})
 
-        kind = dict(docs.dtypes)[id_col]
-        part = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(search, "id string, item_id long, edits int, budget int, end int").withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
-        found = part if found is None else found.unionByName(part)
-    return found
+def _clean(shared: Broadcast, rate: float):
+    @F.pandas_udf("boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(shared.value, rate)
+        for texts in batches:
+            yield pd.Series([not matcher.find(t) for t in texts], dtype=bool)
+
+    return run
+
+
+def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, pass_chars: int = PASS_CHARS) -> DataFrame:
+    """One row per document row and item that it holds: id, item_id, edits, budget and the end of the best occurrence."""
+    kind = dict(docs.dtypes)[id_col]
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    found = [rows.mapInPandas(_search(shared, rate), "id string, item_id long, edits int, budget int, end int") for shared in _passes(items, item_col, item_text_col, pass_chars)]
+    return reduce(DataFrame.unionByName, found).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, pass_chars: int = PASS_CHARS) -> DataFrame:
     """docs without the rows whose text holds any item. Each row is judged where it lies, so repeated or null ids don't matter."""
-    spark, test = docs.sparkSession, items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item_text"))
-    chars = test.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()[0]
-    passes = chars // pass_chars + 1
-    for p in range(passes):
-        own = test.filter(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(passes)) == p)
-        shared = spark.sparkContext.broadcast([(r.item_id, r.item_text) for r in own.collect()])
-
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            matcher = Matcher(shared.value, rate)
-            for texts in batches:
-                yield pd.Series([not matcher.find(t) for t in texts], dtype=bool)
-
-        docs = docs.filter(clean(F.col(text_col)))
+    for shared in _passes(items, item_col, item_text_col, pass_chars):
+        docs = docs.filter(_clean(shared, rate)(F.col(text_col)))
     return docs
 
 
