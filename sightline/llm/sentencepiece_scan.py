@@ -34,11 +34,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk; longer texts are split.
 CHUNK = 16_384
 #: Stretches and pairs of pieces remembered by a worker.
-CACHE = 400_000
+CACHE = 250_000
+#: Characters whose ids are handed back at once.
+FRAME_CHARS = 1_000_000
 MARK = "▁"
 
-_STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-
 
 def read_vocabulary(path: str = MODEL) -> dict:
     """Pieces with id and score, and the ids of the 256 bytes, of a SentencePiece BPE model."""
@@ -61,8 +61,11 @@ class Encoder:
         self.longest = max(map(len, self.pieces), default=1)
         self.touching = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         self.cuts = not any(MARK in p.lstrip(MARK) for p in self.pieces)
+        alphabet = set("".join(self.pieces))
+        alone = "".join(re.escape(chr(i)) for i in range(256) if chr(i) not in alphabet)  # characters that no piece holds: cuts around them are certain
+        self.stretches = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+|[{alone}]").findall if alone else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.met: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short string by its merges: the best score first, of equal ones the leftmost."""
@@ -100,28 +103,43 @@ class Encoder:
                 yield begin, piece
 
     def path(self, text: str) -> list[str]:
-        """The lattice's best path over a text: at each place one piece at most ends a path of weight 0."""
-        last: list[str | None] = [""] + [None] * len(text)
-        for end in range(1, len(text) + 1):
-            for begin, piece in self.ending(text, end, 0):
-                before = last[begin]
-                if before is not None and self.fits(before, piece):
-                    last[end] = piece
-                    break
-        out, end = [], len(text)
-        while end:
-            out.append(last[end])
-            end -= len(last[end])
-        return out[::-1]
+        """The lattice's only path of weight 0 over a text, depth first with the longest pieces first.
+
+        Whether the rest can be reached depends on the last piece alone, so each piece that fails at a place is left once and
+        for all: the search visits no more steps than the lattice has.
+        """
+        pieces, met, longest, size = self.pieces, self.met, self.longest, len(text)
+        out: list[str] = []
+        at, before, length, nexts, dead = 0, "", min(longest, size), [], set()
+        while at < size:
+            while length:
+                piece = text[at : at + length]
+                if (length == 1 or piece in pieces) and not (dead and (at, length) in dead):
+                    fits = met.get((before, piece))
+                    if self.fits(before, piece) if fits is None else fits:
+                        break
+                length -= 1
+            if length:
+                out.append(piece)
+                nexts.append(length - 1)
+                at += length
+                before, length = piece, min(longest, size - at)
+            else:
+                back = len(out.pop())
+                at -= back
+                dead.add((at, back))
+                before, length = out[-1] if out else "", nexts.pop()
+        return out
 
     def ids(self, piece: str) -> list[int]:
         found = self.pieces.get(piece)
         return [found[0]] if found else [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
 
-    def stretch(self, text: str) -> tuple[int, ...]:
+    def stretch(self, text: str) -> bytes:
+        """Ids of a stretch between certain cuts, as 32-bit numbers."""
         known = self.known.get(text)
         if known is None:
-            known = tuple(i for piece in self.path(text) for i in self.ids(piece))
+            known = np.array([i for piece in self.path(text) for i in self.ids(piece)], dtype=np.int32).tobytes()
             if len(text) <= 64:
                 if len(self.known) > CACHE:
                     self.known.clear()
@@ -130,13 +148,9 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a marked text (spaces already MARK) that begins and ends between pieces."""
-        if not self.cuts:
-            return np.array(self.stretch(text), dtype=np.int32)
-        out: list[int] = []
-        get = self.known.get
-        for part in _STRETCH.findall(text):
-            out.extend(get(part) or self.stretch(part))
-        return np.array(out, dtype=np.int32)
+        get, stretch = self.known.get, self.stretch
+        parts = self.stretches(text) if self.cuts else [text] * bool(text)
+        return np.frombuffer(b"".join([get(part) or stretch(part) for part in parts]), dtype=np.int32)
 
     def over(self, text: str, cut: int) -> list[tuple[int, int]]:
         """Pieces that may lie over a cut, as characters before it (1 or more) and behind it (0 or more)."""
@@ -213,21 +227,20 @@ def states_at_cuts(matrices: list[np.ndarray]) -> list[int]:
     return states
 
 
-def decode_ids(ids, pieces: list[str], bytes_: dict[int, int], first: bool = True) -> str:
+def decoding_table(vocabulary: dict) -> list[str]:
+    """Text of each id. Bytes below 128 are characters; others are kept as lone surrogates until a text is whole."""
+    table = {i: p.replace(MARK, " ") for p, (i, _) in vocabulary["pieces"].items()}
+    table |= {i: chr(b) if b < 128 else chr(0xDC00 + b) for b, i in enumerate(vocabulary["bytes"])}
+    return [table.get(i, "") for i in range(max(table) + 1)]
+
+
+def decode_ids(ids: list[int], table: list[str], first: bool = True) -> str:
     """The text of ids; the mark before a text's first word goes if the ids are those of its first chunk."""
-    out, pending = [], bytearray()
-    for i in ids:
-        b = bytes_.get(i)
-        if b is not None:
-            pending.append(b)
-            continue
-        if pending:
-            out.append(pending.decode("utf-8", "replace"))
-            pending = bytearray()
-        out.append(pieces[i])
-    if pending:
-        out.append(pending.decode("utf-8", "replace"))
-    text = "".join(out).replace(MARK, " ")
+    text = "".join(map(table.__getitem__, ids))
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
     return text[1:] if first and text[:1] == " " else text
 
 
@@ -255,7 +268,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 text = r.marked[r.begin : r.end]
                 out.append((r.id, r.chunk, r.n_chunks, encoder.encode(text), *[text.replace(MARK, " ")[not r.chunk :]] * keep_text))
                 size += len(text)
-                if size > 4_000_000:
+                if size > FRAME_CHARS:
                     yield frames(out)
                     out, size = [], 0
             if out:
@@ -302,15 +315,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
 def decode(encoded: DataFrame, model: str = MODEL, ids_col: str = "ids", chunk_col: str = "chunk", into: str = "decoded") -> DataFrame:
     """encoded with the text of each row's ids; a text is its chunks' texts joined in order. Null ids give a null text."""
-    vocabulary = read_vocabulary(model)
-    table = {i: p for p, (i, _) in vocabulary["pieces"].items()}
-    shared = encoded.sparkSession.sparkContext.broadcast(([table.get(i, "") for i in range(max([*table, *vocabulary["bytes"]]) + 1)], {i: b for b, i in enumerate(vocabulary["bytes"])}))
+    shared = encoded.sparkSession.sparkContext.broadcast(decoding_table(read_vocabulary(model)))
 
     @F.pandas_udf("string")
     def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        pieces, bytes_ = shared.value
         for ids, chunks in batches:
-            yield pd.Series([None if i is None else decode_ids(i.tolist(), pieces, bytes_, c == 0) for i, c in zip(ids, chunks, strict=True)], dtype=object)
+            yield pd.Series([None if i is None else decode_ids(i.tolist(), shared.value, c == 0) for i, c in zip(ids, chunks, strict=True)], dtype=object)
 
     return encoded.withColumn(into, text(F.col(ids_col), F.col(chunk_col)))
 
