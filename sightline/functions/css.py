@@ -167,12 +167,16 @@ def expand_shorthands(styles: Column) -> Column:
     found.append(entry("font-family", first("font", lambda w: ~slanted(w) & ~heavy(w) & ~sized(w) & (w != ""))))
 
     kept = F.map_filter(styles, lambda k, v: ~one_of(k, C.SHORTHANDS))
-    given = F.map_filter(kept, lambda k, v: v.isNotNull() & (v != ""))
-    new = F.filter(F.array(*found), lambda e: e["value"].isNotNull() & ~F.map_contains_key(given, e["key"]))
-    once = F.filter(new, lambda e, i: ~F.exists(F.slice(new, 1, i), lambda b: b["key"] == e["key"]))
-    rest = F.map_filter(kept, lambda k, v: ~F.exists(new, lambda e: e["key"] == k))
+
+    def filled(entries: Column, own: Column) -> Column:
+        """own with the entries for keys that it has no value of; the first entry of a key counts."""
+        open_ = lambda e: e["value"].isNotNull() & (F.coalesce(F.element_at(own, e["key"]), F.lit("")) == "")
+        first = lambda e, i, new: F.array_position(F.transform(new, lambda x: x["key"]), e["key"]) == i + 1
+        put = lambda new: F.map_concat(F.map_filter(own, lambda k, v: ~F.exists(new, lambda e: e["key"] == k)), F.map_from_entries(F.filter(new, lambda e, i: first(e, i, new))))
+        return let(F.filter(entries, open_), put)
+
     has_short = F.exists(F.map_keys(styles), lambda k: one_of(k, C.SHORTHANDS))
-    return F.when(has_short, F.map_concat(rest, F.map_from_entries(once))).otherwise(styles)
+    return F.when(has_short, let(F.struct(F.array(*found).alias("f"), kept.alias("k")), lambda x: filled(x["f"], x["k"]))).otherwise(styles)
 
 
 def normalize_styles(styles: Column) -> Column:
