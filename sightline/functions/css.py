@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column
@@ -84,7 +85,7 @@ def hsl_to_rgba(text: Column) -> Column:
 def normalize_color(value: Column) -> Column:
     """rgba(r, g, b, a) of names, hex, rgb() and hsl(); keywords in lower case; anything else as it was."""
     text = F.lower(F.trim(value))
-    names = F.create_map(*[F.lit(x) for pair in C.named_colors().items() for x in pair])
+    names = F.from_json(F.lit(json.dumps(C.named_colors())), "map<string,string>")
     return (
         F.when(text == "transparent", "rgba(0, 0, 0, 0)")
         .when(one_of(text, C.COLOR_KEYWORDS), text)
@@ -144,7 +145,8 @@ def expand_shorthands(styles: Column) -> Column:
     """styles without shorthands; longhands that were absent or empty come from them, earlier shorthands first."""
     entry = lambda name, value: F.struct(F.lit(name).alias("key"), value.alias("value"))
     of = lambda name: F.nullif(F.element_at(styles, F.lit(name)), F.lit(""))
-    found = [entry(long, F.get(side_values(of(short)), F.lit(i))) for short, longs in C.FOUR_SIDES.items() for i, long in enumerate(longs)]
+    sides = {short: side_values(of(short)) for short in C.FOUR_SIDES}
+    found = [entry(long, F.get(sides[short], F.lit(i))) for short, longs in C.FOUR_SIDES.items() for i, long in enumerate(longs)]
 
     words = lambda name: F.split(F.coalesce(of(name), F.lit("")), r"\s+")
     last = lambda name, test: F.element_at(F.filter(words(name), test), -1)
@@ -153,7 +155,7 @@ def expand_shorthands(styles: Column) -> Column:
     is_style = lambda w: one_of(w, C.BORDER_STYLES)
     tries = (("width", is_width), ("style", is_style), ("color", lambda w: ~is_width(w) & ~is_style(w) & (w != "")))
     for kind, test in tries:  # a border's part counts only where the top side has none yet
-        top = F.coalesce(of(f"border-top-{kind}"), F.get(side_values(of(f"border-{kind}")), F.lit(0)))
+        top = F.coalesce(of(f"border-top-{kind}"), F.get(sides[f"border-{kind}"], F.lit(0)))
         part = F.when(top.isNull(), F.try_element_at(F.filter(words("border"), test), F.lit(-1)))
         found += [entry(f"border-{side}-{kind}", part) for side in ("top", "right", "bottom", "left")]
     background = F.coalesce(of("background"), F.lit(""))
