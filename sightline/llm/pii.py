@@ -149,17 +149,23 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col), F.concat(*[_spans(text, k) for k in KINDS]).alias("spans"))
 
 
+def _redacted(text: Column, kind: Kind) -> Column:
+    matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    put = F.zip_with(matches, _hits(text, kind), lambda m, h: F.when(h["ok"], F.lit(f"[{kind.name.upper()}]")).otherwise(m))
+    whole = F.array_join(F.zip_with(F.split(text, kind.pattern, -1), put, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
+    return F.when(text.rlike(kind.hint), whole).otherwise(text)
+
+
 def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with each span's text replaced by its kind in brackets, kind by kind."""
-    out = docs
+    """docs with each span's text replaced by its kind in brackets, kind by kind.
+
+    Each kind's result is bound once: written out, the expression would grow as a power of the number of kinds wherever
+    a filter on the new text is pushed below.
+    """
+    text = F.col(text_col)
     for kind in KINDS:
-        text, tag = F.col(text_col), F.lit(f"[{kind.name.upper()}]")
-        matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-        put = F.zip_with(matches, _hits(text, kind), lambda m, h: F.when(h["ok"], tag).otherwise(m))  # noqa: B023
-        gaps = F.split(text, kind.pattern, -1)
-        whole = F.array_join(F.zip_with(gaps, put, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
-        out = out.withColumn(text_col, F.when(text.rlike(kind.hint), whole).otherwise(text))
-    return out
+        text = let(text, lambda t: _redacted(t, kind))  # noqa: B023
+    return docs.withColumn(text_col, text)
 
 
 def joined(spans: Column) -> Column:
