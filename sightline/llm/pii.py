@@ -77,7 +77,7 @@ def mod97_holds(iban: Column) -> Column:
     """ISO 7064 mod 97-10 of an account number, its first four characters moved to the end."""
     turned = F.concat(F.substring(iban, 5, 40), F.substring(iban, 1, 4))
     step = lambda acc, c: F.when(c.rlike("[0-9]"), (acc * 10 + c.cast("int")) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
-    return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), lambda acc, c: step(acc, c).cast("int")) == 1
+    return F.aggregate(F.filter(F.split(turned, "(?!^)"), lambda c: c != ""), F.lit(0), lambda acc, c: step(acc, c).cast("int")) == 1
 
 
 def _valid(kind: str, match: Column) -> Column:
