@@ -161,27 +161,32 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 4, blocks: int = 6) -> DataFrame:
-    """One row per input row: id, text_hash, fp (long) and component_id, the smallest id that links reach."""
+    """One row per input row: id, text_hash, fp (long), root (the component's own fingerprint) and component_id, the smallest id that links reach."""
     rows = stash(with_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = stash(rows.groupBy("fp").agg(F.min(id_col).alias("__least")), "distinct-fingerprints")
     found = components(links(distinct.select("fp"), radius, blocks))
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("__least").alias("component_id"))
-    of_fp = stash(rooted.join(least, "root").select("fp", "component_id"), "fingerprint-components")
-    return rows.join(of_fp, "fp").select(id_col, "text_hash", "fp", "component_id")
+    of_fp = stash(rooted.join(least, "root").select("fp", "root", "component_id"), "fingerprint-components")
+    return rows.join(of_fp, "fp").select(id_col, "text_hash", "fp", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 7, blocks: int = 9) -> DataFrame:
     """docs with one row of each component: that of the smallest id (of several such rows, one)."""
-    judged = near_duplicates(docs, id_col, text_col, shingle, radius, blocks)
-    kept = judged.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("n"))
-    kept = stash(kept.select(F.col("component_id").alias("__id"), F.col("text_hash").alias("__hash"), "n"), "kept-documents")
+    return keep_one_a_root(docs, near_duplicates(docs, id_col, text_col, shingle, radius, blocks), id_col, text_col)
+
+
+def keep_one_a_root(docs: DataFrame, rooted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row of each root of rooted (id, text_hash, root): the smallest by id, nulls last, then by text_hash; of equal rows one."""
+    alike = rooted.groupBy("root", F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("n"))
+    least = alike.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__hash", "n")).alias("least"))
+    kept = stash(least.select("least.__id", "least.__hash", "least.n"), "kept-documents")
     rows = docs.withColumn("__row_hash", F.xxhash64(text_col))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__row_hash") == F.col("__hash"))
     out = rows.join(kept.filter("n = 1").drop("n"), same, "left_semi")
     tied = kept.filter("n > 1").drop("n")
-    if not tied.isEmpty():  # repeated ids: one row of each
-        out = out.unionByName(rows.join(tied, same, "left_semi").dropDuplicates([id_col]))
+    if not tied.isEmpty():  # repeated rows: one of each
+        out = out.unionByName(rows.join(tied, same, "left_semi").dropDuplicates([id_col, "__row_hash"]))
     return out.drop("__row_hash")
 
 
