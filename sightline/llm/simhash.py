@@ -11,6 +11,11 @@ Defined results
 * equal texts share a fingerprint and are linked through it; repeated ids are fine, the component's id is the smallest id;
 * null ids: they take part, and a component of null ids only has a null id;
 * an empty table gives an empty result; other columns are not looked at.
+
+The stage that drops near-duplicates asks for a Jaccard similarity of the shingle sets, which differing bits tell only
+roughly (0.8 is about 10 of 64 bits, a radius that leaves no useful blocks). There, documents meet that agree on all
+BAND_ROWS MinHashes of one of BANDS bands: pairs at 0.8 with probability 0.998, at 0.85 and more above 0.9998. Only
+pairs whose similarity, computed from their shingle sets, reaches the threshold become links; equal sets need no check.
 """
 
 from __future__ import annotations
@@ -32,6 +37,12 @@ N_PIVOTS = 16
 BLOCK_ROWS = 4096
 #: Shingles whose bits are counted at once.
 SLAB = 1 << 16
+#: MinHash bands, and hashes in each.
+BANDS, BAND_ROWS = 16, 5
+#: Shingles that are hashed anew for all MinHashes at once, and shingles that one comparison takes from a bucket.
+MIN_SLAB, BLOCK_SHINGLES = 1 << 11, 1 << 21
+_DRAWN = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
+_TURN, _FACTOR = _DRAWN[0], _DRAWN[1] | np.uint64(1)
 
 
 def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
@@ -171,9 +182,118 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of_fp, "fp").select(id_col, "text_hash", "fp", "root", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 7, blocks: int = 9) -> DataFrame:
-    """docs with one row of each component: that of the smallest id (of several such rows, one)."""
-    return keep_one_a_root(docs, near_duplicates(docs, id_col, text_col, shingle, radius, blocks), id_col, text_col)
+def shingle_set(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """The distinct XXH64 of all shingles, ascending; words as in fingerprint."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return np.zeros(0, dtype=np.uint64)
+    n, digest = max(1, len(tokens) - shingle + 1), xxhash.xxh64_intdigest
+    parts = [np.array([digest(b" ".join(tokens[i : i + shingle]), seed) for i in range(begin, min(n, begin + SLAB))], dtype=np.uint64) for begin in range(0, n, SLAB)]
+    return np.unique(np.concatenate(parts))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One key for each band; an empty set has none."""
+    if not len(shingles):
+        return np.zeros(0, dtype=np.int64)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for begin in range(0, len(shingles), MIN_SLAB):
+        np.minimum(least, ((shingles[None, begin : begin + MIN_SLAB] ^ _TURN) * _FACTOR).min(axis=1), out=least)
+    return np.array([xxhash.xxh64_intdigest(own.tobytes(), i) for i, own in enumerate(least.reshape(BANDS, BAND_ROWS))], dtype=np.uint64).view(np.int64)
+
+
+def with_bands(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """Id, text_hash, node (a hash of the shingle set, 0 of the empty one), n (its size) and bands."""
+
+    @F.pandas_udf("node long, n int, bands array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            nodes, sizes, bands = [], [], []
+            for t in texts:
+                own = shingle_set(t, shingle)
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 3) if len(own) else 0)
+                sizes.append(len(own))
+                bands.append(band_keys(own))
+            yield pd.DataFrame({"node": np.array(nodes, dtype=np.uint64).view(np.int64), "n": np.array(sizes, dtype=np.int32), "bands": bands})
+
+    return docs.select(F.col(id_col), F.xxhash64(text_col).alias("text_hash"), of(F.col(text_col)).alias("s")).select(id_col, "text_hash", "s.*")
+
+
+def similar_in_bucket(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """For each shingle set the number of the first one that links of the threshold or more reach; every pair is compared."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    ends, label = np.cumsum(sizes), np.arange(n)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    owner, begins = np.repeat(label, sizes)[order], np.concatenate([[0], np.cumsum(np.bincount(code))])
+    for i in range(n - 1):
+        shared = [owner[begins[c] : begins[c + 1]] for c in code[ends[i] - sizes[i] : ends[i]]]
+        both = np.bincount(np.concatenate(shared), minlength=n)[i + 1 :]
+        near = np.flatnonzero(both / (sizes[i] + sizes[i + 1 :] - both) >= threshold) + i + 1
+        if len(near):
+            own = np.unique(label[np.append(near, i)])
+            label[np.isin(label, own)] = own[0]
+    return label
+
+
+def _similar(threshold: float):
+    """Links within buckets as edges from each node to its first; rows come sorted by bucket."""
+
+    def edges(nodes: list[int], sets: list[np.ndarray]) -> pd.DataFrame:
+        nodes, label = np.array(nodes, dtype=np.int64), similar_in_bucket(sets, threshold) if len(sets) > 1 else np.zeros(len(sets), np.int64)
+        moved = label != np.arange(len(nodes))
+        return pd.DataFrame({"u": nodes[moved], "v": nodes[label[moved]]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, nodes, sets, held = None, [], [], []
+        for batch in batches:
+            for bucket, node, own in zip(batch["bucket"], batch["node"], batch["shingles"], strict=True):
+                if bucket != key:
+                    held.append(edges(nodes, sets))
+                    key, nodes, sets = bucket, [], []
+                nodes.append(node)
+                sets.append(np.array(own, dtype=np.int64))
+            if held:
+                yield pd.concat(held)
+                held = []
+        yield edges(nodes, sets)
+
+    return run
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row per input row: id, text_hash and root, the component's own node; links are pairs of the threshold or more.
+
+    All pairs of a bucket are compared by their shingle sets. A bucket of many documents or shingles is dealt out to all
+    pairs of its blocks, so that no task holds it whole.
+    """
+
+    @F.pandas_udf("array<long>")
+    def set_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingle_set(t, shingle).view(np.int64) for t in texts], dtype=object)
+
+    rows = stash(with_bands(docs, id_col, text_col, shingle), "bands")
+    nodes = stash(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("text_hash").alias("text_hash")), "distinct-sets")
+    spread = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    buckets = spread.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("size")).filter("members > 1")
+    met = stash(spread.join(buckets, "bucket").select("bucket", "node", "members", "size"), "bucket-members")
+    wanted = met.select("node").distinct().join(nodes.select("node", "text_hash"), "node")
+    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).join(wanted, "text_hash")
+    sets = stash(texts.groupBy("node").agg(F.first("text").alias("text")).select("node", set_of("text").alias("shingles")), "candidate-sets")
+
+    n_blocks = F.least("members", F.ceil(F.greatest(2 * F.col("members") / block_rows, 2 * F.col("size") / BLOCK_SHINGLES))).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(1), "node"), n_blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda other: F.xxhash64("bucket", F.least(own, other), F.greatest(own, other)))
+    whole = (F.col("members") <= block_rows) & (F.col("size") <= BLOCK_SHINGLES)
+    dealt = met.select("node", F.explode(F.when(whole, F.array("bucket")).otherwise(pairs)).alias("bucket")).join(sets, "node")
+    links = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_similar(threshold), "u long, v long")
+    return rows.join(components(links), "node", "left").select(id_col, "text_hash", F.coalesce(F.col("root"), F.col("node")).alias("root"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """docs with one row of each component of documents that are similar by threshold or more: that of the smallest id (of several such rows, one)."""
+    return keep_one_a_root(docs, similar_components(docs, id_col, text_col, shingle, threshold), id_col, text_col)
 
 
 def keep_one_a_root(docs: DataFrame, rooted: DataFrame, id_col: str, text_col: str) -> DataFrame:
