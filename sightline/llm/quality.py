@@ -26,8 +26,6 @@ from .common import let, words
 N_BUCKETS = 10_000
 #: Added to each bucket's share, as a share of an even spread.
 SMOOTHING = 0.05
-#: Trusted rows that the trusted multinomial is counted from at most; their ids are broadcast.
-TRUSTED_MAX = 20_000
 #: Lowest mean log-likelihood ratio that passes.
 THRESHOLD = -0.25
 
@@ -78,12 +76,12 @@ def ngram_buckets(text: Column, n_buckets: int = N_BUCKETS) -> Column:
     return let(tokens, lambda t: F.when(F.size(t) > 1, F.concat(F.transform(t, lambda x: bucket(x)), pairs(t))).otherwise(F.transform(t, lambda x: bucket(x))))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = N_BUCKETS, trusted_max: int = TRUSTED_MAX) -> list[float]:
-    """log p_trusted - log p_corpus of each bucket. trusted holds the ids of trusted rows; of more than trusted_max
-    those with the smallest hashes are used. The corpus's counts cover all n-grams of all rows.
+def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = N_BUCKETS) -> list[float]:
+    """log p_trusted - log p_corpus of each bucket. trusted holds the ids of trusted rows; the counts cover all n-grams
+    of all trusted rows, and of all rows.
     """
-    ids = trusted.select(F.col(id_col)).distinct().orderBy(F.xxhash64(id_col), id_col).limit(trusted_max).withColumn("__trusted", F.lit(1))
-    marked = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("__text")).join(F.broadcast(ids), id_col, "left")  # trusted_max ids at most
+    ids = trusted.select(F.col(id_col)).distinct().withColumn("__trusted", F.lit(1))
+    marked = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("__text")).join(ids, id_col, "left")  # Spark broadcasts few ids and splits skewed partitions of many
     counts = marked.select("__trusted", F.explode(ngram_buckets(F.col("__text"), n_buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__trusted").alias("good"))
     raw, good = np.zeros(n_buckets), np.zeros(n_buckets)
     for r in counts.collect():  # n_buckets rows at most
@@ -94,9 +92,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     return (share(good) - share(raw)).tolist()
 
 
-def judge_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n_buckets: int = N_BUCKETS, trusted_max: int = TRUSTED_MAX) -> DataFrame:
+def judge_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n_buckets: int = N_BUCKETS) -> DataFrame:
     """Base counts, base_failed, score (mean log-likelihood ratio) and kept for each row."""
-    weights = F.from_json(F.lit(json.dumps(log_ratios(docs, trusted, id_col, text_col, n_buckets, trusted_max))), "array<double>")
+    weights = F.from_json(F.lit(json.dumps(log_ratios(docs, trusted, id_col, text_col, n_buckets))), "array<double>")
     text = F.coalesce(F.col(text_col), F.lit(""))
     mean = lambda b: F.when(F.size(b) > 0, F.aggregate(b, F.lit(0.0), lambda acc, x: acc + F.get(weights, x)) / F.size(b)).otherwise(0.0)
     counts = docs.select(F.col(id_col), base_counts(text).alias("__counts"), let(ngram_buckets(text, n_buckets), mean).alias("score")).select(id_col, "__counts.*", "score")
