@@ -41,6 +41,7 @@ class Kind:
     base: bool
     score: float
     context: str
+    least: int  # fewest code points from the start of a match to that of the next
 
 
 #: A run's first character, or the place where the match before ended.
@@ -48,16 +49,16 @@ _FRESH = r"(?:(?<![{0}])|\G)"
 
 KINDS = [
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
-    Kind("email", _FRESH.format("A-Za-z0-9._%+-") + r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++", "@", True, 0.9, r"mail|contact|kontakt|correo|courriel"),
+    Kind("email", _FRESH.format("A-Za-z0-9._%+-") + r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++", "@", True, 0.9, r"mail|contact|kontakt|correo|courriel", 5),
     # [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
-    Kind("ip", _FRESH.format("0-9") + r"[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)", r"[0-9]\.[0-9]", True, 0.6, r"\bip\b|address|host|server|adresse"),
+    Kind("ip", _FRESH.format("0-9") + r"[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)", r"[0-9]\.[0-9]", True, 0.6, r"\bip\b|address|host|server|adresse", 7),
     # [0-9]([\x20-]?[0-9])+
-    Kind("card", r"[0-9]([\x20-]?[0-9])++", r"[0-9]{2}", True, 0.6, r"card|visa|credit|karte|carte|tarjeta"),
+    Kind("card", r"[0-9]([\x20-]?[0-9])++", r"[0-9]{2}", True, 0.6, r"card|visa|credit|karte|carte|tarjeta", 3),
     # \+[0-9][\x20().0-9-]+[0-9]
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", True, 0.6, r"phone|tel|call|mobile|fax"),
-    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+\b", r"[A-Z]{2}[0-9]{2}", False, 0.3, r"iban|account|konto|compte|cuenta"),
-    Kind("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", r"[0-9]-[0-9]", False, 0.3, r"ssn|social|security"),
-    Kind("secret", r"\b[A-Za-z0-9_+/=-]{24,}+", r"[A-Za-z0-9_+/=-]{24}", False, 0.3, r"token|secret|password|passwd|api.?key|credential"),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", True, 0.6, r"phone|tel|call|mobile|fax", 3),
+    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+\b", r"[A-Z]{2}[0-9]{2}", False, 0.3, r"iban|account|konto|compte|cuenta", 15),
+    Kind("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", r"[0-9]-[0-9]", False, 0.3, r"ssn|social|security", 11),
+    Kind("secret", r"\b[A-Za-z0-9_+/=-]{24,}+", r"[A-Za-z0-9_+/=-]{24}", False, 0.3, r"token|secret|password|passwd|api.?key|credential", 24),
 ]
 
 _OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
@@ -103,22 +104,39 @@ def _checksummed(kind: str) -> bool:
 
 
 def _ends(piece: Column) -> Column:
-    """Length and both ends of the text between two matches."""
+    """Length and both ends of a match, or of the text between two."""
     return F.struct(F.length(piece).alias("n"), F.lower(F.substring(piece, 1, CONTEXT)).alias("head"), F.lower(F.right(piece, F.lit(CONTEXT))).alias("tail"))
 
 
+def _near(parts: Column, i: Column, kind: Kind) -> Column:
+    """The CONTEXT code points before and after match i, whatever lies there: they reach past as many matches as fit in."""
+    reach = -(-CONTEXT // kind.least)
+    before = lambda: F.array_join(F.slice(parts["back"], F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach))), "")
+    after = lambda: F.array_join(F.slice(parts["on"], i + 2, F.lit(reach)), "")
+    left, right = F.get(parts["ends"], i), F.get(parts["ends"], i + 1)
+    head = F.when(left["n"] >= CONTEXT, left["tail"]).otherwise(F.right(F.concat(before(), left["tail"]), F.lit(CONTEXT)))
+    tail = F.when(right["n"] >= CONTEXT, right["head"]).otherwise(F.substring(F.concat(right["head"], after()), 1, CONTEXT))
+    return F.concat_ws(" ", head, tail)
+
+
 def _hits(text: Column, kind: Kind) -> Column:
     """Gap before, length, validity and score of each match of a kind."""
 
-    def hit(ends: Column, match: Column, i: Column) -> Column:
-        near = F.concat_ws(" ", F.get(ends, i)["tail"], F.get(ends, i + 1)["head"])
-        score = F.lit(kind.score) + (0.4 if _checksummed(kind.name) else 0.0) + F.when(near.rlike(kind.context), 0.3).otherwise(0.0)
+    def hit(parts: Column, match: Column, i: Column) -> Column:
+        score = F.lit(kind.score) + (0.4 if _checksummed(kind.name) else 0.0) + F.when(_near(parts, i, kind).rlike(kind.context), 0.3).otherwise(0.0)
         score = F.least(score, F.lit(1.0))
         valid = _valid(kind.name, match)
-        return F.struct(F.get(ends, i)["n"].alias("gap"), F.length(match).alias("n"), (valid if kind.base else valid & (score >= MIN_SCORE)).alias("ok"), score.alias("score"))
+        return F.struct(F.get(parts["ends"], i)["n"].alias("gap"), F.length(match).alias("n"), (valid if kind.base else valid & (score >= MIN_SCORE)).alias("ok"), score.alias("score"))
+
+    def parts(ends: Column, own: Column) -> Column:
+        """ends, and for each match the end of the text up to it (its gap and itself) and the beginning of the text from it on (itself and the next gap)."""
+        back = F.transform(own, lambda m, i: F.concat(F.get(ends, i)["tail"], m["tail"]))
+        on = F.transform(own, lambda m, i: F.concat(m["head"], F.get(ends, i + 1)["head"]))
+        return F.struct(ends.alias("ends"), back.alias("back"), on.alias("on"))
 
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    return let(F.transform(F.split(text, kind.pattern, -1), _ends), lambda ends: F.transform(matches, lambda m, i: hit(ends, m, i)))
+    bound = lambda found, ends: let(let(F.transform(found, _ends), lambda own: parts(ends, own)), lambda p: F.transform(found, lambda m, i: hit(p, m, i)))
+    return let(matches, lambda found: let(F.transform(F.split(text, kind.pattern, -1), _ends), lambda ends: bound(found, ends)))
 
 
 def _spans(text: Column, kind: Kind) -> Column:
