@@ -5,17 +5,26 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 #: Buckets of hashed features.
 N_FEATURES = 1 << 13
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "template", "noscript", "svg", "iframe", "title", "math", "object")}
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"""[>"']""")
 _NAMING = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements whose inside is no text of the page. Without an end tag, the latter kinds end at once and the former take the rest.
+RAW = frozenset("script style title".split())
+HIDDEN = frozenset("template svg iframe".split())
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW | HIDDEN}
+#: Open blocks on top of each other; deeper ones become siblings, as browsers have it.
+MAX_DEPTH = 512
+
+#: Elements within a line of text, and those that leave their inside as it is.
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr object noscript math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Start tags that end an open element of the listed kinds, up to the nearest of the scope's.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -34,13 +43,76 @@ class Tree:
     links: list[int] = field(default_factory=list)  # characters of each run within links
 
 
+class Scanner:
+    """Text and tags of a page from left to right: (text, tag, attributes, is an end tag); each character is looked at a bounded number of times."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, page.rfind(">")
+        self.quoting = True
+        self.unclosed: set[str] = set()
+
+    def tag_end(self, at: int) -> int:
+        """Behind the > that ends a tag; one within a quoted value doesn't. -1 if the page ends within the tag."""
+        page, i = self.page, at
+        if at > self.last:
+            return -1
+        while self.quoting:
+            stop = _STOP.search(page, i)
+            if not stop:
+                self.quoting = False  # an open quote somewhere: from here on, quotes don't count
+                break
+            if stop[0] == ">":
+                return stop.end()
+            i = stop.end()
+            if page[at : i - 1].rstrip()[-1:] == "=" if i - at < 64 else page[i - 64 : i - 1].rstrip()[-1:] == "=":
+                close = page.find(stop[0], i)
+                i = close + 1 if close >= 0 else i
+        return page.find(">", at) + 1
+
+    def __iter__(self) -> Iterator[tuple[str, str, str, bool]]:
+        page, at, begin = self.page, 0, 0
+        while (at := page.find("<", at)) >= 0:
+            mark = page[at + 1 : at + 2]
+            name = _NAME.match(page, at + 2 if mark == "/" else at + 1)
+            if not name and mark not in "!?/" or not mark:
+                at += 1  # a plain <
+                continue
+            text = page[begin:at]
+            if name:
+                end = self.tag_end(name.end())
+                tag, attributes = name[0].lower(), page[name.end() : end - 1]
+            elif page.startswith("<!--", at):
+                short = page.startswith((">", "->"), at + 4)
+                end = page.find(">" if short else "-->", at + 4)
+                end, tag, attributes = end + (1 if short else 3) if end >= 0 else -1, "", ""
+            else:
+                end, tag, attributes = page.find(">", at) + 1 or -1, "", ""
+            at = begin = end if end >= 0 else len(page)  # a page that is cut within a tag or comment ends there
+            if end < 0:
+                tag = ""
+            if mark != "/" and tag in _RAW_END and not attributes.endswith("/"):
+                close = None if tag in self.unclosed else _RAW_END[tag].search(page, at)
+                if close:
+                    at = begin = close.end()
+                elif tag in RAW:
+                    at = begin = len(page)
+                else:
+                    self.unclosed.add(tag)
+                tag = ""
+            yield text, tag, attributes, mark == "/"
+        yield page[begin:], "", "", False
+
+
 def parse(page: str | None) -> Tree:
     """Tolerates unclosed and stray tags; a page without elements is one body. Comments, scripts and styles are left out."""
     tree, stack = Tree(), []
     text: list[str] = []
-    page, at, linked, in_link = page or "", 0, 0, False
+    where: dict[str, list[int]] = defaultdict(list)  # places in the stack of each open tag
+    linked, in_link = 0, False
 
     def opened(tag: str, attributes: str) -> None:
+        if len(stack) >= MAX_DEPTH:
+            closed(len(stack) - 1)
         tree.tags.append(tag)
         tree.parents.append(stack[-1] if stack else -1)
         tree.depths.append(len(stack))
@@ -54,8 +126,13 @@ def parse(page: str | None) -> Tree:
         tree.names.append(names)
         tree.labels.append(label)
         if tag not in VOID:
+            where[tag].append(len(stack))
             stack.append(len(tree.tags) - 1)
 
+    def closed(down_to: int) -> None:
+        while len(stack) > down_to:
+            where[tree.tags[stack.pop()]].pop()
+
     def flush() -> None:
         nonlocal linked
         if text:
@@ -71,53 +148,35 @@ def parse(page: str | None) -> Tree:
                 tree.links.append(min(linked, len(run)))
         linked = 0
 
-    while at < len(page):
-        token = _TOKEN.search(page, at)
-        end = token.start() if token else len(page)
-        if end > at:
-            text.append(page[at:end])
+    for before, tag, attributes, ends in Scanner(page or ""):
+        if before:
+            text.append(before)
             if in_link:
-                linked += end - at
-        if not token:
-            break
-        at = token.end()
-        tag = (token[2] or "").lower()
+                linked += len(before)
         if not tag:
             continue
-        if token[1]:
-            if tag in INLINE:
-                in_link = in_link and tag != "a"
-            elif any(tree.tags[i] == tag for i in stack):
-                flush()
-                in_link = False
-                while tree.tags[stack.pop()] != tag:
-                    pass
-            continue
-        if tag in _RAW_END and not token[3].endswith("/"):
-            close = _RAW_END[tag].search(page, at)
-            at = close.end() if close else len(page)
-            continue
         if tag in INLINE:
             if tag == "a":
-                in_link = True
-            elif tag in ("br", "wbr", "img"):
-                text.append(" " if tag == "br" else "")
-            continue
-        flush()
-        in_link = False
-        if stack and tree.tags[stack[-1]] == "p":
-            stack.pop()
-        if tag in ENDS:
-            kinds, scope = ENDS[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if tree.tags[stack[k]] in scope:
-                    break
-                if tree.tags[stack[k]] in kinds:
-                    del stack[k:]
-                    break
-        opened(tag, token[3])
-        if token[3].endswith("/") and stack and stack[-1] == len(tree.tags) - 1:
-            stack.pop()
+                in_link = not ends
+            elif tag == "br":
+                text.append(" ")
+        elif ends:
+            if where[tag]:
+                flush()
+                in_link = False
+                closed(where[tag][-1])
+        else:
+            flush()
+            in_link = False
+            if stack and tree.tags[stack[-1]] == "p":
+                closed(len(stack) - 1)
+            if tag in ENDS:
+                kinds, scope = (max((where[t][-1] for t in own if where[t]), default=-1) for own in ENDS[tag])
+                if kinds > scope:
+                    closed(kinds)
+            opened(tag, attributes)
+            if attributes.endswith("/") and stack and stack[-1] == len(tree.tags) - 1:
+                closed(len(stack) - 1)
     flush()
     return tree
 
