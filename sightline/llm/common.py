@@ -19,9 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """One folder an application within spark.checkpoint.dir, which driver and executors share; it can go when the application has ended.
+
+    Only in local mode, as in tests, a temporary folder stands in where that option is unset.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None)
-    return given.rstrip("/") if given else os.path.join(tempfile.gettempdir(), "sightline-shared")
+    if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        given = os.path.join(tempfile.gettempdir(), "sightline-shared")
+    return f"{given.rstrip('/')}/sightline-{spark.sparkContext.applicationId}"
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -32,6 +39,21 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it until df has no such column (in any case)."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def making_room(df: DataFrame, *names: str) -> DataFrame:
+    """df whose columns of these names, which an operator is about to add, have `_input` (and underscores) behind their names."""
+    for column in [c for c in df.columns if c.lower() in {n.lower() for n in names}]:
+        df = df.withColumnRenamed(column, free_name(df, f"{column}_input"))
+    return df
+
+
 def words(text: Column) -> Column:
     """Words of a text as an array; null texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")
