@@ -9,7 +9,8 @@ is fixed, whatever the input.
 Defined results
 * null, empty and blank pages, and pages without content: empty text, 0 characters;
 * unclosed and stray tags are tolerated; a page cut short gives what it holds;
-* repeated pages and repeated or null ids each give their own row; an empty table gives an empty result; other columns are not looked at.
+* repeated pages and repeated or null ids each give their own row; an empty table gives an empty result; other columns are
+  not looked at, and one that has the name of the new column stays with `_input` behind it.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import making_room
 from .html_pages import labelled_pages
 from .html_tree import EDGE_KINDS, N_EDGES, N_FEATURES, Tree, features, parse
 
@@ -132,7 +134,10 @@ def extract_text(pages: DataFrame, html_col: str = "html", into: str = "main_tex
             out += main_texts(group, *shared.value)
             yield pd.Series(out, dtype=object)
 
-    return pages.withColumn(into, text(F.col(html_col)))
+    found = text(F.col(html_col))
+    if html_col.lower() == into.lower():
+        return pages.withColumn(into, found)
+    return making_room(pages, into).withColumn(into, found)
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
