@@ -8,7 +8,7 @@ Texts and items are compared lower-cased with each run of white space as one spa
 
 Defined results
 * null, empty and blank texts have no hits; null, empty and blank items are never found;
-* an item shorter than MIN_CHARS is found without edits and between word boundaries only;
+* an item so short that its budget is no edit (below 1 / rate characters) is found as it is, between word boundaries;
 * equal items are each reported; a text that holds an item several times gets one row with the best occurrence (fewest
   edits, then the first);
 * repeated documents are each reported; empty tables give an empty result; other columns are not looked at.
@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 
 #: Edits allowed, as a share of the item's length.
 RATE = 0.08
-#: Items below this length are matched exactly.
-MIN_CHARS = 24
 #: Characters of items that one automaton, which is broadcast, takes; more items are handled in several passes.
 PASS_CHARS = 8_000_000
 
@@ -39,7 +37,7 @@ def normal(text: str | None) -> str:
 
 
 def budget(item: str, rate: float = RATE) -> int:
-    return int(len(item) * rate) if len(item) >= MIN_CHARS else 0
+    return int(len(item) * rate)
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -115,7 +113,7 @@ class Matcher:
             best: tuple[int, int] | None = None
             for low, high in spans:
                 if not k:
-                    found = (0, high) if text[low:high] == item and (len(item) >= MIN_CHARS or _bounded(text, low, high)) else None
+                    found = (0, high) if text[low:high] == item and _bounded(text, low, high) else None
                 else:
                     edits, end = best_end(self.peq[n], len(item), text[low:high])
                     found = (edits, low + end) if edits <= k else None
