@@ -1,9 +1,10 @@
 """SimHash near-duplicates with pivot distance tables.
 
-Each text gets a 64-bit fingerprint. Distinct fingerprints that agree on enough blocks of bits meet
-(every pair within the radius does, by the pigeonhole principle); there, a table of their Hamming
-distances to many reference fingerprints discards pairs whose largest coordinate difference exceeds the
-radius (triangle inequality), and XOR with a bit count verifies the survivors. Links become components.
+Each text gets a 64-bit fingerprint. For each distinct fingerprint, its Hamming distances to many reference fingerprints
+(the pivots) are computed once and stored beside it. Fingerprints that agree on enough blocks of bits meet (every pair
+within the radius does, by the pigeonhole principle). Where they meet, they are sorted by their distance to the first pivot,
+so that only pairs near in that coordinate are taken up; those of them that differ by more than the radius in any other
+coordinate go (triangle inequality), and XOR with a bit count verifies the survivors. Links become components.
 
 Defined results
 * null, empty or blank texts: fingerprint zero, linked like any other;
@@ -12,10 +13,11 @@ Defined results
 * null ids: they take part, and a component of null ids only has a null id;
 * an empty table gives an empty result; other columns are not looked at.
 
-The stage that drops near-duplicates asks for a Jaccard similarity of the shingle sets, which differing bits tell only
-roughly (0.8 is about 10 of 64 bits, a radius that leaves no useful blocks). There, documents meet that agree on all
-BAND_ROWS MinHashes of one of BANDS bands: pairs at 0.8 with probability 0.998, at 0.85 and more above 0.9998. Only
-pairs whose similarity, computed from their shingle sets, reaches the threshold become links; equal sets need no check.
+The stage that drops near-duplicates asks for a Jaccard similarity of the shingle sets. At 0.8 fingerprints differ by about
+10 bits and at times by 20, which no choice of blocks covers at a bearable number of keys: there, documents meet that agree
+on all BAND_ROWS MinHashes of one of BANDS bands (pairs at 0.8 with probability 0.998, at 0.85 and more above 0.9998).
+Pairs that meet are discarded by the same pivot tables at WIDE_RADIUS bits (a pair at 0.8 exceeds that with probability
+1e-6), and only survivors whose similarity, computed from their shingle sets, reaches the threshold become links.
 """
 
 from __future__ import annotations
@@ -26,37 +28,56 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import free_name, stash
 
-#: Number of reference fingerprints in the pivot table.
+#: Number of reference fingerprints in the pivot tables.
 N_PIVOTS = 16
 #: Fingerprints that one comparison takes from a bucket; larger buckets are dealt out to pairs of blocks.
 BLOCK_ROWS = 4096
+#: Fingerprints that a bucket is expected to hold at most; more of them are cut into more blocks of bits.
+BUCKET_ROWS = 1024
+#: Edges of a node from which on it is a hub, and hubs at most (the least number of edges rises with all edges).
+HUB_EDGES, HUBS = 200, 10_000
 #: Shingles whose bits are counted at once.
 SLAB = 1 << 16
 #: MinHash bands, and hashes in each.
 BANDS, BAND_ROWS = 16, 5
+#: Differing bits up to which a pair that met in a band is compared by its shingle sets.
+WIDE_RADIUS = 24
 #: Shingles that are hashed anew for all MinHashes at once, and shingles that one comparison takes from a bucket.
 MIN_SLAB, BLOCK_SHINGLES = 1 << 11, 1 << 21
 _DRAWN = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
 _TURN, _FACTOR = _DRAWN[0], _DRAWN[1] | np.uint64(1)
 
 
-def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
-    """Majority bits of the XXH64 of all shingles; words are split at the white space that bytes.split knows (0x20, 0x09-0x0D)."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.lower changes A-Z only
-    if not tokens:
-        return 0
-    n, total, digest = max(1, len(tokens) - shingle + 1), np.zeros(64, dtype=np.int64), xxhash.xxh64_intdigest
+def tokens_of(text: str | None) -> list[bytes]:
+    """Words, A-Z lower-cased, split at the white space that bytes.split knows (0x20, 0x09-0x0D)."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.lower changes A-Z only
+
+
+def hashes(tokens: list[bytes], shingle: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """The XXH64 of all shingles, repeats included, a slab at a time."""
+    n, digest = max(1, len(tokens) - shingle + 1) if tokens else 0, xxhash.xxh64_intdigest
     for begin in range(0, n, SLAB):
-        h = np.array([digest(b" ".join(tokens[i : i + shingle]), seed) for i in range(begin, min(n, begin + SLAB))], dtype="<u8")
+        yield np.array([digest(b" ".join(tokens[i : i + shingle]), seed) for i in range(begin, min(n, begin + SLAB))], dtype="<u8")
+
+
+def majority(slabs: list[np.ndarray]) -> int:
+    """The bits that more than half of the hashes have set."""
+    n, total = sum(map(len, slabs)), np.zeros(64, dtype=np.int64)
+    for h in slabs:
         total += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * total > n, bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
+    """Majority bits of the XXH64 of all shingles; 0 without words."""
+    return majority(list(hashes(tokens_of(text), shingle, seed)))
+
+
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """Id, fingerprint (long), and a hash of the text that tells rows of one id apart."""
 
@@ -68,6 +89,16 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int)
     return docs.select(F.col(id_col), F.xxhash64(text_col).alias("text_hash"), of(F.col(text_col)).alias("fp"))
 
 
+def pivots(n: int = N_PIVOTS) -> list[int]:
+    """Reference fingerprints, as longs: hashes of their numbers."""
+    return np.array([xxhash.xxh64_intdigest(str(i).encode(), 7) for i in range(n)], dtype=np.uint64).view(np.int64).tolist()
+
+
+def pivot_distances(fp: Column) -> Column:
+    """The fingerprint's row of the pivot table, a byte for each coordinate."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.bit_count(fp.bitwiseXOR(F.lit(p)))), 2, "0") for p in pivots()]))
+
+
 def block_masks(radius: int, blocks: int) -> list[int]:
     """Masks of all choices of blocks - radius blocks: two fingerprints within the radius agree under one of them at least."""
     ends = [round(i * 64 / blocks) for i in range(blocks + 1)]
@@ -76,29 +107,27 @@ def block_masks(radius: int, blocks: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def pivots(n: int = N_PIVOTS) -> np.ndarray:
-    """Reference fingerprints: hashes of their numbers."""
-    return np.array([xxhash.xxh64_intdigest(str(i).encode(), 7) for i in range(n)], dtype=np.uint64)
+def near_pairs(a: np.ndarray, b: np.ndarray, fps: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a, b) of rows within the radius: those that a coordinate of the pivot table parts go first."""
+    for column in table.T:
+        if not len(a):
+            break
+        keep = np.abs(column[a] - column[b]) <= radius
+        a, b = a[keep], b[keep]
+    keep = np.bitwise_count(fps[a] ^ fps[b]) <= radius
+    return a[keep], b[keep]
 
 
-def linked_in_buckets(keys: np.ndarray, fps: np.ndarray, radius: int, references: np.ndarray) -> np.ndarray:
-    """keys sorted; for each row the number of the first row of its own bucket that links reach."""
-    n = len(keys)
+def linked_in_buckets(keys: np.ndarray, fps: np.ndarray, table: np.ndarray, radius: int) -> np.ndarray:
+    """keys sorted, and within a key the first coordinate of table; for each row the number of the first row of its own bucket that links reach."""
+    n, first = len(keys), table[:, 0]
     label, rows = np.arange(n), np.arange(n)
-    near = np.bitwise_count(fps[None, :] ^ references[:, None]).astype(np.int8)  # the pivot table
-    left = rows[:-1][keys[1:] == keys[:-1]] if n > 1 else rows[:0]
-    step = 1
+    meets = lambda left, step: left[(keys[left] == keys[left + step]) & (first[left + step] - first[left] <= radius)]
+    left, step = meets(rows[:-1], 1), 1
     while len(left):
         a, b = left, left + step
         unlike = label[a] != label[b]
-        a, b = a[unlike], b[unlike]
-        for column in near:
-            if not len(a):
-                break
-            keep = np.abs(column[a] - column[b]) <= radius
-            a, b = a[keep], b[keep]
-        keep = np.bitwise_count(fps[a] ^ fps[b]) <= radius
-        a, b = a[keep], b[keep]
+        a, b = near_pairs(a[unlike], b[unlike], fps, table, radius)
         while len(a):
             x, y = label[a], label[b]
             low, high = np.minimum(x, y), np.maximum(x, y)
@@ -110,48 +139,69 @@ def linked_in_buckets(keys: np.ndarray, fps: np.ndarray, radius: int, references
             while not np.array_equal(shorter := label[label], label):
                 label = shorter
         step += 1
-        left = left[left + step < n]
-        left = left[keys[left] == keys[left + step]]
+        left = meets(left[left + step < n], step)  # further on in the sorted bucket the first coordinates only move apart
     return label
 
 
+def _table(distances: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(distances), dtype=np.int8).reshape(-1, N_PIVOTS)
+
+
 def _links(radius: int):
-    """Links within buckets as edges from each fingerprint to its first; rows come sorted by bucket."""
+    """Links within buckets as edges from each fingerprint to its first; rows come sorted by bucket and distances."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        references = pivots()
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        keys, fps, table = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, N_PIVOTS), np.int8)
 
-        def edges(keys: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
-            label = linked_in_buckets(keys, fps, radius, references)
+        def edges(keys: np.ndarray, fps: np.ndarray, table: np.ndarray) -> pd.DataFrame:
+            label = linked_in_buckets(keys, fps, table, radius)
             moved = label != np.arange(len(label))
             return pd.DataFrame({"u": fps[moved].view(np.int64), "v": fps[label[moved]].view(np.int64)})
 
         for batch in batches:
             keys = np.concatenate([keys, batch["bucket"].to_numpy(np.int64)])
             fps = np.concatenate([fps, batch["fp"].to_numpy(np.int64).view(np.uint64)])
+            table = np.concatenate([table, _table(batch["distances"])])
             other = np.flatnonzero(keys != keys[-1]) if len(keys) else []
             whole = int(other[-1]) + 1 if len(other) else 0  # the last bucket may go on in the next batch
             if whole:
-                yield edges(keys[:whole], fps[:whole])
-                keys, fps = keys[whole:], fps[whole:]
-        yield edges(keys, fps)
+                yield edges(keys[:whole], fps[:whole], table[:whole])
+                keys, fps, table = keys[whole:], fps[whole:], table[whole:]
+        yield edges(keys, fps, table)
 
     return run
 
 
+def blocks_for(n: int, radius: int) -> int:
+    """Blocks of bits so that a bucket of n fingerprints' keys is expected to hold BUCKET_ROWS at most; two more than the radius at least."""
+    return next((b for b in range(radius + 2, radius + 6) if n / 2 ** (64 * (b - radius) / b) <= BUCKET_ROWS), radius + 6)
+
+
 def links(distinct: DataFrame, radius: int, blocks: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints (column fp) that join all pairs within the radius, no more than one per row and bucket.
+    """Edges (u, v) between distinct fingerprints (columns fp and distances) that join all pairs within the radius, no more than one per row and bucket.
 
     A bucket of more than block_rows fingerprints is dealt out to all pairs of its blocks, so that no task holds it whole.
     """
     masks = block_masks(radius, blocks)
-    spread = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks]))).select("fp", F.xxhash64("pos", "col").alias("bucket"))
+    spread = distinct.select("fp", "distances", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks]))).select("fp", "distances", F.xxhash64("pos", "col").alias("bucket"))
     heavy = stash(spread.groupBy("bucket").count().filter(F.col("count") > block_rows).select("bucket", F.ceil(F.col("count") / (block_rows // 2)).cast("int").alias("n")), "heavy-buckets")
     own = F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("n")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda other: F.xxhash64("bucket", F.least(own, other), F.greatest(own, other)))
-    dealt = spread.join(heavy, "bucket", "left").select("fp", F.explode(F.when(F.col("n").isNull(), F.array("bucket")).otherwise(pairs)).alias("bucket"))
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_links(radius), "u long, v long")
+    dealt = spread.join(heavy, "bucket", "left").select("fp", "distances", F.explode(F.when(F.col("n").isNull(), F.array("bucket")).otherwise(pairs)).alias("bucket"))
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "distances").mapInPandas(_links(radius), "u long, v long")
+
+
+def _with_least(edges: DataFrame, n_edges: int) -> DataFrame:
+    """edges (u, v) with m, the least v of each u.
+
+    A hub's edges stay where they lie and get m by broadcast: there are HUBS hubs at most, as each has more than one HUBS-th of all edges.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hub = F.col("n") > max(HUB_EDGES, n_edges // HUBS)
+    hubs, others = least.filter(hub).select("u", F.col("m").alias("hub_m")), least.filter(~hub).select("u", "m")
+    marked = edges.join(F.broadcast(hubs), "u", "left")
+    of_hubs = marked.filter("hub_m is not null").select("u", "v", F.col("hub_m").alias("m"))
+    return marked.filter("hub_m is null").select("u", "v").join(others, "u").select("u", "v", "m").unionByName(of_hubs)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -160,10 +210,8 @@ def components(edges: DataFrame) -> DataFrame:
     mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        large = _with_least(both, 2 * mark[0]).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = _with_least(large, mark[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = stash(small.filter("u <> v").distinct(), "edges")
         before, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == mark:
@@ -171,25 +219,21 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 4, blocks: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """One row per input row: id, text_hash, fp (long), root (the component's own fingerprint) and component_id, the smallest id that links reach."""
     rows = stash(with_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = stash(rows.groupBy("fp").agg(F.min(id_col).alias("__least")), "distinct-fingerprints")
-    found = components(links(distinct.select("fp"), radius, blocks))
-    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    distinct = stash(rows.groupBy("fp").agg(F.min(id_col).alias("__least")).withColumn("distances", pivot_distances(F.col("fp"))), "distinct-fingerprints")
+    found = components(links(distinct.select("fp", "distances"), radius, blocks or blocks_for(distinct.count(), radius)))
+    rooted = distinct.select("fp", "__least").join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("__least").alias("component_id"))
     of_fp = stash(rooted.join(least, "root").select("fp", "root", "component_id"), "fingerprint-components")
     return rows.join(of_fp, "fp").select(id_col, "text_hash", "fp", "root", "component_id")
 
 
 def shingle_set(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
-    """The distinct XXH64 of all shingles, ascending; words as in fingerprint."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.zeros(0, dtype=np.uint64)
-    n, digest = max(1, len(tokens) - shingle + 1), xxhash.xxh64_intdigest
-    parts = [np.array([digest(b" ".join(tokens[i : i + shingle]), seed) for i in range(begin, min(n, begin + SLAB))], dtype=np.uint64) for begin in range(0, n, SLAB)]
-    return np.unique(np.concatenate(parts))
+    """The distinct XXH64 of all shingles, ascending."""
+    slabs = list(hashes(tokens_of(text), shingle, seed))
+    return np.unique(np.concatenate(slabs)) if slabs else np.zeros(0, dtype=np.uint64)
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
@@ -203,33 +247,42 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def with_bands(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Id, text_hash, node (a hash of the shingle set, 0 of the empty one), n (its size) and bands."""
+    """Id, text_hash, node (a hash of the shingle set, 0 of the empty one), n (its size), the fingerprint of the set, and bands."""
 
-    @F.pandas_udf("node long, n int, bands array<long>")
+    @F.pandas_udf("node long, n int, fp long, bands array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            nodes, sizes, bands = [], [], []
+            nodes, sizes, fps, bands = [], [], [], []
             for t in texts:
                 own = shingle_set(t, shingle)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 3) if len(own) else 0)
                 sizes.append(len(own))
+                fps.append(majority([own]))
                 bands.append(band_keys(own))
-            yield pd.DataFrame({"node": np.array(nodes, dtype=np.uint64).view(np.int64), "n": np.array(sizes, dtype=np.int32), "bands": bands})
+            yield pd.DataFrame({"node": np.array(nodes, dtype=np.uint64).view(np.int64), "n": np.array(sizes, dtype=np.int32), "fp": np.array(fps, dtype=np.int64), "bands": bands})
 
     return docs.select(F.col(id_col), F.xxhash64(text_col).alias("text_hash"), of(F.col(text_col)).alias("s")).select(id_col, "text_hash", "s.*")
 
 
-def similar_in_bucket(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """For each shingle set the number of the first one that links of the threshold or more reach; every pair is compared."""
+def similar_in_bucket(sets: list[np.ndarray], threshold: float, fps: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """For each shingle set the number of the first one that links of the threshold or more reach.
+
+    Every pair is taken up; those that the pivot table or the bits part by more than WIDE_RADIUS go, the sets of the others are compared.
+    """
     n, sizes = len(sets), np.array([len(x) for x in sets])
     ends, label = np.cumsum(sizes), np.arange(n)
     _, code = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(code, kind="stable")
     owner, begins = np.repeat(label, sizes)[order], np.concatenate([[0], np.cumsum(np.bincount(code))])
     for i in range(n - 1):
+        after = np.arange(i + 1, n)
+        close = near_pairs(np.full(n - i - 1, i), after, fps, table, WIDE_RADIUS)[1]
+        close = close[label[close] != label[i]]
+        if not len(close):
+            continue
         shared = [owner[begins[c] : begins[c + 1]] for c in code[ends[i] - sizes[i] : ends[i]]]
-        both = np.bincount(np.concatenate(shared), minlength=n)[i + 1 :]
-        near = np.flatnonzero(both / (sizes[i] + sizes[i + 1 :] - both) >= threshold) + i + 1
+        both = np.bincount(np.concatenate(shared), minlength=n)[close]
+        near = close[both / (sizes[i] + sizes[close] - both) >= threshold]
         if len(near):
             own = np.unique(label[np.append(near, i)])
             label[np.isin(label, own)] = own[0]
@@ -239,24 +292,26 @@ def similar_in_bucket(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 def _similar(threshold: float):
     """Links within buckets as edges from each node to its first; rows come sorted by bucket."""
 
-    def edges(nodes: list[int], sets: list[np.ndarray]) -> pd.DataFrame:
-        nodes, label = np.array(nodes, dtype=np.int64), similar_in_bucket(sets, threshold) if len(sets) > 1 else np.zeros(len(sets), np.int64)
-        moved = label != np.arange(len(nodes))
-        return pd.DataFrame({"u": nodes[moved], "v": nodes[label[moved]]})
+    def edges(nodes: list[int], sets: list[np.ndarray], fps: list[int], distances: list[bytes]) -> pd.DataFrame:
+        if len(nodes) < 2:
+            return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
+        label = similar_in_bucket(sets, threshold, np.array(fps, dtype=np.int64).view(np.uint64), _table(distances))
+        moved, own = label != np.arange(len(nodes)), np.array(nodes, dtype=np.int64)
+        return pd.DataFrame({"u": own[moved], "v": own[label[moved]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, nodes, sets, held = None, [], [], []
+        key, held, done = None, ([], [], [], []), []
         for batch in batches:
-            for bucket, node, own in zip(batch["bucket"], batch["node"], batch["shingles"], strict=True):
+            for bucket, node, own, fp, distances in zip(batch["bucket"], batch["node"], batch["shingles"], batch["fp"], batch["distances"], strict=True):
                 if bucket != key:
-                    held.append(edges(nodes, sets))
-                    key, nodes, sets = bucket, [], []
-                nodes.append(node)
-                sets.append(np.array(own, dtype=np.int64))
-            if held:
-                yield pd.concat(held)
-                held = []
-        yield edges(nodes, sets)
+                    done.append(edges(*held))
+                    key, held = bucket, ([], [], [], [])
+                for column, value in zip(held, (node, np.array(own, dtype=np.int64), fp, distances), strict=True):
+                    column.append(value)
+            if done:
+                yield pd.concat(done)
+                done = []
+        yield edges(*held)
 
     return run
 
@@ -274,13 +329,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pd.Series([shingle_set(t, shingle).view(np.int64) for t in texts], dtype=object)
 
     rows = stash(with_bands(docs, id_col, text_col, shingle), "bands")
-    nodes = stash(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("text_hash").alias("text_hash")), "distinct-sets")
+    nodes = stash(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min("text_hash").alias("text_hash")), "distinct-sets")
     spread = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     buckets = spread.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("size")).filter("members > 1")
     met = stash(spread.join(buckets, "bucket").select("bucket", "node", "members", "size"), "bucket-members")
-    wanted = met.select("node").distinct().join(nodes.select("node", "text_hash"), "node")
+    wanted = met.select("node").distinct().join(nodes.select("node", "fp", "text_hash"), "node")
     texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).join(wanted, "text_hash")
-    sets = stash(texts.groupBy("node").agg(F.first("text").alias("text")).select("node", set_of("text").alias("shingles")), "candidate-sets")
+    sets = stash(texts.groupBy("node", "fp").agg(F.first("text").alias("text")).select("node", "fp", pivot_distances(F.col("fp")).alias("distances"), set_of("text").alias("shingles")), "candidate-sets")
 
     n_blocks = F.least("members", F.ceil(F.greatest(2 * F.col("members") / block_rows, 2 * F.col("size") / BLOCK_SHINGLES))).cast("int")
     own = F.pmod(F.xxhash64(F.lit(1), "node"), n_blocks).cast("int")
@@ -301,16 +356,17 @@ def keep_one_a_root(docs: DataFrame, rooted: DataFrame, id_col: str, text_col: s
     alike = rooted.groupBy("root", F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("n"))
     least = alike.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__hash", "n")).alias("least"))
     kept = stash(least.select("least.__id", "least.__hash", "least.n"), "kept-documents")
-    rows = docs.withColumn("__row_hash", F.xxhash64(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__row_hash") == F.col("__hash"))
+    own = free_name(docs, "__row_hash")
+    rows = docs.withColumn(own, F.xxhash64(text_col))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col(own) == F.col("__hash"))
     out = rows.join(kept.filter("n = 1").drop("n"), same, "left_semi")
     tied = kept.filter("n > 1").drop("n")
     if not tied.isEmpty():  # repeated rows: one of each
-        out = out.unionByName(rows.join(tied, same, "left_semi").dropDuplicates([id_col, "__row_hash"]))
-    return out.drop("__row_hash")
+        out = out.unionByName(rows.join(tied, same, "left_semi").dropDuplicates([id_col, own]))
+    return out.drop(own)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = near_duplicates(docs, shingle=4, radius=4, blocks=6)
+    found = near_duplicates(docs, shingle=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

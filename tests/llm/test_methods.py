@@ -78,7 +78,7 @@ def test_simhash_of_skewed_buckets(spark):
     """A bucket beyond the block size is dealt out and loses no link."""
     r = random.Random(5)
     fps = sorted({r.getrandbits(30) | 7 << 40 for _ in range(400)} | {sum(1 << b for b in r.sample(range(6), 2)) for _ in range(50)})
-    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    df = spark.createDataFrame([(x,) for x in fps], "fp long").withColumn("distances", simhash.pivot_distances(F.col("fp")))
     found = {(r.u, r.v) for r in simhash.links(df, 4, 6, block_rows=64).collect()}
     root = {x: x for x in fps}
 
