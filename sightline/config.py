@@ -73,6 +73,7 @@ SEVERITY_WEIGHTS = {"critical": 10.0, "high": 4.0, "medium": 1.5, "low": 0.3}
 MAX_PENALTY = 100.0
 TEXT_RATIO_CAP = 4.0
 TEXT_COMPARED = 500
+MAX_ELEMENTS = 10_000
 
 COLOR_PROPERTIES = "color background-color border-color border-top-color border-right-color border-bottom-color border-left-color outline-color text-decoration-color column-rule-color caret-color".split()
 SIZE_PROPERTIES = """
@@ -104,6 +105,10 @@ DYNAMIC_IDS = [r"^\d+$", r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9
 DYNAMIC_CLASSES = [r"^Mui[A-Z]\w+-\w+-\d+$", r"^makeStyles-", r"^css-[a-z0-9]+$", r"^jss\d+$", r"^sc-[a-z]+-[a-z]+$", r"^emotion-\d+$", r"^lwc-[a-z0-9]+"]
 TRACKING_PARAMS = r"(?i)^(utm_.*|gclid|gad_source|fbclid|msclkid|_ga|_gl)$"
 
+STAGE_HOSTS = r"\b(stage|staging|dev|test|qa|uat|preview|sandbox|canary)\b"
+BLOCKED_PROTOCOLS = r"^(chrome|chrome-extension|about|data):"
+URL_NOISE_ATTRIBUTES = "href src srcset action data-href data-url data-link data-src formaction".split()
+
 #: CSS colour names with red, green and blue.
 NAMED_COLORS = """
 aliceblue 240 248 255; antiquewhite 250 235 215; aqua 0 255 255; aquamarine 127 255 212; azure 240 255 255; beige 245 245 220; bisque 255 228 196
@@ -177,6 +182,7 @@ class MatchOptions:
     position_tolerance: float = 50.0
     alignment: bool = True
     orphan_recovery: bool = False
+    max_elements: int = MAX_ELEMENTS
     strategies: Mapping[str, float] = field(default_factory=lambda: MappingProxyType({"absolute-hpid": 0.95, "id": 0.90, "css-selector": 0.80, "xpath": 0.78, "position": 0.30}))
 
 

@@ -36,8 +36,20 @@ def leading_number(text: Column) -> Column:
 
 
 def two_decimals(x: Column) -> Column:
-    """Two decimals of the exact binary value, as text."""
-    return F.format_string("%s", F.bround(x.cast("decimal(38,20)"), 2).cast("decimal(20,2)"))
+    """Two decimals of the exact binary value, a tie going away from zero, as text.
+
+    The product by 100 is taken with its rounding error (the number is split in two halves whose products are exact), so that
+    1.015, which lies below its name, gives 1.01 and 0.125 gives 0.13.
+    """
+
+    def text(v: Column) -> Column:
+        half = v * 134217729.0 - (v * 134217729.0 - v)
+        product = v * 100.0
+        error = (half * 100.0 - product) + (v - half) * 100.0
+        n = F.floor(product) + F.when((product - F.floor(product) - 0.5) + error >= 0, 1).otherwise(0)
+        return F.concat((n / F.lit(100)).cast("long").cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+
+    return let(x, lambda v: F.when(F.abs(v) >= 1e13, F.format_string("%s", F.bround(v.cast("decimal(38,2)"), 2))).otherwise(F.concat(F.when(v < 0, "-").otherwise(""), text(F.abs(v)))))
 
 
 def _rgba(r: Column, g: Column, b: Column, a: Column) -> Column:

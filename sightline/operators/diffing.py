@@ -15,7 +15,6 @@ from ..functions import css
 from ..functions.text import trimmed
 
 KEYS = ("pair_id", "ord", "hpid")
-_DIFF = "struct<n:int,property:string,base_value:string,compare_value:string,type:string,category:string>"
 
 
 def category(name: Column) -> Column:
@@ -31,62 +30,63 @@ def _is_size(name: Column) -> Column:
     return css.one_of(name, listed) | name.rlike("width|height|size")
 
 
+def parsed(base: Column, other: Column) -> list[Column]:
+    """Colours and pixels of both values, as tolerances and severities read them."""
+    return [css.parse_rgba(base).alias("b_rgba"), css.parse_rgba(other).alias("c_rgba"), css.parse_px(base).alias("b_px"), css.parse_px(other).alias("c_px")]
+
+
 def within_tolerance(name: Column, base: Column, other: Column, tolerances: C.Tolerances) -> Column:
-    """Colours by channel and alpha 0.01, sizes in px; a value that can't be read must be equal. An unwritten alpha is never near."""
-    a, b = css.parse_rgba(base), css.parse_rgba(other)
+    """Colours by channel and alpha 0.01, sizes in px; a value that can't be read must be equal. An unwritten alpha is never near. Reads the columns of parsed()."""
+    a, b, x, y = map(F.col, ("b_rgba", "c_rgba", "b_px", "c_px"))
     near = reduce(lambda x, c: x & (F.abs(a[c] - b[c]) <= tolerances.color), ("g", "b"), F.abs(a["r"] - b["r"]) <= tolerances.color) & (F.abs(a["a"] - b["a"]) <= 0.01)
     color = F.when(a.isNull() | b.isNull(), base == other).otherwise(F.coalesce(near, F.lit(False)))
-    x, y = css.parse_px(base), css.parse_px(other)
     size = F.when(x.isNull() | y.isNull(), base == other).otherwise(F.abs(x - y) <= tolerances.size)
     return F.when(base.isNull() | other.isNull(), False).when(_is_color(name), color).when(_is_size(name), size).otherwise(False)
 
 
+def bound(rows: DataFrame, keep: list[str], *columns: Column) -> DataFrame:
+    """rows with columns computed once a row: what reads them later, filters too, does not repeat their expressions."""
+    return rows.select(*keep, F.inline(F.array(F.struct(*columns))))
+
+
 def _change(name: Column, base: Column, other: Column) -> Column:
     return F.when(base.isNull(), "added").when(other.isNull(), "removed").otherwise("modified")
 
 
-def diffs_of_pair(base: Column, other: Column, mode: C.Mode) -> Column:
-    """All differences of two elements as an array, numbered: styles, then text, then attributes. No shuffle is needed."""
-    styles = lambda e: css.normalize_styles(F.coalesce(e["styles"], F.create_map().cast("map<string,string>")))
-    attributes = lambda e: F.coalesce(e["attributes"], F.create_map().cast("map<string,string>"))
+def _raw_changes(base: Column, other: Column, mode: C.Mode) -> Column:
+    """What differs as written, as an array of (kind, property, base_value, compare_value): styles, then text, then attributes.
 
-    def one(name: Column, b: Column, c: Column, change: Column, kind: Column) -> Column:
-        return F.struct(F.lit(0).alias("n"), name.alias("property"), b.alias("base_value"), c.alias("compare_value"), change.alias("type"), kind.alias("category"))
+    Equal texts of a property stay equal when they are normalised, so nothing else needs to be.
+    """
+    entry = lambda kind, name, b, c: F.struct(F.lit(kind).alias("kind"), name.alias("property"), b.alias("base_value"), c.alias("compare_value"))
+    held = lambda m: F.coalesce(m, F.create_map().cast("map<string,string>"))
 
-    def of_styles(both: Column) -> Column:
+    def of_maps(kind: str, both: Column, names: Column) -> Column:
         b, c = both["b"], both["c"]
-        names = F.array(*map(F.lit, mode.properties)) if mode.properties else F.array_union(F.map_keys(b), F.map_keys(c))
-        value = lambda m, p: F.element_at(m, p)
-        made = F.transform(names, lambda p: one(p, value(b, p), value(c, p), _change(p, value(b, p), value(c, p)), category(p)))
-        changed = F.filter(made, lambda d: ~d["base_value"].eqNullSafe(d["compare_value"]) & ~within_tolerance(d["property"], d["base_value"], d["compare_value"], mode.tolerances))
-        return css.let(changed, undoubled)
+        changed = F.filter(names, lambda k: ~F.element_at(b, k).eqNullSafe(F.element_at(c, k)))
+        return F.transform(changed, lambda k: entry(kind, k, F.element_at(b, k), F.element_at(c, k)))
 
-    def undoubled(ds: Column) -> Column:
-        """Without border colours that only follow the element's own colour."""
-        same = lambda d, x: (x["property"] == "color") & x["base_value"].eqNullSafe(d["base_value"]) & x["compare_value"].eqNullSafe(d["compare_value"])
-        return F.filter(ds, lambda d: ~(css.one_of(d["property"], C.BORDER_COLORS) & F.exists(ds, lambda x: same(d, x))))
+    def of_styles(both: Column) -> Column:
+        names = F.array(*map(F.lit, mode.properties)) if mode.properties else F.array_union(F.map_keys(both["b"]), F.map_keys(both["c"]))
+        return of_maps("style", both, names)
 
     def of_attributes(both: Column) -> Column:
-        b, c = both["b"], both["c"]
-        names = F.array_union(F.map_keys(b), F.map_keys(c))
-        names = F.filter(names, lambda k: css.one_of(k, mode.attributes)) if mode.attributes else names
-        made = F.transform(names, lambda k: one(F.concat(F.lit("attr:"), k), F.element_at(b, k), F.element_at(c, k), F.lit("modified"), F.lit("attribute")))
-        return F.filter(made, lambda d: ~d["base_value"].eqNullSafe(d["compare_value"]))
+        names = F.array_union(F.map_keys(both["b"]), F.map_keys(both["c"]))
+        return of_maps("attribute", both, F.filter(names, lambda k: css.one_of(k, mode.attributes)) if mode.attributes else names)
 
-    none = F.expr(f"cast(array() as array<{_DIFF}>)")
-    parts = [css.let(F.struct(styles(base).alias("b"), styles(other).alias("c")), of_styles)]
+    pair = lambda b, c: F.struct(b.alias("b"), c.alias("c"))
+    parts = [css.let(pair(css.expand_shorthands(held(base["styles"])), css.expand_shorthands(held(other["styles"]))), of_styles)]
     if mode.text:
         b, c = trimmed(base["textContent"]), trimmed(other["textContent"])
-        parts.append(F.when(b != c, F.array(one(F.lit("textContent"), b, c, F.lit("modified"), F.lit("content")))).otherwise(none))
-    parts.append(css.let(F.struct(attributes(base).alias("b"), attributes(other).alias("c")), of_attributes))
-    return F.transform(F.concat(*parts), lambda d, i: F.struct(i.alias("n"), *[d[x].alias(x) for x in ("property", "base_value", "compare_value", "type", "category")]))
+        parts.append(F.when(b != c, F.array(entry("text", F.lit("textContent"), b, c))).otherwise(F.array().cast("array<struct<kind:string,property:string,base_value:string,compare_value:string>>")))
+    parts.append(css.let(pair(held(base["attributes"]), held(other["attributes"])), of_attributes))
+    return F.concat(*parts)
 
 
-def severity(name: Column, base: Column, other: Column, kind: Column) -> Column:
-    """Severity of one difference by its property, then by the size of the change."""
-    x, y = css.parse_px(base), css.parse_px(other)
-    breaks = name.isin("width", "height") & (x != 0) & (y != 0) & (F.abs((y - x) / x) * 100 > 50)
-    a, b = css.parse_rgba(base), css.parse_rgba(other)
+def severity(name: Column, kind: Column) -> Column:
+    """Severity of one difference by its property, then by the size of the change. Reads the columns of parsed()."""
+    a, b, x, y = map(F.col, ("b_rgba", "c_rgba", "b_px", "c_px"))
+    breaks = name.isin("width", "height") & (x != 0) & (y != 0) & (F.abs((y - x) / F.nullif(x, F.lit(0.0))) * 100 > 50)
     loud = F.contains(name, F.lit("color")) & (F.abs(css.luminance(a) - css.luminance(b)) > 0.4)
     listed = lambda level: css.one_of(name, C.SEVERITY_PROPERTIES[level])
     return F.when(listed("critical") | F.coalesce(breaks, F.lit(False)), "critical").when(listed("high") | F.coalesce(loud, F.lit(False)), "high").when(listed("medium") | (kind == "layout"), "medium").otherwise("low")
@@ -97,10 +97,26 @@ def rank(level: Column) -> Column:
 
 
 def diff(matches: DataFrame, mode: C.Mode = C.STATIC) -> DataFrame:
-    """KEYS, n, property, base_value, compare_value, type, category, severity: one row per difference."""
+    """KEYS, n, property, base_value, compare_value, type, category, severity: one row per difference, in the order n.
+
+    Entries that differ as written become rows within their task; only those are normalised and held against the tolerances.
+    """
     keys = [k for k in matches.columns if k not in ("base", "other")]
-    long = matches.select(*keys, F.inline(diffs_of_pair(F.col("base"), F.col("other"), mode)))
-    return long.withColumn("severity", severity(F.col("property"), F.col("base_value"), F.col("compare_value"), F.col("category")))
+    raw = matches.select(*keys, _raw_changes(F.col("base"), F.col("other"), mode).alias("raw")).filter(F.size("raw") > 0)
+    own = F.get(F.filter("raw", lambda d: (d["kind"] == "style") & (d["property"] == "color")), F.lit(0))
+    rows = raw.select(*keys, own.alias("own"), F.posexplode("raw").alias("n", "d"))
+    name, style, border = F.col("d.property"), F.col("d.kind") == "style", css.one_of(F.col("d.property"), C.BORDER_COLORS)
+    value = lambda side: F.when(style, css.normalize_value(name, F.col(f"d.{side}"))).otherwise(F.col(f"d.{side}")).alias(side)
+    color = lambda side: F.when(border, css.normalize_color(F.col(f"own.{side}"))).alias(f"own_{side}")
+    rows = bound(rows, [*keys, "n"], F.col("d.kind").alias("kind"), name.alias("property"), F.col("own").isNotNull().alias("colored"), value("base_value"), value("compare_value"), color("base_value"), color("compare_value"))
+    name, style, b, c = F.col("property"), F.col("kind") == "style", F.col("base_value"), F.col("compare_value")
+    follows = css.one_of(name, C.BORDER_COLORS) & F.col("colored") & b.eqNullSafe(F.col("own_base_value")) & c.eqNullSafe(F.col("own_compare_value"))  # a border's colour that only changed as the element's own did
+    rows = bound(rows.filter(~(style & (b.eqNullSafe(c) | follows))), [*keys, "n", "kind", "property", "base_value", "compare_value"], *parsed(b, c))
+    kind = F.when(style, category(name)).when(F.col("kind") == "text", "content").otherwise("attribute")
+    shown = F.when(F.col("kind") == "attribute", F.concat(F.lit("attr:"), name)).otherwise(name)
+    rows = rows.filter(~(style & within_tolerance(name, b, c, mode.tolerances)))
+    long = rows.select(*keys, "n", shown.alias("property"), "base_value", "compare_value", F.when(style, _change(name, b, c)).otherwise("modified").alias("type"), kind.alias("category"), "b_rgba", "c_rgba", "b_px", "c_px")
+    return long.withColumn("severity", severity(F.col("property"), F.col("category"))).drop("b_rgba", "c_rgba", "b_px", "c_px")
 
 
 def by_match(diffs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -109,11 +125,14 @@ def by_match(diffs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return diffs.groupBy(*keys).agg(F.count("*").alias("total"), *counts, F.min_by("severity", rank(F.col("severity"))).alias("worst"))
 
 
-def summary(matches: DataFrame, per_match: DataFrame, ambiguous: DataFrame | None = None) -> DataFrame:
-    """One row: matched, unchanged and modified pairs, all differences, ambiguous elements, pairs by worst severity."""
-    worst = [F.coalesce(F.count_if(F.col("worst") == s), F.lit(0)).alias(s) for s in C.SEVERITIES]
-    changed = per_match.agg(F.count("*").alias("modified"), F.coalesce(F.sum("total"), F.lit(0)).alias("differences"), *worst)
-    total = matches.agg(F.count("*").alias("total"))
-    unclear = (ambiguous.agg(F.count("*").alias("ambiguous")) if ambiguous is not None else total.select(F.lit(0).cast("long").alias("ambiguous")))
-    # three one-row results
-    return total.crossJoin(changed).crossJoin(unclear).select("total", (F.col("total") - F.col("modified")).alias("unchanged"), "modified", "differences", "ambiguous", *C.SEVERITIES)
+def summary(matches: DataFrame, per_match: DataFrame, ambiguous: DataFrame | None = None, owner: list[str] | None = None) -> DataFrame:
+    """Matched, unchanged and modified pairs, all differences, ambiguous elements, pairs by worst severity: one row, or one for each owner."""
+    keys = owner or []
+    tagged = [matches.select(*keys, F.lit("total").alias("what"), F.lit(None).cast("string").alias("worst"), F.lit(0).cast("long").alias("n"))]
+    tagged.append(per_match.select(*keys, F.lit("modified").alias("what"), "worst", F.col("total").alias("n")))
+    if ambiguous is not None:
+        tagged.append(ambiguous.select(*keys, F.lit("ambiguous").alias("what"), F.lit(None).cast("string").alias("worst"), F.lit(0).cast("long").alias("n")))
+    of = lambda what: F.count_if(F.col("what") == what)
+    worst = [F.count_if((F.col("what") == "modified") & (F.col("worst") == s)).alias(s) for s in C.SEVERITIES]
+    counts = reduce(DataFrame.unionByName, tagged).groupBy(*keys).agg(of("total").alias("total"), of("modified").alias("modified"), F.coalesce(F.sum("n"), F.lit(0)).alias("differences"), of("ambiguous").alias("ambiguous"), *worst)
+    return counts.select(*keys, "total", (F.col("total") - F.col("modified")).alias("unchanged"), "modified", "differences", "ambiguous", *C.SEVERITIES)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -44,11 +45,10 @@ def keyed(base: DataFrame, other: DataFrame, key: Column, strategy: str, confide
     return met.select("pair_id", "key", "b_idx", F.when(outcome == "match", F.col("c_idx")).alias("c_idx"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), outcome.alias("outcome"), F.lit(strategy).alias("strategy"), F.lit(confidence).alias("confidence"))
 
 
-def candidates(other: DataFrame, key: Column) -> DataFrame:
-    """The compare rows of each key that more than one holds."""
+def candidates(other: DataFrame, key: Column, unclear: DataFrame) -> DataFrame:
+    """The compare rows (pair_id, c_idx, key) that the ambiguous rows of a pass could have meant."""
     rows = other.select("pair_id", F.col("idx").alias("c_idx"), key.alias("key")).filter("key is not null")
-    many = rows.groupBy("pair_id", "key").count().filter("count > 1").drop("count")
-    return rows.join(many, ["pair_id", "key"], "left_semi")
+    return rows.join(unclear.select("pair_id", "key").distinct(), ["pair_id", "key"], "left_semi")
 
 
 def suffix_pass(base: DataFrame, other: DataFrame, options: C.MatchOptions = C.MatchOptions()) -> DataFrame:
@@ -115,7 +115,7 @@ class _Walk:
 
 
 def align(base: DataFrame, other: DataFrame, options: C.MatchOptions = C.MatchOptions()) -> DataFrame:
-    """Sequence alignment in document order, one comparison at a time (its elements are bounded, 10,000 by default): FOUND rows with
+    """Sequence alignment in document order, one comparison at a time (its elements are bounded: limit_elements): FOUND rows with
     outcome match, added, removed or orphan.
     """
 
@@ -129,50 +129,78 @@ def align(base: DataFrame, other: DataFrame, options: C.MatchOptions = C.MatchOp
 
 
 def near(base: DataFrame, other: DataFrame, options: C.MatchOptions = C.MatchOptions()) -> DataFrame:
-    """Pairs by place: x and y within the tolerance, of the same tag, the nearest first free one in document order.
+    """Pairs by place: x and y within the tolerance, of the same tag, the nearest free one of at least the confidence threshold.
 
-    Cells of the tolerance's size are joined (each base row asks its cell and the eight around it), which gives each base row its
-    near candidates; claims interact, so they are settled for one comparison at a time.
+    Base rows claim in document order; of equally near ones the first counts, cell by cell of the tolerance's size. A position
+    alone is worth 0.30 at most, so nothing is found above that threshold (the default). Claims interact, so they are settled for
+    one comparison at a time, whose elements are bounded (limit_elements); no pairs are formed but a row's nine cells.
     """
-    size = options.position_tolerance
-    cell = lambda c: F.floor(F.col(c) / size)
-    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    b = base.filter("x is not null and y is not null").select("pair_id", "tagName", F.col("idx").alias("b_idx"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x").alias("cx0"), cell("y").alias("cy0"), F.explode(around).alias("d"))
-    asked = b.select("pair_id", "tagName", "b_idx", "bx", "by", (F.col("cx0") + F.col("d.dx")).alias("cx"), (F.col("cy0") + F.col("d.dy")).alias("cy"))
-    c = other.filter("x is not null and y is not null").select("pair_id", "tagName", F.col("idx").alias("c_idx"), "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
-    met = asked.join(c, ["pair_id", "tagName", "cx", "cy"]).withColumn("distance", F.hypot(F.col("bx") - F.col("x"), F.col("by") - F.col("y"))).filter(F.col("distance") < size)
-    confidence = options.strategies.get("position", 0.30)
-
-    def claim(group: pd.DataFrame) -> pd.DataFrame:
-        taken, rows = set(), []
-        for b_idx, own in group.sort_values(["b_idx", "distance", "c_idx"]).groupby("b_idx", sort=True):
-            for r in own.itertuples():
-                if r.c_idx not in taken:
-                    taken.add(r.c_idx)
-                    rows.append((r.pair_id, b_idx, r.c_idx, "match", "position", max(0.1, 1 - r.distance / size) * confidence))
-                    break
+    size, worth = options.position_tolerance, options.strategies.get("position", 0.30)
+    if worth < options.confidence_threshold:
+        return base.sparkSession.createDataFrame([], FOUND)
+
+    def claim(key: tuple, b: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        cells: dict[tuple, list[int]] = {}
+        c = c.sort_values("idx")
+        x, y, idx = c["x"].to_numpy(float), c["y"].to_numpy(float), c["idx"].to_numpy()
+        for k, cell in enumerate(zip(np.floor(x / size), np.floor(y / size), c["tagName"], strict=True)):
+            cells.setdefault(cell, []).append(k)
+        free, rows = np.ones(len(c), dtype=bool), []
+        for r in b.sort_values("idx").itertuples(index=False):
+            cx, cy = np.floor(r.x / size), np.floor(r.y / size)
+            around = np.array([k for dx in (-1, 0, 1) for dy in (-1, 0, 1) for k in cells.get((cx + dx, cy + dy, r.tagName), ())], dtype=np.int64)
+            around = around[free[around]]
+            far = np.hypot(x[around] - r.x, y[around] - r.y)
+            if len(far) and far.min() < size:
+                best = around[int(far.argmin())]
+                confidence = max(0.1, 1 - float(far.min()) / size) * worth
+                if confidence >= options.confidence_threshold:
+                    free[best] = False
+                    rows.append((key[0], r.idx, idx[best], "match", "position", confidence))
         return pd.DataFrame(rows, columns=["pair_id", "b_idx", "c_idx", "outcome", "strategy", "confidence"])
 
-    return met.select("pair_id", "b_idx", "c_idx", "distance").groupBy("pair_id").applyInPandas(claim, FOUND)
+    cut = lambda d: d.filter("x is not null and y is not null").select("pair_id", "idx", "tagName", "x", "y").groupBy("pair_id")
+    return cut(base).cogroup(cut(other)).applyInPandas(claim, FOUND)
+
+
+def limit_elements(elements: DataFrame, most: int = C.MAX_ELEMENTS, owner: str = "pair_id") -> DataFrame:
+    """The first `most` elements of each report, in document order: what one report may hold."""
+    place = F.row_number().over(Window.partitionBy(owner).orderBy("idx"))
+    return elements.withColumn("__place", place).filter(F.col("__place") <= most).drop("__place")
 
 
 def _without(rows: DataFrame, used: DataFrame, column: str) -> DataFrame:
     return rows.join(used.select("pair_id", F.col(column).alias("idx")).filter("idx is not null").distinct(), ["pair_id", "idx"], "left_anti")
 
 
+#: Columns that the keyed strategies read; absolute paths are the paths where none were taken.
+_KEY_COLUMNS = {"absolute-hpid": ("absoluteHpid", "hpid"), "id": ("elementId",), "css-selector": ("cssSelector",), "xpath": ("xpath",)}
+
+
+def _strategy(name: str, b: DataFrame, c: DataFrame, confidence: float, options: C.MatchOptions) -> tuple[DataFrame, Column | None] | None:
+    """One pass by its registered name, and its key; None where the elements lack the columns."""
+    if name == "position":
+        return (near(b, c, options), None) if {"x", "y"} <= set(b.columns) else None
+    column = next((k for k in _KEY_COLUMNS.get(name, ()) if k in b.columns and k in c.columns), None)
+    return (keyed(b, c, text_key(column), name, confidence, options), text_key(column)) if column else None
+
+
 def match(base: DataFrame, other: DataFrame, options: C.MatchOptions = C.MatchOptions()) -> dict[str, DataFrame]:
     """matches, ambiguous, added and removed.
 
     Anchors claim first, then the sequence alignment. Its orphans are in no list, as by default the later passes don't see
     them; orphan_recovery passes them on to suffix, key and place. Without alignment the key passes see all that is left.
+    Compare rows that an ambiguous row could mean are not added rows of the later passes. The walk's rows are persisted:
+    several of the results read them.
     """
+    base, other = limit_elements(base, options.max_elements), limit_elements(other, options.max_elements)
     anchors = keyed(base, other, anchor_key(), "test-attribute", 1.0, options)
-    matches = [anchors.filter("outcome = 'match'")]
-    ambiguous = [anchors.filter("outcome = 'ambiguous'")]
+    matches, ambiguous = [anchors.filter("outcome = 'match'")], [anchors.filter("outcome = 'ambiguous'")]
+    reserved = [candidates(other, anchor_key(), ambiguous[0])]
     b, c = _without(base, matches[0], "b_idx"), _without(other, matches[0], "c_idx")
     added = removed = None
     if options.alignment:
-        walked = align(b, c, options)
+        walked = align(b, c, options).persist()
         matches.append(walked.filter("outcome = 'match'"))
         added, removed = walked.filter("outcome = 'added'").select("pair_id", F.col("c_idx").alias("idx")), walked.filter("outcome = 'removed'").select("pair_id", F.col("b_idx").alias("idx"))
         lost = walked.filter("outcome = 'orphan'")
@@ -182,20 +210,23 @@ def match(base: DataFrame, other: DataFrame, options: C.MatchOptions = C.MatchOp
             found = suffix_pass(b, c, options)
             matches.append(found)
             b, c = _without(b, found, "b_idx"), _without(c, found, "c_idx")
-        keys = {"absolute-hpid": text_key("hpid"), "id": text_key("elementId"), "css-selector": text_key("cssSelector"), "xpath": text_key("xpath")}
         for name, confidence in sorted(options.strategies.items(), key=lambda x: -x[1]):
-            if name in keys and {"css-selector": "cssSelector", "xpath": "xpath"}.get(name, "hpid") in base.columns:
-                done = keyed(b, c, keys[name], name, confidence, options)
-                matches.append(done.filter("outcome = 'match'"))
-                ambiguous.append(done.filter("outcome = 'ambiguous'"))
-                b, c = _without(b, done.filter("outcome <> 'orphan'"), "b_idx"), _without(c, matches[-1], "c_idx")
-        rest_c, rest_b = c.select("pair_id", "idx"), b.select("pair_id", "idx")
+            done = _strategy(name, b, c, confidence, options)
+            if done is None:
+                continue
+            found, key = done
+            matches.append(found.filter("outcome = 'match'"))
+            if key is not None:
+                ambiguous.append(found.filter("outcome = 'ambiguous'"))
+                reserved.append(candidates(c, key, ambiguous[-1]))
+            b, c = _without(b, found.filter("outcome <> 'orphan'"), "b_idx"), _without(c, matches[-1], "c_idx")
+        rest_c, rest_b = _without(c, reduce(DataFrame.unionByName, reserved), "c_idx").select("pair_id", "idx"), b.select("pair_id", "idx")
         added = rest_c if added is None else added.unionByName(rest_c)
         removed = rest_b if removed is None else removed.unionByName(rest_b)
     columns = ["pair_id", "b_idx", "c_idx", "strategy", "confidence"]
     joined = reduce(DataFrame.unionByName, [m.select(*columns) for m in matches])
     unclear = reduce(DataFrame.unionByName, [a.select("pair_id", "key", "b_idx", "n_candidates", "strategy", "confidence") for a in ambiguous])
-    return {"matches": joined, "ambiguous": unclear, "added": added.distinct(), "removed": removed.distinct()}
+    return {"matches": joined, "ambiguous": unclear, "reserved": reduce(DataFrame.unionByName, reserved), "added": added.distinct(), "removed": removed.distinct()}
 
 
 def match_rate(matched: Column, removed: Column, added: Column) -> Column:

@@ -31,6 +31,9 @@ li AS (
 )"""
 
 
+_PARENT = "CASE WHEN length(hpid) - length(replace(hpid, '.', '')) = 2 THEN split_part(hpid, '.', 1) || '.' || split_part(hpid, '.', 2) ELSE '1' END"
+
+
 def _diffs(color: int = 5, size: int = 3, text: bool = True) -> str:
     px = lambda c: f"CASE WHEN {c} = 0 THEN '0px' ELSE {c} || '.00px' END"
     red = lambda c: f"'rgba(' || {c} || ', 0, 0, 1)'"
@@ -53,9 +56,18 @@ def _diffs(color: int = 5, size: int = 3, text: bool = True) -> str:
 )"""
 
 
+def _residual(*options) -> str:
+    """diffs without the colours that only follow the parent's."""
+    return f"""{_diffs(*options)}, residual AS (
+  SELECT * FROM diffs d WHERE NOT (property = 'color' AND EXISTS (SELECT 1 FROM diffs p WHERE p.pair_id = d.pair_id AND p.hpid = ({_PARENT.replace("hpid", "d.hpid")}) AND p.property = 'color' AND p.base_value = d.base_value AND p.compare_value = d.compare_value))
+), residual_match AS (
+  SELECT pair_id, ord, hpid, count(*) AS total, CASE min(CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 ELSE 4 END) WHEN 1 THEN 'critical' WHEN 2 THEN 'high' ELSE 'low' END AS worst FROM residual GROUP BY pair_id, ord, hpid
+)"""
+
+
 def _summary(*options) -> str:
-    worst = ", ".join(f"(SELECT count(*) FROM per_match WHERE worst = '{s}') AS {s}" for s in ("critical", "high", "medium", "low"))
-    return f"WITH {_diffs(*options)} SELECT count(*) AS total, count(*) - (SELECT count(*) FROM per_match) AS unchanged, (SELECT count(*) FROM per_match) AS modified, (SELECT count(*) FROM diffs) AS differences, CAST(0 AS BIGINT) AS ambiguous, {worst} FROM m"
+    worst = ", ".join(f"(SELECT count(*) FROM residual_match WHERE worst = '{s}') AS {s}" for s in ("critical", "high", "medium", "low"))
+    return f"WITH {_residual(*options)} SELECT count(*) AS total, count(*) - (SELECT count(*) FROM residual_match) AS unchanged, (SELECT count(*) FROM residual_match) AS modified, (SELECT count(*) FROM residual) AS differences, CAST(0 AS BIGINT) AS ambiguous, {worst} FROM m"
 
 
 def _keyed(key: str) -> str:
@@ -71,8 +83,6 @@ _IDENTITY = f"""WITH {_SNAPSHOTS}, identity AS (
   FROM base b FULL JOIN cmp c ON b.pair_id = c.pair_id AND b.hpid = c.hpid
 )"""
 
-_PARENT = "CASE WHEN length(hpid) - length(replace(hpid, '.', '')) = 2 THEN split_part(hpid, '.', 1) || '.' || split_part(hpid, '.', 2) ELSE '1' END"
-
 _ITEMS = f"""WITH {_diffs()}, items AS (
   SELECT pair_id, ord, hpid, concat_ws('.', tag, classes) AS label, count(*) AS total,
          CASE min(CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 ELSE 4 END) WHEN 1 THEN 'critical' WHEN 2 THEN 'high' ELSE 'low' END AS severity,
@@ -104,7 +114,8 @@ ORACLE_SQL: dict[str, str] = {
       ELSE upper(split_part(p_name, ' ', 1)[1]) || split_part(p_name, ' ', 1)[2:] END AS color FROM part""",
     "normalize_hsl": """WITH v AS (SELECT p_partkey, p_partkey % 2 = 0 AS grey, CAST(floor(p_partkey % 5 * 20 / 100.0 * 255 + 0.5) AS INT) AS g, p_partkey % 6 AS h FROM part)
       SELECT p_partkey, CASE WHEN grey THEN 'rgba(' || g || ', ' || g || ', ' || g || ', 1)' ELSE 'rgba(' || CASE WHEN h IN (0, 1, 5) THEN 255 ELSE 0 END || ', ' || CASE WHEN h IN (1, 2, 3) THEN 255 ELSE 0 END || ', ' || CASE WHEN h IN (3, 4, 5) THEN 255 ELSE 0 END || ', 1)' END AS color FROM v""",
-    "normalize_units": """SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN p_size || '.00px' WHEN 1 THEN p_size * 16 || '.00px' WHEN 2 THEN p_size * 16 || '.00px' WHEN 3 THEN p_size * 96 || '.00px' WHEN 4 THEN p_size * 16 || '.00px' WHEN 5 THEN p_size || '.00%' ELSE p_size || '.00px' END AS size FROM part""",
+    "normalize_units": """WITH v AS (SELECT p_partkey, p_partkey % 7 AS u, p_size + (p_partkey % 8) / 8.0 AS x FROM part), f AS (SELECT *, CAST(floor(x * CASE u WHEN 1 THEN 16 WHEN 2 THEN 16 WHEN 3 THEN 96 WHEN 4 THEN 16 ELSE 1 END * 100 + 0.5) AS BIGINT) AS n FROM v)
+      SELECT p_partkey, (n // 100) || '.' || lpad(CAST(n % 100 AS VARCHAR), 2, '0') || CASE WHEN u = 5 THEN '%' ELSE 'px' END AS size FROM f""",
     "normalize_font": """SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') || ', serif' AS font FROM part""",
     "expand_margin_shorthand": """WITH v AS (SELECT p_partkey, p_size, p_partkey % 4 + 1 AS n, (p_partkey % 3) || 'px' AS a, (p_partkey % 5) || 'px' AS b, (p_partkey % 7) || 'px' AS c, (p_partkey % 11) || 'px' AS d FROM part)
       SELECT p_partkey, a AS top, CASE WHEN n > 1 THEN b ELSE a END AS "right", CASE WHEN n > 2 THEN c ELSE a END AS bottom, CASE WHEN p_size % 2 = 0 THEN '9px' WHEN n > 3 THEN d WHEN n > 1 THEN b ELSE a END AS "left", false AS kept FROM v""",
@@ -125,9 +136,11 @@ ORACLE_SQL: dict[str, str] = {
     "diffs_by_category": f"WITH {_diffs()} SELECT pair_id, hpid, category, string_agg(property, ',' ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 ELSE 4 END, CASE property WHEN 'width' THEN 1 WHEN 'color' THEN 2 WHEN 'display' THEN 3 WHEN 'textContent' THEN 4 ELSE 5 END) AS properties FROM diffs GROUP BY pair_id, hpid, category",
     "dedupe_recurrence": f"{_ITEMS} SELECT pair_id, severity, label, hpid, total, recurrence FROM once",
     "impact_score": f"""{_ITEMS}, counts AS (
-      SELECT pair_id, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, CAST(0 AS BIGINT) AS medium, count(*) FILTER (severity = 'low') AS low, count(*) AS root_causes FROM once GROUP BY pair_id
+      SELECT pair_id, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, CAST(0 AS BIGINT) AS medium, count(*) FILTER (severity = 'low') AS low, count(*) AS root_causes, CAST(0 AS BIGINT) AS content_demoted FROM once GROUP BY pair_id
     ) SELECT *, (100 * critical + 40 * high + 3 * low) / 10 AS raw_penalty, CAST(greatest(0, floor((1000 - (100 * critical + 40 * high + 3 * low)) / 10 + 0.5)) AS INT) AS impact_score FROM counts""",
-    "change_distribution": f"{_ITEMS} SELECT pair_id, count(*) FILTER (moved) AS layout, count(*) FILTER (NOT moved) AS style, CAST(0 AS BIGINT) AS content FROM once GROUP BY pair_id",
+    "change_distribution": f"""{_ITEMS}, dom AS (SELECT pair_id FROM (SELECT c.pair_id FROM cmp c ANTI JOIN base b ON c.pair_id = b.pair_id AND c.hpid = b.hpid UNION ALL SELECT b.pair_id FROM base b ANTI JOIN cmp c ON c.pair_id = b.pair_id AND c.hpid = b.hpid)),
+      counted AS (SELECT pair_id, count(*) FILTER (moved) AS layout, count(*) FILTER (NOT moved) AS style FROM once GROUP BY pair_id), doms AS (SELECT pair_id, count(*) AS dom FROM dom GROUP BY pair_id)
+      SELECT pair_id, coalesce(layout, 0) AS layout, coalesce(style, 0) AS style, CAST(0 AS BIGINT) AS content, coalesce(dom, 0) AS dom FROM counted FULL JOIN doms USING (pair_id)""",
     "top_root_causes": f"{_ITEMS}, placed AS (SELECT pair_id, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY total DESC, ord) AS INT) AS place, hpid, total FROM once) SELECT * FROM placed WHERE place <= 3",
     "url_compatibility": r"""WITH u AS (
       SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_replace(lower(regexp_extract(url, '://[^/?#]*([^?#]*)', 1)), '/$', '') AS path, regexp_extract(url, '#(.*)$', 1) AS ref,
@@ -135,8 +148,10 @@ ORACLE_SQL: dict[str, str] = {
     ), n AS (SELECT *, lead(page_id) OVER w AS other_id, lead(path) OVER w AS path2, lead(ref) OVER w AS ref2, lead(q) OVER w AS q2 FROM u WINDOW w AS (PARTITION BY host ORDER BY page_id))
     SELECT page_id, other_id, CASE WHEN path <> path2 THEN 'INCOMPATIBLE' WHEN q = q2 AND ref = ref2 THEN 'COMPATIBLE' ELSE 'CAUTION' END AS compatibility FROM n WHERE other_id IS NOT NULL""",
     "strip_tracking_params": r"SELECT page_id, array_to_string(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(split_part(p, '=', 1), '^(utm_.*|gclid|gad_source|fbclid|msclkid|_ga|_gl)$', 'i')), '&') AS params FROM pages",
-    "env_tag": r"SELECT page_id, CASE WHEN regexp_matches(lower(regexp_extract(url, '://([^/?#]*)', 1)), '\b(stage|staging|stg|dev|test|qa|uat|preprod|localhost)\b') THEN 'STAGE' ELSE 'PROD' END AS env FROM pages",
-    "last_path_segment": r"SELECT page_id, regexp_extract(url, '://[^?#]*?([^/?#]+)/*(?:[?#].*)?$', 1) AS segment FROM pages",
+    "env_tag": r"""WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN replace(url, '://', '://preview.') WHEN 1 THEN replace(url, '://', '://qa-') WHEN 2 THEN '' ELSE url END AS url FROM pages)
+      SELECT page_id, CASE WHEN url = '' THEN 'UNKNOWN' WHEN regexp_matches(lower(regexp_extract(url, '://([^/?#]*)', 1)), '\b(stage|staging|dev|test|qa|uat|preview|sandbox|canary)\b') THEN 'STAGE' ELSE 'PROD' END AS env FROM u""",
+    "last_path_segment": r"""WITH u AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN regexp_extract(url, '^[^:]*://[^/?#]*', 0) || '/' WHEN 1 THEN 'no address' ELSE url END AS url FROM pages), p AS (SELECT page_id, url, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM u)
+      SELECT page_id, CASE WHEN NOT contains(url, '://') THEN '' ELSE '/' || regexp_extract(path, '([^/]*)/*$', 1) END AS segment FROM p""",
     "class_occurrence": f"WITH {_SNAPSHOTS} SELECT idx, CASE WHEN coalesce(classes, '') = '' THEN 0 ELSE count(*) OVER (PARTITION BY pair_id, coalesce(classes, '')) END AS \"classOccurrenceCount\" FROM base",
     "filter_top_level_roots": f"WITH {_SNAPSHOTS}, w AS (SELECT * FROM base WHERE (tag = 'ul' AND idx % 3 = 0) OR el_id LIKE '%7') SELECT pair_id AS page_id, hpid FROM w a WHERE NOT EXISTS (SELECT 1 FROM w p WHERE p.pair_id = a.pair_id AND a.hpid LIKE '1.%.%' AND p.hpid = ({_PARENT.replace('hpid', 'a.hpid')}))",
     "tier_classification": f"WITH {_SNAPSHOTS} SELECT CASE WHEN tag = 'a' OR role = 'button' THEN 'T3' WHEN tag IN ('p', 'span') THEN 'T2' ELSE 'T1' END AS tier, count(*) AS n FROM cmp GROUP BY ALL",
