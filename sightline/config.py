@@ -105,6 +105,10 @@ DYNAMIC_IDS = [r"^\d+$", r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9
 DYNAMIC_CLASSES = [r"^Mui[A-Z]\w+-\w+-\d+$", r"^makeStyles-", r"^css-[a-z0-9]+$", r"^jss\d+$", r"^sc-[a-z]+-[a-z]+$", r"^emotion-\d+$", r"^lwc-[a-z0-9]+"]
 TRACKING_PARAMS = r"(?i)^(utm_.*|gclid|gad_source|fbclid|msclkid|_ga|_gl)$"
 
+UNSTABLE_VALUES = [r"^[0-9]{8,}$", r"(?i)^[a-f0-9]{8}-[a-f0-9]{4}", r"(?i)data-aura-rendered", r"(?i)^ember\d+$", r"(?i)^react\d+$", r"^\d{13}$", r"^tt-for-\d+$", r"(?i)^[0-9]+:[0-9]+;[a-z]$", r"-\d+-\d+$"]
+DYNAMIC_TEXTS = [r"^\d+$", r"^[0-9]{8,}$", r"(?i)^[a-f0-9]{8}-[a-f0-9]{4}", r"^\d{1,2}:\d{2}", r"^\d{1,2}/\d{1,2}/\d{2,4}$", r"(?i)^loading", r"(?i)^processing", r"^\$\d+\.\d{2}$"]
+SELECTOR_TEST_ATTRIBUTES = "data-testid data-test data-qa data-cy data-automation-id".split()
+SEMANTIC_ATTRIBUTES = "placeholder alt title name value for".split()
 STAGE_HOSTS = r"\b(stage|staging|dev|test|qa|uat|preview|sandbox|canary)\b"
 BLOCKED_PROTOCOLS = r"^(chrome|chrome-extension|about|data):"
 URL_NOISE_ATTRIBUTES = "href src srcset action data-href data-url data-link data-src formaction".split()

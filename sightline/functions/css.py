@@ -123,6 +123,11 @@ def normalize_unit(value: Column) -> Column:
     )
 
 
+def is_context_dependent(value: Column) -> Column:
+    """Whether a size depends on a parent or the viewport."""
+    return F.coalesce(F.lower(F.trim(value)).rlike("em|rem|%|vw|vh|vmin|vmax"), F.lit(False))
+
+
 def normalize_font(value: Column) -> Column:
     """Families without quotes: generic ones in lower case, others capitalised."""
 

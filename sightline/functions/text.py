@@ -59,12 +59,60 @@ def any_matches(text: Column, patterns: list[str]) -> Column:
     return text.rlike("|".join(f"(?:{p})" for p in patterns))
 
 
+def _sized(text: Column, least: int, most: int = 200) -> Column:
+    return F.coalesce(F.length(text).between(least, most), F.lit(False))
+
+
 def is_stable_id(text: Column) -> Column:
-    return (F.coalesce(text, F.lit("")) != "") & ~any_matches(text, C.DYNAMIC_IDS)
+    return _sized(text, 2) & ~any_matches(text, C.DYNAMIC_IDS)
+
+
+def is_stable_value(text: Column) -> Column:
+    return _sized(text, 1) & ~any_matches(text, C.UNSTABLE_VALUES)
 
 
 def is_stable_class(text: Column) -> Column:
-    return (F.coalesce(text, F.lit("")) != "") & ~any_matches(text, C.DYNAMIC_CLASSES)
+    return (F.coalesce(F.trim(text), F.lit("")) != "") & ~any_matches(F.trim(text), C.DYNAMIC_CLASSES)
+
+
+def is_static_text(text: Column) -> Column:
+    """Texts that don't look like a number, a time, a price or a sign of work in progress."""
+    return _sized(text, 2) & ~any_matches(text, C.DYNAMIC_TEXTS)
+
+
+def escape_css(text: Column) -> Column:
+    """A quoted attribute value's text for a selector."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"""([!"#$%&'()*+,./:;<=>?@\[\\\]^`{|}~])""", r"\\$1")
+
+
+def css_identifier(text: Column) -> Column:
+    """An identifier as CSSOM serialises it: a digit in front and control characters by code, other marks with a backslash."""
+    point = lambda c: F.concat(F.lit("\\"), F.lower(F.hex(F.ascii(c))), F.lit(" "))
+    first_digit = lambda i, c: c.rlike("[0-9]") & ((i == 0) | ((i == 1) & text.startswith("-")))
+    one = lambda c, i: F.when(c == "\x00", "\ufffd").when(c.rlike(r"[\x01-\x1f\x7f]") | first_digit(i, c), point(c)).when((c == "-") & (F.length(text) == 1), "\\-").when(c.rlike(r"[A-Za-z0-9_-]|[^\x00-\x7f]"), c).otherwise(F.concat(F.lit("\\"), c))
+    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
+
+
+def element_ref(tag: Column, element_id: Column, classes: Column) -> Column:
+    """How a neighbour is named: its label with up to three classes."""
+    return element_label(tag, element_id, classes, 3)
+
+
+def relative_time(then: Column, now: Column) -> Column:
+    """just now, or minutes, hours or days ago."""
+    minutes = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 60_000_000)
+    ago = lambda n, unit: F.concat(n.cast("string"), F.lit(f"{unit} ago"))
+    hours = F.floor(minutes / 60)
+    return F.when(minutes < 1, "just now").when(minutes < 60, ago(minutes, "m")).when(hours < 24, ago(hours, "h")).otherwise(ago(F.floor(hours / 24), "d"))
+
+
+def file_timestamp(when: Column) -> Column:
+    return F.date_format(when, "yyyy-MM-dd'T'HH-mm-ss")
+
+
+def payload_estimate(elements: Column) -> Column:
+    """Bytes that a message with so many elements is taken for."""
+    return elements * 56 * 30
 
 
 def header_like(cells: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Mapping
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -11,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import hpid as H
+from ..functions import text as T
 
-ELEMENTS = "page_id long, idx int, hpid string, parent string, depth int, tagName string, elementId string, className string, role string, attributes map<string,string>, textContent string"
+ELEMENTS = "idx int, hpid string, parent string, dom_path string, depth int, tagName string, elementId string, className string, role string, attributes map<string,string>, textContent string"
 
 # Tags and roles by tier.
 T3_TAGS = "button input select textarea label a dialog details output meter progress option optgroup".split()
@@ -24,10 +27,22 @@ _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer f
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Depth at which a page is refused.
 MAX_DEPTH = 5000
+#: Characters of an element's own text that are kept.
+MAX_TEXT = 500
+# Where a page's header and footer lie, as shares of its height and of the viewport's.
+HEADER_SHARE, HEADER_VIEWPORTS, FOOTER_SHARE, FOOTER_VIEWPORTS = 0.20, 1.5, 0.15, 1.0
+
+
+class EngineBoundaryError(ValueError):
+    """A page is nested too deeply."""
 
 
 class _Walker(HTMLParser):
-    """Elements in document order with paths of sibling numbers; irrelevant tags are left out with all beneath."""
+    """Elements in document order with paths of sibling numbers; irrelevant tags are left out with all beneath.
+
+    A path counts relevant siblings; dom_path counts all of them, from the body's children down. What a declared shadow root
+    (<template shadowrootmode>) holds lies at its host's path and a 0.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -37,7 +52,13 @@ class _Walker(HTMLParser):
         self.skipped: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        up = self.stack[-1] if self.stack else None
+        if tag == "template" and up and not self.skipped and any(k == "shadowrootmode" for k, _ in attrs):
+            self.stack.append({"hpid": f"{up['hpid']}.0", "dom_path": f"{up['dom_path']}.0", "depth": up["depth"], "tagName": tag, "texts": [], "kids": 0, "all": 0})
+            return
         if self.skipped or tag in C.IRRELEVANT_TAGS:
+            if not self.skipped and up:
+                up["all"] += 1
             if tag not in _VOID:
                 self.skipped.append(tag)
             return
@@ -48,14 +69,17 @@ class _Walker(HTMLParser):
         up = self.stack[-1] if self.stack else None
         if up:
             up["kids"] += 1
+            up["all"] += 1
             path = f"{up['hpid']}.{up['kids']}"
+            dom = "" if tag == "body" else f"{up['dom_path']}.{up['all']}" if up["dom_path"] else str(up["all"])
         else:
             self.roots += 1
-            path = str(self.roots)
-        if len(self.stack) >= MAX_DEPTH:
-            raise ValueError(f"a page is deeper than {MAX_DEPTH} elements")
+            path, dom = str(self.roots), "" if tag in ("html", "body") else str(self.roots)
+        depth = up["depth"] + 1 if up else 0
+        if depth >= MAX_DEPTH:
+            raise EngineBoundaryError(f"a page is deeper than {MAX_DEPTH} elements")
         held = {k: v or "" for k, v in reversed(attrs)}
-        row = {"idx": len(self.rows), "hpid": path, "parent": up["hpid"] if up else None, "depth": len(self.stack), "tagName": tag, "attributes": held, "texts": [], "kids": 0}
+        row = {"idx": len(self.rows), "hpid": path, "parent": up["hpid"].removesuffix(".0") if up else None, "dom_path": dom, "depth": depth, "tagName": tag, "attributes": held, "texts": [], "kids": 0, "all": 0}
         self.rows.append(row)
         if tag not in _VOID:
             self.stack.append(row)
@@ -75,24 +99,88 @@ class _Walker(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
-        if not self.skipped and self.stack and not data.isspace():
-            self.stack[-1]["texts"].append(data.strip())
+        if not self.skipped and self.stack:
+            self.stack[-1]["texts"].append(data)
+
+
+def _own_text(texts: list[str]) -> str | None:
+    text = "".join(texts).strip()
+    return f"{text[:MAX_TEXT]}..." if len(text) > MAX_TEXT else text or None
 
 
 def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row per relevant element of each page, in document order; null and empty pages have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in ELEMENTS.split(", ")]
+        names = ["page_id", *(f.split()[0] for f in ELEMENTS.split(", "))]
         for batch in batches:
             for page, text in zip(batch["page_id"], batch["html"], strict=True):
                 walker = _Walker()
                 walker.feed(text or "")
                 walker.close()
-                rows = [(page, r["idx"], r["hpid"], r["parent"], r["depth"], r["tagName"], r["attributes"].get("id"), r["attributes"].get("class"), r["attributes"].get("role"), r["attributes"], " ".join(r["texts"]) or None) for r in walker.rows]
+                rows = [(page, r["idx"], r["hpid"], r["parent"], r["dom_path"], r["depth"], r["tagName"], r["attributes"].get("id"), r["attributes"].get("class"), r["attributes"].get("role"), r["attributes"], _own_text(r["texts"])) for r in walker.rows]
                 yield pd.DataFrame(rows, columns=names)
 
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html")).mapInPandas(run, ELEMENTS)
+    return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInPandas(run, f"page_id {dict(pages.dtypes)[id_col]}, {ELEMENTS}")
+
+
+def wanted_by(filters: Mapping[str, str]) -> Column | None:
+    """The elements that filters ask for: class (words of a group all, groups apart by commas), id and tag; any of the three will do. None without filters."""
+    classes = F.split(F.trim(F.coalesce("className", F.lit(""))), r"\s+")
+    parts: list[Column] = []
+    for group in filters.get("class", "").split(","):
+        names = [c.removeprefix(".") for c in group.split()]
+        if names:
+            parts.append(reduce(lambda a, b: a & b, [F.array_contains(classes, n) for n in names]))
+    ids = [i.strip().removeprefix("#") for i in filters.get("id", "").split(",") if i.strip()]
+    if ids:
+        parts.append(F.coalesce(F.col("elementId").isin(ids), F.lit(False)))
+    tags = [t.lower() for t in re.split(r"[\s,]+", filters.get("tag", "")) if t]
+    if tags:
+        parts.append(F.col("tagName").isin(tags))
+    return reduce(lambda a, b: a | b, parts) if parts else None
+
+
+def filtered(rows: DataFrame, filters: Mapping[str, str]) -> DataFrame:
+    """The subtrees of the topmost elements that filters ask for, numbered anew: the k-th root has the path k; absoluteHpid begins with the root's dom_path.
+
+    Without filters all rows, whose absolute paths are their paths.
+    """
+    wanted = wanted_by(filters)
+    if wanted is None:
+        return rows.withColumn("absoluteHpid", F.col("hpid"))
+    roots = top_level(rows, wanted).select("page_id", F.col("hpid").alias("root"), F.col("dom_path").alias("root_dom"), F.col("depth").alias("root_depth"), F.row_number().over(Window.partitionBy("page_id").orderBy("idx")).cast("string").alias("k"))
+    asked = rows.withColumn("root", F.explode(F.concat(H.ancestors(F.col("hpid")), F.array("hpid"))))
+    met = asked.join(roots, ["page_id", "root"])
+    rest = F.substring(F.col("hpid"), F.length("root") + 1, F.length("hpid"))
+    return met.withColumns({"absoluteHpid": F.concat("root_dom", rest), "hpid": F.concat("k", rest), "depth": F.col("depth") - F.col("root_depth")}).drop("root", "root_dom", "root_depth", "k")
+
+
+def visible(styles: Column, width: Column, height: Column) -> Column:
+    """Whether an element takes part in the picture."""
+    value = lambda k: F.coalesce(F.element_at(styles, F.lit(k)), F.lit(""))
+    shown = F.coalesce(F.element_at(styles, F.lit("opacity")).try_cast("double"), F.lit(1.0)) > 0
+    return (value("display") != "none") & (value("visibility") != "hidden") & shown & (F.coalesce(width, F.lit(0)) > 0) & (F.coalesce(height, F.lit(0)) > 0)
+
+
+def tracked(styles: Column) -> Column:
+    """Only the properties that reports record."""
+    return F.map_filter(styles, lambda k, v: k.isin(C.CSS_PROPERTIES))
+
+
+def inline_styles(attributes: Column) -> Column:
+    """Properties of a style attribute, the later of two declarations; what a page without a browser tells of its styles."""
+    parts = F.filter(F.split(F.coalesce(F.element_at(attributes, F.lit("style")), F.lit("")), ";"), lambda p: F.contains(p, F.lit(":")))
+    entries = F.transform(parts, lambda p: F.struct(F.lower(F.trim(F.substring_index(p, ":", 1))).alias("key"), F.trim(F.regexp_replace(p, "^[^:]*:", "")).alias("value")))
+    last = F.filter(entries, lambda e, i: F.size(F.filter(entries, lambda x, k: (k > i) & (x["key"] == e["key"]))) == 0)
+    return F.map_from_entries(last)
+
+
+def section_by_position(top: Column, document_height: Column, viewport_height: Column) -> Column:
+    """header, main or footer by how far down an element begins."""
+    header = F.least(document_height * HEADER_SHARE, viewport_height * HEADER_VIEWPORTS)
+    footer = document_height - F.least(document_height * FOOTER_SHARE, viewport_height * FOOTER_VIEWPORTS)
+    return F.when(top < header, "header").when(top > footer, "footer").otherwise("main")
 
 
 def tier(tag: Column, role: Column) -> Column:
@@ -131,12 +219,45 @@ def with_class_occurrence(rows: DataFrame, owner: str = "page_id") -> DataFrame:
 
 
 def child_tags(rows: DataFrame, most: int = 10) -> DataFrame:
-    """tag(n) of each element's children, in the order in which tags first occur."""
+    """The tags of each element's children in the order in which they first occur, with their number where it is above 1."""
     counts = rows.filter("parent is not null").groupBy("page_id", "parent", "tagName").agg(F.count("*").alias("n"), F.min("idx").alias("first"))
-    parts = F.array_sort(F.collect_list(F.struct("first", F.concat("tagName", F.lit("("), F.col("n").cast("string"), F.lit(")")).alias("t"))))  # a row per tag name
+    named = F.concat("tagName", F.when(F.col("n") > 1, F.concat(F.lit("("), F.col("n").cast("string"), F.lit(")"))).otherwise(""))
+    parts = F.array_sort(F.collect_list(F.struct("first", named.alias("t"))))  # a row per tag name
     return counts.groupBy("page_id", F.col("parent").alias("hpid")).agg(F.array_join(F.transform(F.slice(parts, 1, most), lambda x: x["t"]), ", ").alias("children"))
 
 
+def neighbours(rows: DataFrame) -> DataFrame:
+    """Each element's parent, siblings and children: parent, previousSibling, nextSibling (as labels), childrenCount, childrenTypes."""
+    ref = T.element_ref(F.col("tagName"), F.col("elementId"), F.col("className"))
+    named = rows.select("page_id", "idx", "hpid", "parent", ref.alias("ref"))
+    beside = Window.partitionBy("page_id", "parent").orderBy("idx")
+    found = named.withColumns({"previousSibling": F.lag("ref").over(beside), "nextSibling": F.lead("ref").over(beside)})
+    up = named.select("page_id", F.col("hpid").alias("parent"), F.col("ref").alias("parent_ref"))
+    counts = rows.filter("parent is not null").groupBy("page_id", F.col("parent").alias("hpid")).agg(F.count("*").alias("childrenCount"))
+    met = found.join(up, ["page_id", "parent"], "left").join(counts, ["page_id", "hpid"], "left").join(child_tags(rows), ["page_id", "hpid"], "left")
+    return met.select("page_id", "idx", "hpid", F.col("parent_ref").alias("parent"), "previousSibling", "nextSibling", F.coalesce("childrenCount", F.lit(0)).alias("childrenCount"), F.split(F.col("children"), ", ").alias("childrenTypes"))
+
+
+def class_hierarchy(rows: DataFrame, parents: int = 3, children: int = 10, classes: int = 2) -> DataFrame:
+    """Tag and first classes of the nearest ancestors (at most `parents` up) and of the first children that have classes."""
+    names = F.slice(F.filter(F.split(F.trim(F.coalesce("className", F.lit(""))), r"\s+"), lambda c: c != ""), 1, classes)
+    classed = rows.select("page_id", "hpid", "parent", "idx", F.struct(F.col("tagName").alias("tag"), names.alias("classes")).alias("own")).filter(F.size("own.classes") > 0)
+    steps = F.slice(F.reverse(H.ancestors(F.col("hpid"))), 1, parents)
+    asked = rows.select("page_id", "hpid", F.posexplode(steps).alias("up", "above"))
+    above = asked.join(classed.select("page_id", F.col("hpid").alias("above"), "own"), ["page_id", "above"])
+    ordered = lambda key: F.transform(F.array_sort(F.collect_list(F.struct(key, "own"))), lambda x: x["own"])
+    ups = above.groupBy("page_id", "hpid").agg(ordered("up").alias("parentClasses"))
+    first = F.row_number().over(Window.partitionBy("page_id", "parent").orderBy("idx"))
+    downs = classed.withColumn("k", first).filter(F.col("k") <= children).groupBy("page_id", F.col("parent").alias("hpid")).agg(ordered("k").alias("childClasses"))
+    return rows.select("page_id", "idx", "hpid").join(ups, ["page_id", "hpid"], "left").join(downs, ["page_id", "hpid"], "left")
+
+
+def sibling_ordinals(rows: DataFrame) -> DataFrame:
+    """rows with nth (among all siblings), nth_of_type and of_type (siblings of the same tag)."""
+    beside, same = Window.partitionBy("page_id", "parent").orderBy("idx"), Window.partitionBy("page_id", "parent", "tagName")
+    return rows.withColumns({"nth": F.row_number().over(beside), "nth_of_type": F.row_number().over(same.orderBy("idx")), "of_type": F.count("*").over(same)})
+
+
 def top_level(rows: DataFrame, wanted: Column) -> DataFrame:
     """Wanted elements without those that lie beneath another wanted one."""
     found = rows.filter(wanted)
