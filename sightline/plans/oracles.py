@@ -122,6 +122,22 @@ ORACLE_SQL: dict[str, str] = {
     "style_diff_long": f"WITH {_diffs()} SELECT pair_id, hpid, property, base_value, compare_value, type, category FROM diffs",
     "severity_per_diff": f"WITH {_diffs()} SELECT property, severity, count(*) AS n FROM diffs GROUP BY ALL",
     "severity_counts": f"WITH {_diffs()} SELECT pair_id, hpid, total, critical, high, medium, low, worst FROM per_match",
+    "attr_diff": f"WITH {_diffs()} SELECT pair_id, hpid, property, base_value, compare_value, type, severity FROM diffs WHERE category = 'attribute'",
+    "text_diff": f"WITH {_diffs()} SELECT pair_id, hpid, base_value, compare_value, severity FROM diffs WHERE category = 'content'",
+    "severity_worst": f"WITH {_diffs()} SELECT pair_id, worst, count(*) AS elements FROM per_match GROUP BY ALL",
+    "luminance_delta": "WITH v AS (SELECT p_partkey, p_partkey % 256 / 255.0 AS v FROM part) SELECT p_partkey, CAST(floor(0.2126 * CASE WHEN v <= 0.03928 THEN v / 12.92 ELSE pow((v + 0.055) / 1.055, 2.4) END * 1000 + 0.5) AS BIGINT) AS permille FROM v",
+    "tolerance_filter": "WITH v AS (SELECT CAST(p_partkey AS VARCHAR) AS hpid, CASE WHEN p_partkey % 7 > 3 THEN 1 ELSE 0 END AS h, CASE WHEN p_partkey % 11 > 5 THEN 1 ELSE 0 END AS c FROM part) SELECT hpid, CAST(h AS BIGINT) AS heights, CAST(c AS BIGINT) AS colors FROM v WHERE h + c > 0",
+    "dedupe_current_color": "SELECT 'color' AS property, count(*) AS n FROM part UNION ALL SELECT 'border-top-color', count(*) FROM part WHERE p_partkey % 3 = 0",
+    "drop_shorthands": """SELECT property, type, n FROM (SELECT 'padding-left' AS property, 'modified' AS type, count(*) AS n FROM part UNION ALL
+      SELECT 'border-' || side || '-' || kind, 'removed', (SELECT count(*) FROM part) FROM (VALUES ('top'), ('right'), ('bottom'), ('left')) s(side), (VALUES ('width'), ('style'), ('color')) k(kind) WHERE NOT (side = 'top' AND kind = 'width'))""",
+    "cascade_suppressed": f"WITH {_residual()} SELECT pair_id, hpid, property, base_value, compare_value FROM (SELECT * FROM diffs EXCEPT ALL SELECT * FROM residual)",
+    "narrative_badge": f"{_ITEMS} SELECT pair_id, CASE WHEN moved THEN 'LAYOUT SHIFT' ELSE 'STYLE REGRESSION' END AS badge, count(*) AS items FROM once GROUP BY ALL",
+    "query_param_diff": """SELECT page_id, 'n' AS key, CAST(NULL AS VARCHAR) AS baseline, CAST(page_id AS VARCHAR) AS compare FROM pages UNION ALL SELECT page_id, 'p', '1', '7' FROM pages WHERE page_id % 2 <> 0""",
+    "report_validation": """WITH v AS (SELECT o_orderkey, concat_ws('; ', CASE WHEN o_orderkey % 5 = 0 THEN 'Missing or invalid URL' END, CASE WHEN o_orderkey % 7 = 0 THEN 'Missing or invalid timestamp' END,
+      CASE WHEN o_orderkey % 11 = 0 THEN 'Element count mismatch: expected 9, got ' || (o_orderkey % 3) END) AS errors FROM orders) SELECT * FROM v WHERE errors <> ''""",
+    "csv_header_sniff": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END >= 2 AS header FROM part",
+    "rect_clipping": f"""WITH {_SNAPSHOTS}, v AS (SELECT o, ln, ln * 100 - 250 AS y, CAST(qty * 20 AS BIGINT) AS h FROM li), c AS (SELECT o, ln, greatest(0, y) AS y, least(y + h, 600) AS bottom, h FROM v)
+      SELECT o, ln, CAST(y AS BIGINT) AS y, CAST(greatest(1, bottom - y) AS BIGINT) AS height, greatest(1, bottom - y) < h AS is_clipped, bottom <= 0 AS is_below FROM c""",
     "text_divergence": f"""WITH {_diffs()} SELECT pair_id, hpid, CAST(floor(CASE WHEN length(ct) < 8 THEN 0.3 ELSE 1.0 END * 4 / length(ct) * 1000 + 0.5) AS BIGINT) AS permille FROM m WHERE bt <> '' AND ct <> '' AND bt <> ct""",
     "cascade_residual": f"""WITH {_diffs()} SELECT d.pair_id, d.property, EXISTS (SELECT 1 FROM diffs p WHERE p.pair_id = d.pair_id AND p.hpid = ({_PARENT.replace("hpid", "d.hpid")}) AND p.property = 'color' AND d.property = 'color' AND p.base_value = d.base_value AND p.compare_value = d.compare_value) AS inherited, count(*) AS n FROM diffs d GROUP BY ALL""",
     "severity_breakdown_parents": f"WITH {_diffs()} SELECT worst, count(*) AS elements FROM per_match a WHERE NOT EXISTS (SELECT 1 FROM per_match p WHERE p.pair_id = a.pair_id AND p.hpid = ({_PARENT.replace('hpid', 'a.hpid')})) GROUP BY worst",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import css, text, url
 from ..functions import hpid as H
-from ..operators import diffing, hierarchy, matching, report, storage
+from ..operators import diffing, hierarchy, matching, report, selectors, storage, visual
 from ..sources import html
 from ..streaming import gates
 from .snapshots import base, edited, lines, matched, table
@@ -200,9 +200,75 @@ def text_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("pair_id", "hpid", F.floor(F.col("divergence") * 1000 + 0.5).alias("permille"))
 
 
+@query
+def attr_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diffs(spark, sf_dir).filter("category = 'attribute'").select("pair_id", "hpid", "property", "base_value", "compare_value", "type", "severity")
+
+
+@query
+def text_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diffs(spark, sf_dir).filter("category = 'content'").select("pair_id", "hpid", "base_value", "compare_value", "severity")
+
+
+@query
+def severity_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _per_match(spark, sf_dir).groupBy("pair_id", "worst").agg(F.count("*").alias("elements"))
+
+
+@query
+def luminance_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative luminance of red shades, in thousandths."""
+    red = F.struct((F.col("p_partkey") % 256).cast("double").alias("r"), F.lit(0.0).alias("g"), F.lit(0.0).alias("b"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.floor(css.luminance(red) * 1000 + 0.5).alias("permille"))
+
+
+def _matched_with(spark: SparkSession, sf_dir: str, base_styles: Column, other_styles: Column) -> DataFrame:
+    """Parts as matched elements with the given styles."""
+    side = lambda styles, name: F.struct(styles.alias("styles"), F.create_map().cast("map<string,string>").alias("attributes"), F.lit("").alias("textContent")).alias(name)
+    return table(spark, sf_dir, "part").select((F.col("p_partkey") % 10).alias("pair_id"), F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("hpid"), side(base_styles, "base"), side(other_styles, "other"))
+
+
+@query
+def tolerance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights that move by 0 to 6 pixels and colours by 0 to 10 steps: what static tolerances let through."""
+    k = F.col("p_partkey")
+    px = lambda n: F.concat(n.cast("string"), F.lit("px"))
+    shade = lambda n: F.concat(F.lit("rgb("), n.cast("string"), F.lit(", 0, 0)"))
+    styles = lambda h, c: F.create_map(F.lit("height"), px(h), F.lit("color"), shade(c))
+    met = _matched_with(spark, sf_dir, styles(F.col("p_size"), k % 200), styles(F.col("p_size") + k % 7, k % 200 + k % 11))
+    return diffing.diff(met).groupBy("hpid").agg(F.count_if(F.col("property") == "height").alias("heights"), F.count_if(F.col("property") == "color").alias("colors"))
+
+
+@query
+def dedupe_current_color(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Border colours that change along with the element's own colour, and every third that changes otherwise."""
+    k = F.col("p_partkey")
+    shade = lambda n: F.concat(F.lit("rgb("), n.cast("string"), F.lit(", 0, 0)"))
+    styles = lambda c, b: F.create_map(F.lit("color"), shade(c), F.lit("border-top-color"), shade(b))
+    met = _matched_with(spark, sf_dir, styles(k % 100, k % 100), styles(k % 100 + 50, F.when(k % 3 == 0, k % 100 + 90).otherwise(k % 100 + 50)))
+    return diffing.diff(met).groupBy("property").agg(F.count("*").alias("n"))
+
+
+@query
+def drop_shorthands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paddings and borders written short on one side and at length on the other."""
+    k = F.col("p_partkey")
+    px = lambda n: F.concat((k % n + 1).cast("string"), F.lit("px"))
+    short = F.create_map(F.lit("padding"), F.concat_ws(" ", px(5), px(3)), F.lit("border"), F.concat(px(4), F.lit(" solid red")))
+    long = F.create_map(F.lit("padding-top"), px(5), F.lit("padding-right"), px(3), F.lit("padding-bottom"), px(5), F.lit("padding-left"), F.concat((k % 3 + 11).cast("string"), F.lit("px")), F.lit("border-top-width"), px(4))
+    found = diffing.diff(_matched_with(spark, sf_dir, short, long))
+    return found.groupBy("property", "type").agg(F.count("*").alias("n"))
+
+
 # hierarchy
 
 
+@query
+def cascade_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hierarchy.cascades(_diffs(spark, sf_dir)).filter("inherited")
+    return found.select("pair_id", "hpid", "property", "base_value", "compare_value")
+
+
 @query
 def cascade_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.cascades(_diffs(spark, sf_dir)).groupBy("pair_id", "property", "inherited").agg(F.count("*").alias("n"))
@@ -268,6 +334,12 @@ def change_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.distribution(report.recurrences(_items(spark, sf_dir)), unmatched_added(spark, sf_dir), unmatched_removed(spark, sf_dir))
 
 
+@query
+def narrative_badge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = report.recurrences(_items(spark, sf_dir)).withColumn("badge", report.badge(F.col("properties"), F.lit(False)))
+    return named.groupBy("pair_id", "badge").agg(F.count("*").alias("items"))
+
+
 @query
 def top_root_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.top_causes(report.recurrences(_items(spark, sf_dir))).select("pair_id", "place", "hpid", "total")
@@ -295,6 +367,14 @@ def url_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("next", following).filter("next is not null").select("page_id", F.col("next.page_id").alias("other_id"), url.compatibility(F.col("url"), F.col("next.url")).alias("compatibility"))
 
 
+@query
+def query_param_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's address against itself with a parameter more, and p changed on every second page."""
+    other = F.concat(F.when(F.col("page_id") % 2 == 0, F.lit("http://h/x?p=1&q=2&utm_source=z")).otherwise("http://h/x?p=7&q=2"), F.lit("&n="), F.col("page_id").cast("string"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(url.query_delta(F.lit("https://k/y?p=1&q=2"), other)).alias("d"))
+    return rows.select("page_id", "d.key", "d.baseline", "d.compare")
+
+
 @query
 def strip_tracking_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(url.params(F.col("url")), "&").alias("params"))
@@ -333,6 +413,17 @@ def section_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.sections(_elements(spark, sf_dir)).select("page_id", "idx", "hpid", "tagName", "section")
 
 
+@query
+def selector_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSS selector for every element of every page."""
+    return selectors.generate(_elements(spark, sf_dir), "css")
+
+
+@query
+def element_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.neighbours(_elements(spark, sf_dir))
+
+
 @query
 def class_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of the derived snapshot that carry the same classes within a comparison."""
@@ -384,6 +475,33 @@ def storage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.stats(table(spark, sf_dir, "part"), "p_size")
 
 
+@query
+def report_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as reports, some without an address, a readable time or as many elements as they say."""
+    k = F.col("o_orderkey")
+    held = F.array_repeat(F.lit(0), (k % 3).cast("int"))
+    wrong = storage.errors_of({
+        "id": k.cast("string"), "version": F.lit("3.0"), "url": F.when(k % 5 == 0, "").otherwise("http://a/"), "timestamp": F.when(k % 7 == 0, "soon").otherwise("2024-01-01T00:00:00Z"),
+        "totalElements": F.when(k % 11 == 0, F.lit(9)).otherwise(k % 3), "elements": held,
+    })
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(wrong, "; ").alias("errors")).filter("errors <> ''")
+
+
+@query
+def csv_header_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    cells = F.array(F.when(k % 2 == 0, " HPID ").otherwise("Title"), F.when(k % 3 == 0, "Tag Name").otherwise("URL"), F.when(k % 5 == 0, "xpath").otherwise("x"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.header_like(cells).alias("header"))
+
+
+@query
+def rect_clipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as rectangles measured in a viewport of 600 pixels."""
+    y, height = (F.col("ln") * 100 - 250).cast("double"), (F.col("qty") * 20).cast("double")
+    cut = visual.clipped(y, height, F.lit(600.0))
+    return lines(spark, sf_dir).select("o", "ln", cut.alias("c")).select("o", "ln", F.col("c.y").cast("long").alias("y"), F.col("c.height").cast("long").alias("height"), "c.is_clipped", "c.is_below")
+
+
 @query
 def csv_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = F.concat(F.when(F.col("p_size") % 3 == 0, "=").when(F.col("p_size") % 3 == 1, "").otherwise('"'), F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, ", x").otherwise(""))
