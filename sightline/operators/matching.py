@@ -186,19 +186,18 @@ def _strategy(name: str, b: DataFrame, c: DataFrame, confidence: float, options:
 
 
 def match(base: DataFrame, other: DataFrame, options: C.MatchOptions = C.MatchOptions()) -> dict[str, DataFrame]:
-    """matches, ambiguous, added and removed.
+    """matches, ambiguous, reserved, added and removed, and the persisted rows of the walk (walked), which the caller frees.
 
     Anchors claim first, then the sequence alignment. Its orphans are in no list, as by default the later passes don't see
     them; orphan_recovery passes them on to suffix, key and place. Without alignment the key passes see all that is left.
-    Compare rows that an ambiguous row could mean are not added rows of the later passes. The walk's rows are persisted:
-    several of the results read them.
+    Compare rows that an ambiguous row could mean are not added rows of the later passes.
     """
     base, other = limit_elements(base, options.max_elements), limit_elements(other, options.max_elements)
     anchors = keyed(base, other, anchor_key(), "test-attribute", 1.0, options)
     matches, ambiguous = [anchors.filter("outcome = 'match'")], [anchors.filter("outcome = 'ambiguous'")]
     reserved = [candidates(other, anchor_key(), ambiguous[0])]
     b, c = _without(base, matches[0], "b_idx"), _without(other, matches[0], "c_idx")
-    added = removed = None
+    added = removed = walked = None
     if options.alignment:
         walked = align(b, c, options).persist()
         matches.append(walked.filter("outcome = 'match'"))
@@ -226,7 +225,7 @@ def match(base: DataFrame, other: DataFrame, options: C.MatchOptions = C.MatchOp
     columns = ["pair_id", "b_idx", "c_idx", "strategy", "confidence"]
     joined = reduce(DataFrame.unionByName, [m.select(*columns) for m in matches])
     unclear = reduce(DataFrame.unionByName, [a.select("pair_id", "key", "b_idx", "n_candidates", "strategy", "confidence") for a in ambiguous])
-    return {"matches": joined, "ambiguous": unclear, "reserved": reduce(DataFrame.unionByName, reserved), "added": added.distinct(), "removed": removed.distinct()}
+    return {"matches": joined, "ambiguous": unclear, "reserved": reduce(DataFrame.unionByName, reserved), "added": added.distinct(), "removed": removed.distinct()} | ({"walked": walked} if walked is not None else {})
 
 
 def match_rate(matched: Column, removed: Column, added: Column) -> Column:
