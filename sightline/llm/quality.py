@@ -24,6 +24,8 @@ from .common import let, words
 
 #: Buckets of the hashed n-grams.
 N_BUCKETS = 10_000
+#: Places that the rows of one id are dealt to.
+SALTS = 16
 #: Added to each bucket's share, as a share of an even spread.
 SMOOTHING = 0.05
 #: Lowest mean log-likelihood ratio that passes.
@@ -80,8 +82,11 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     """log p_trusted - log p_corpus of each bucket. trusted holds the ids of trusted rows; the counts cover all n-grams
     of all trusted rows, and of all rows.
     """
-    ids = trusted.select(F.col(id_col)).distinct().withColumn("__trusted", F.lit(1))
-    marked = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("__text")).join(ids, id_col, "left")  # Spark broadcasts few ids and splits skewed partitions of many
+    # One way at every size: ids, which grow with the input, are shuffled and never broadcast; rows of one id are dealt to SALTS places by their text.
+    salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("__salt")
+    ids = trusted.select(F.col(id_col)).distinct().select(id_col, salts, F.lit(1).alias("__trusted")).hint("merge")
+    rows = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("__text")).withColumn("__salt", F.pmod(F.xxhash64("__text"), F.lit(SALTS)).cast("int"))
+    marked = rows.join(ids, [id_col, "__salt"], "left")
     counts = marked.select("__trusted", F.explode(ngram_buckets(F.col("__text"), n_buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__trusted").alias("good"))
     raw, good = np.zeros(n_buckets), np.zeros(n_buckets)
     for r in counts.collect():  # n_buckets rows at most
