@@ -1,29 +1,47 @@
-"""Selectors of page elements: candidates by tier, each kept if it fits one element of its page alone.
+"""Selectors of page elements, as CSS and as XPath.
 
-What a selector asks for is a key; every element has a fact for each key that it fulfils, so how many elements a selector fits
-is a count of facts. Rows are those of sources.html: page_id, idx, hpid, parent, tagName, elementId, className, attributes, textContent.
+What a selector asks for is a key; every element has a fact for each key that it fulfils. How many elements a selector fits is
+a count of facts in its tree, an element's place among them is its rank in document order; below an ancestor both are taken
+over pairs of the ancestor's key and the element's own. Rows are those of sources.html.elements with texts; they are
+parsed once and written before anything is counted. A shadow tree's selectors stay within it; `hosts` names the way there.
+
+XPath: the first candidate, tier by tier, that an element fulfils decides, since every candidate can be made unique: alone,
+below the nearest ancestor that anchors, or by its place among what it fits, `(xpath)[n]`. The absolute path (tier 19)
+always fits, so the positional tiers 20 and 21 behind it and the index over the whole page (22) never come into play.
+CSS: the first candidate that fits one element alone, by itself or below the nearest anchor; else a path.
+
+Defined results: pages without elements have no rows; equal page ids must be one page; a null class, id or attribute asks for
+nothing; candidates of elements with equal ids or attributes are told apart by ancestor or place.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import hpid as H
 from ..functions import text as T
-from ..sources.html import sibling_ordinals
+from ..functions.css import let
+from ..shared import written
 
 # Robustness of a tier's selectors.
 CSS_ROBUSTNESS = {1: 100, 2: 91, 3: 88, 4: 85, 5: 82, 6: 78, 7: 72, 8: 68, 9: 64, 10: 58, 11: 46}
-XPATH_ROBUSTNESS = {0: 99, 1: 98, 2: 95, 5: 85, 10: 76, 11: 80, 16: 64, 17: 60, 18: 58, 19: 90}
+XPATH_ROBUSTNESS = {0: 99, 1: 98, 2: 95, 3: 94, 4: 88, 5: 85, 6: 93, 8: 82, 9: 75, 10: 76, 11: 80, 12: 72, 13: 74, 14: 68, 15: 64, 16: 64, 17: 60, 18: 58, 19: 90}
 FALLBACK_ROBUSTNESS = 30
-#: Tiers are tried group by group; the first group with a hit decides.
-CSS_GROUPS, XPATH_GROUPS = ((1, 4), (5, 8), (9, 11)), ((0, 5), (6, 10), (11, 15), (16, 21))
+# Which ancestors tiers look at, and attributes by stability.
+SEMANTIC_TAGS = "form nav header footer main section article aside dialog table fieldset figure".split()
+SUPPLEMENTARY_ATTRIBUTES = "role type href for value placeholder name aria-label class".split()
+XPATH_UNSTABLE_CLASSES = [r"^Mui[A-Z]", r"^makeStyles-", r"(?i)^css-[a-z0-9]+$", r"^jss\d+$", r"^sc-", r"^emotion-", r"(?i)lwc-", r"(?i)^_[a-z0-9]{5,}$"]
+PATH_UNSTABLE_CLASSES = r"^(Mui|makeStyles-|css-[a-z0-9]+$|jss\d+$|sc-|emotion-|lwc-)"
+HOST_ATTRIBUTES = "data-testid data-test data-qa data-cy data-automation-id".split()
+#: Levels up to which an ancestor anchors, is semantic, begins a chain, lends its attribute, is a parent context.
+ANCHOR_LEVELS, SEMANTIC_LEVELS, CHAIN_LEVELS, PATH_LEVELS, CONTEXT_LEVELS = 6, 8, 3, 5, 5
 _FLAGS = {"disabled": "disabled", "required": "required", "checked": "checked", "readonly": "read-only"}
-#: Levels up to which an ancestor can anchor a selector.
-ANCHOR_LEVELS = 6
 _SEP = "\x01"
+_AT = ("page_id", "tree")
 
 
 def _key(*parts: Column | str) -> Column:
@@ -42,145 +60,380 @@ def _flags() -> Column:
     return F.filter(F.array(*[F.when(F.map_contains_key("attributes", F.lit(a)), p) for a, p in _FLAGS.items()]), lambda x: x.isNotNull())
 
 
-def facts(rows: DataFrame) -> DataFrame:
-    """page_id, idx and key: all that an element fulfils. rows with parent_id (the parent's id) and nth."""
-    tag, entries, classes = F.col("tagName"), F.map_entries("attributes"), _classes()
-    pairs = F.flatten(F.transform(classes, lambda a: F.transform(F.filter(classes, lambda b: b > a), lambda b: _key("cc", tag, a, b))))
-    subsets = F.aggregate(_flags(), F.array(F.lit("")), lambda acc, f: F.concat(acc, F.transform(acc, lambda x: F.concat(x, F.lit(":"), f))))
-    keys = F.concat(
-        F.array(_key("t", tag), _key("n", tag, F.col("nth").cast("string"))),
-        F.transform(entries, lambda e: _key("a", tag, e["key"], e["value"])),
-        F.transform(classes, lambda c: _key("c", tag, c)), pairs,
-        F.transform(F.filter(subsets, lambda s: s != ""), lambda s: _key("p", tag, s)),
-        F.filter(F.array(
-            F.when(_attribute("type").isNotNull() & _attribute("name").isNotNull(), _key("tn", tag, _attribute("type"), _attribute("name"))),
-            F.when(F.col("parent_id").isNotNull(), _key("k", F.col("parent_id"), tag)), F.when(F.col("textContent").isNotNull(), _key("x", tag, F.col("textContent"))),
-        ), lambda k: k.isNotNull()),
-    )
-    return rows.select("page_id", "idx", F.explode(F.array_distinct(keys)).alias("key"))
-
-
-def _anchor() -> tuple[Column, Column]:
-    """How an element anchors selectors below it, and the key that says so: a stable id, else a test attribute."""
-    held = F.coalesce(*[F.when(_attribute(a).isNotNull(), F.struct(F.lit(a).alias("name"), _attribute(a).alias("value"))) for a in C.SELECTOR_TEST_ATTRIBUTES])
-    stable = T.is_stable_id(F.col("elementId"))
-    selector = F.when(stable, F.concat(F.lit("#"), T.css_identifier(F.col("elementId")))).otherwise(F.concat(F.lit("["), held["name"], F.lit('="'), T.escape_css(held["value"]), F.lit('"]')))
-    return selector, F.when(stable, _key("#", F.col("elementId"))).otherwise(_key("@", held["name"], held["value"]))
+def _short(value: Column, n: int) -> Column:
+    return F.coalesce(F.length(value) < n, F.lit(False))
+
+
+def _entry(name: str) -> Column:
+    return F.struct(F.lit(name).alias("name"), _attribute(name).alias("value"))
+
+
+def stable_attributes() -> Column:
+    """An element's attributes whose values are stable, the most telling first: test and record attributes, roles and the like, class, other data."""
+    listed = [*C.ANCHOR_ATTRIBUTES, *SUPPLEMENTARY_ATTRIBUTES]
+    data = F.transform(F.filter(F.map_entries("attributes"), lambda e: e["key"].startswith("data-") & ~e["key"].isin(listed)), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
+    return F.filter(F.concat(F.array(*[_entry(a) for a in listed]), data), lambda e: T.is_stable_value(e["value"]))
+
+
+def _test_attribute() -> Column:
+    return F.coalesce(*[F.when(_attribute(a).isNotNull(), _entry(a)) for a in C.SELECTOR_TEST_ATTRIBUTES])
+
+
+def within(hpid: Column, tree: Column) -> Column:
+    """The paths above an element in its own tree, from the root down."""
+    return F.filter(H.ancestors(hpid), lambda a: (tree == "") | (a.startswith(F.concat(tree, F.lit(".")))))
+
+
+def prepared(rows: DataFrame) -> DataFrame:
+    """rows with places among siblings, the siblings beside, and up: what the nearest ancestors (nearest first) offer; written once."""
+    rows = written(rows, "elements")
+    beside, same = Window.partitionBy(*_AT, "parent").orderBy("idx"), Window.partitionBy(*_AT, "parent", "tagName")
+    named = F.struct("tagName", "elementId")
+    placed = rows.withColumns({"nth": F.row_number().over(beside), "prev": F.lag(named).over(beside), "next": F.lead(named).over(beside)})
+    placed = placed.withColumns({"nth_of_type": F.row_number().over(same.orderBy("idx")), "of_type": F.count("*").over(same)})
+    offers = F.struct(F.col("tagName").alias("tag"), F.col("elementId").alias("id"), T.is_stable_id(F.col("elementId")).alias("stable"), _test_attribute().alias("test"), F.get(stable_attributes(), F.lit(0)).alias("best"))
+    above = rows.select("page_id", F.col("hpid").alias("above"), offers.alias("o"))
+    asked = rows.select("page_id", "idx", F.posexplode(F.slice(F.reverse(within(F.col("hpid"), F.col("tree"))), 1, SEMANTIC_LEVELS)).alias("at", "above"))
+    ups = asked.join(above, ["page_id", "above"]).groupBy("page_id", "idx").agg(F.array_sort(F.collect_list(F.struct("at", "o"))).alias("u"))  # SEMANTIC_LEVELS at most
+    empty = F.filter(F.array(F.struct(F.lit(0).alias("at"), offers.alias("o"))), lambda x: F.lit(False))
+    found = placed.join(ups, ["page_id", "idx"], "left").withColumn("up", F.transform(F.coalesce("u", empty), lambda x: x["o"])).drop("u")
+    return written(found, "prepared")
+
+
+def _nearest(levels: int, good) -> Column:
+    return F.get(F.filter(F.slice("up", 1, levels), good), F.lit(0))
+
+
+def _anchor() -> Column:
+    """The nearest ancestor with a stable id or a test attribute."""
+    return _nearest(ANCHOR_LEVELS, lambda a: a["stable"] | a["test"].isNotNull())
+
+
+def _xpath_anchor(a: Column) -> Column:
+    """(selector, key) of an ancestor that anchors."""
+    name, value = F.when(a["stable"], "id").otherwise(a["test"]["name"]), F.when(a["stable"], a["id"]).otherwise(a["test"]["value"])
+    return _xpath_above(a, name, value)
+
+
+def _xpath_above(a: Column, name: Column, value: Column) -> Column:
+    return F.struct(F.concat(F.lit("//"), a["tag"], F.lit("[@"), name, F.lit("="), T.escape_xpath(value), F.lit("]")).alias("selector"), _key("a", a["tag"], name, value).alias("key"))
+
+
+def _css_anchor(a: Column) -> Column:
+    return F.when(a["stable"], _css_id(a)).otherwise(_css_test(a))
+
+
+def _css_id(a: Column) -> Column:
+    return F.struct(F.concat(F.lit("#"), T.css_identifier(a["id"])).alias("selector"), _key("#", a["id"]).alias("key"))
+
+
+def _css_test(a: Column) -> Column:
+    return F.struct(F.concat(F.lit("["), a["test"]["name"], F.lit('="'), T.escape_css(a["test"]["value"]), F.lit('"]')).alias("selector"), _key("@", a["test"]["name"], a["test"]["value"]).alias("key"))
+
+
+def _candidate(tier: int, selector: Column, key: Column, when: Column, above: Column | None = None, tail: Column | None = None) -> Column:
+    """An array of one candidate, or of none: above is the ancestor's key, tail what follows the tag where the selector can be narrowed."""
+    none = F.lit(None).cast("string")
+    made = F.struct(F.lit(tier).alias("tier"), selector.alias("selector"), key.alias("key"), (none if above is None else above).alias("above"), (none if tail is None else tail).alias("tail"))
+    return F.array(F.when(when, made))
 
 
 def css_candidates() -> Column:
-    """Array of (tier, selector, key) of an element, in the order in which they are tried."""
+    """An element's candidates in the order in which they are tried."""
     tag = F.col("tagName")
-    entry = lambda tier, selector, key, when: F.array(F.when(when, F.struct(F.lit(tier).alias("tier"), selector.alias("selector"), key.alias("key"))))
     by_value = lambda name, value: F.concat(tag, F.lit("["), name, F.lit('="'), T.escape_css(value), F.lit('"]'))
-    short = lambda value, n: F.coalesce(F.length(value) < n, F.lit(False))
+    stable = lambda name: T.is_stable_value(_attribute(name))
 
     def of(tier: int, name: str, when: Column) -> Column:
         value = _attribute(name)
-        return entry(tier, by_value(F.lit(name), value), _key("a", tag, name, value), value.isNotNull() & when)
+        return _candidate(tier, by_value(F.lit(name), value), _key("a", tag, name, value), value.isNotNull() & when)
 
-    stable = lambda name: T.is_stable_value(_attribute(name))
-    data = F.filter(F.map_entries("attributes"), lambda e: e["key"].startswith("data-") & ~e["key"].isin(C.SELECTOR_TEST_ATTRIBUTES) & T.is_stable_value(e["value"]) & short(e["value"], 100))
+    none = F.lit(None).cast("string")
+    data = F.filter(F.map_entries("attributes"), lambda e: e["key"].startswith("data-") & ~e["key"].isin(C.SELECTOR_TEST_ATTRIBUTES) & T.is_stable_value(e["value"]) & _short(e["value"], 100))
     own = F.filter(_classes(), T.is_stable_class)
     first, second = F.get(own, F.lit(0)), F.get(own, F.lit(1))
     flags = F.concat(F.lit(":"), F.array_join(_flags(), ":"))
     pair = F.concat(tag, F.lit("."), T.css_identifier(first), F.lit("."), T.css_identifier(second))
     typed = F.concat(tag, F.lit('[type="'), T.escape_css(_attribute("type")), F.lit('"][name="'), T.escape_css(_attribute("name")), F.lit('"]'))
-    direct = F.concat(F.lit("#"), T.css_identifier(F.col("parent_id")), F.lit(" > "), tag)
+    # Ancestors up to the first with a stable id: their test attributes, then that id, directly above or anywhere.
+    near = F.slice("up", 1, CONTEXT_LEVELS)
+    with_id = F.get(F.filter(near, lambda a: a["stable"]), F.lit(0))
+    before = F.filter(near, lambda a, i: ~F.exists(F.slice(near, 1, i + 1), lambda x: x["stable"]) & a["test"].isNotNull())
+    contexts = F.transform(before, lambda a: F.struct(F.lit(8).alias("tier"), F.concat(_css_test(a)["selector"], F.lit(" "), tag).alias("selector"), _key("t", tag).alias("key"), _css_test(a)["key"].alias("above"), none.alias("tail")))
+    parent = F.get("up", F.lit(0))
+    nth = F.concat(tag, F.lit(":nth-child("), F.col("nth").cast("string"), F.lit(")"))
+    anchor = _anchor()
     parts = [
-        entry(1, F.concat(tag, F.lit("#"), T.css_identifier(F.col("elementId"))), _key("a", tag, "id", F.col("elementId")), T.is_stable_id(F.col("elementId"))),
+        _candidate(1, F.concat(tag, F.lit("#"), T.css_identifier(F.col("elementId"))), _key("a", tag, "id", F.col("elementId")), T.is_stable_id(F.col("elementId"))),
         *[of(2, a, stable(a)) for a in C.SELECTOR_TEST_ATTRIBUTES],
-        F.transform(data, lambda e: F.struct(F.lit(3).alias("tier"), by_value(e["key"], e["value"]).alias("selector"), _key("a", tag, e["key"], e["value"]).alias("key"))),
-        entry(4, typed, _key("tn", tag, _attribute("type"), _attribute("name")), _attribute("type").isNotNull() & stable("name")),
-        of(5, "aria-label", short(_attribute("aria-label"), 120)), of(5, "aria-labelledby", stable("aria-labelledby")),
-        *[of(6, a, stable(a) & short(_attribute(a), 120)) for a in C.SEMANTIC_ATTRIBUTES],
-        entry(7, pair, _key("cc", tag, F.least(first, second), F.greatest(first, second)), second.isNotNull()),
-        entry(7, F.concat(tag, F.lit("."), T.css_identifier(first)), _key("c", tag, first), first.isNotNull()),
-        entry(8, direct, _key("k", F.col("parent_id"), tag), T.is_stable_id(F.col("parent_id"))), entry(8, tag, _key("t", tag), F.lit(True)),
-        entry(9, F.concat(tag, flags), _key("p", tag, flags), F.size(_flags()) > 0),
-        of(10, "href", short(_attribute("href"), 200) & ~_attribute("href").startswith("javascript:")), of(10, "src", short(_attribute("src"), 200)),
-        entry(11, F.concat(tag, F.lit(":nth-child("), F.col("nth").cast("string"), F.lit(")")), _key("n", tag, F.col("nth").cast("string")), F.col("parent").isNotNull()),
+        F.transform(data, lambda e: F.struct(F.lit(3).alias("tier"), by_value(e["key"], e["value"]).alias("selector"), _key("a", tag, e["key"], e["value"]).alias("key"), none.alias("above"), none.alias("tail"))),
+        _candidate(4, typed, _key("tn", tag, _attribute("type"), _attribute("name")), _attribute("type").isNotNull() & stable("name")),
+        of(5, "aria-label", _short(_attribute("aria-label"), 120)), of(5, "aria-labelledby", stable("aria-labelledby")),
+        *[of(6, a, stable(a) & _short(_attribute(a), 120)) for a in C.SEMANTIC_ATTRIBUTES],
+        _candidate(7, pair, _key("cc", tag, F.least(first, second), F.greatest(first, second)), second.isNotNull()),
+        _candidate(7, F.concat(tag, F.lit("."), T.css_identifier(first)), _key("c", tag, first), first.isNotNull()),
+        contexts,
+        _candidate(8, F.concat(F.lit("#"), T.css_identifier(parent["id"]), F.lit(" > "), tag), _key("k", parent["id"], tag), F.coalesce(parent["stable"], F.lit(False))),
+        _candidate(8, F.concat(_css_id(with_id)["selector"], F.lit(" "), tag), _key("t", tag), with_id.isNotNull(), _css_id(with_id)["key"]),
+        _candidate(9, F.concat(tag, flags), _key("p", tag, flags), F.size(_flags()) > 0),
+        of(10, "href", _short(_attribute("href"), 200) & ~_attribute("href").startswith("javascript:")), of(10, "src", _short(_attribute("src"), 200)),
+        _candidate(11, F.concat(_css_anchor(anchor)["selector"], F.lit(" "), nth), _key("n", tag, F.col("nth").cast("string")), parent.isNotNull() & anchor.isNotNull(), _css_anchor(anchor)["key"]),
+        _candidate(11, nth, _key("n", tag, F.col("nth").cast("string")), parent.isNotNull() & anchor.isNull()),
     ]
     return F.filter(F.concat(*parts), lambda c: c.isNotNull())
 
 
 def xpath_candidates() -> Column:
-    """Array of (tier, selector, key) of an element: those that ask for attributes or the whole own text."""
-    tag = F.col("tagName")
-    entry = lambda tier, test, key, when: F.array(F.when(when, F.struct(F.lit(tier).alias("tier"), F.concat(F.lit("//"), tag, F.lit("["), test, F.lit("]")).alias("selector"), key.alias("key"))))
+    """An element's candidates, tier by tier; those that the element itself does not fulfil are left out."""
+    tag, text = F.col("tagName"), T.clean(F.coalesce("subtree", F.lit("")))
     equal = lambda name, value: F.concat(F.lit("@"), name, F.lit("="), T.escape_xpath(value))
-    of = lambda tier, name, when: entry(tier, equal(F.lit(name), _attribute(name)), _key("a", tag, name, _attribute(name)), _attribute(name).isNotNull() & when)
+
+    def test(tier: int, inner: Column, key: Column, when: Column) -> Column:
+        tail = F.concat(F.lit("["), inner, F.lit("]"))
+        return _candidate(tier, F.concat(F.lit("//"), tag, tail), key, when, tail=tail)
+
+    of = lambda tier, name, when: test(tier, equal(F.lit(name), _attribute(name)), _key("a", tag, name, _attribute(name)), _attribute(name).isNotNull() & when)
     stable = lambda name: T.is_stable_value(_attribute(name))
-    own = F.col("textContent")
-    data = F.slice(F.filter(F.map_entries("attributes"), lambda e: e["key"].startswith("data-") & T.is_stable_value(e["value"])), 1, 3)
+
+    def listed(tier: int, entries: Column) -> Column:
+        inner = lambda e: F.concat(F.lit("["), equal(e["name"], e["value"]), F.lit("]"))
+        return F.transform(entries, lambda e: F.struct(F.lit(tier).alias("tier"), F.concat(F.lit("//"), tag, inner(e)).alias("selector"), _key("a", tag, e["name"], e["value"]).alias("key"), F.lit(None).cast("string").alias("above"), inner(e).alias("tail")))
+
+    def below(tier: int, a: Column, name: Column, value: Column, when: Column) -> Column:
+        up = _xpath_above(a, name, value)
+        return _candidate(tier, F.concat(up["selector"], F.lit("//"), tag), _key("t", tag), when, up["key"], F.lit(""))
+
+    static = T.is_static_text(text)
+    data = F.filter(F.transform(F.slice(F.filter(F.map_entries("attributes"), lambda e: e["key"].startswith("data-")), 1, 3), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value"))), lambda e: T.is_stable_value(e["value"]))
+    semantic = _nearest(SEMANTIC_LEVELS, lambda a: a["tag"].isin(SEMANTIC_TAGS) & a["best"].isNotNull())
+    chain = _nearest(CHAIN_LEVELS, lambda a: a["best"].isNotNull())
+    lender = _nearest(PATH_LEVELS, lambda a: a["best"].isNotNull())
+    beside = lambda s, axis, kind: _candidate(8, F.concat(F.lit("//"), s["tagName"], F.lit("[@id="), T.escape_xpath(s["elementId"]), F.lit(f"]/{axis}-sibling::"), tag, F.lit("[1]")), _key(kind, s["tagName"], s["elementId"], tag), T.is_stable_id(s["elementId"]))
     both = F.concat(equal(F.lit("type"), _attribute("type")), F.lit(" and "), equal(F.lit("name"), _attribute("name")))
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    phrase = F.array_join(F.slice(words, 1, 4), " ")
+    parent = F.get("up", F.lit(0))
+    direct, alone = F.concat(F.lit("//"), parent["tag"], F.lit("[@id="), T.escape_xpath(parent["id"]), F.lit("]/"), tag), F.col("of_type") == 1
+    place = F.col("nth_of_type").cast("string")
+    own = F.get(F.filter(_classes(), lambda c: (F.length(c) >= 2) & ~T.any_matches(c, XPATH_UNSTABLE_CLASSES)), F.lit(0))
     parts = [
-        entry(0, F.concat(F.lit("text()="), T.escape_xpath(own)), _key("x", tag, own), T.is_static_text(own) & (F.length(own) <= 150)),
+        test(0, F.concat(F.lit("text()="), T.escape_xpath(text)), _key("x", tag, text), static & (F.length(text) <= 150) & F.array_contains("texts", text)),
         *[of(1, a, stable(a)) for a in C.SELECTOR_TEST_ATTRIBUTES],
-        entry(2, equal(F.lit("id"), F.col("elementId")), _key("a", tag, "id", F.col("elementId")), T.is_stable_id(F.col("elementId"))),
-        F.transform(data, lambda e: F.struct(F.lit(5).alias("tier"), F.concat(F.lit("//"), tag, F.lit("["), equal(e["key"], e["value"]), F.lit("]")).alias("selector"), _key("a", tag, e["key"], e["value"]).alias("key"))),
-        entry(10, both, _key("tn", tag, _attribute("type"), _attribute("name")), _attribute("type").isNotNull() & stable("name")),
-        of(11, "aria-label", F.length(_attribute("aria-label")) < 100), of(16, "role", F.lit(True)),
-        *[of(17, a, F.length(_attribute(a)) < 200) for a in ("href", "src")], *[of(18, a, stable(a)) for a in ("alt", "title")],
+        test(2, equal(F.lit("id"), F.col("elementId")), _key("a", tag, "id", F.col("elementId")), T.is_stable_id(F.col("elementId"))),
+        test(3, F.concat(F.lit("normalize-space(.)="), T.escape_xpath(text)), _key("s", tag, text), static & (F.length(text) <= 150) & (text == F.col("subtree"))),
+        listed(4, F.slice(stable_attributes(), 1, 3)), listed(5, data),
+        below(6, semantic, F.lit("id"), semantic["id"], F.coalesce(semantic["stable"], F.lit(False))),
+        beside(F.col("prev"), "following", "sf"), beside(F.col("next"), "preceding", "sp"),
+        below(9, chain, F.when(chain["stable"], "id").otherwise(chain["best"]["name"]), F.when(chain["stable"], chain["id"]).otherwise(chain["best"]["value"]), chain.isNotNull()),
+        test(10, both, _key("tn", tag, _attribute("type"), _attribute("name")), _attribute("type").isNotNull() & stable("name")),
+        of(11, "aria-label", _short(_attribute("aria-label"), 100)),
+        test(12, F.concat(F.lit("contains(normalize-space(.), "), T.escape_xpath(phrase), F.lit(")")), _key("ph", tag, phrase), static & (F.length(text) >= 5) & (F.size(words) >= 2) & (F.length(phrase) >= 5) & F.contains("subtree", phrase)),
+        _candidate(13, F.when(alone, direct).otherwise(F.concat(direct, F.lit("["), place, F.lit("]"))), F.when(alone, _key("pk", parent["tag"], parent["id"], tag)).otherwise(_key("pn", parent["tag"], parent["id"], tag, place)), F.coalesce(parent["stable"], F.lit(False))),
+        test(14, F.concat(F.lit("contains(@class,"), T.escape_xpath(own), F.lit(")")), _key("cl", tag, own), own.isNotNull()),
+        below(15, lender, lender["best"]["name"], lender["best"]["value"], lender.isNotNull()),
+        of(16, "role", F.lit(True)),
+        of(17, "href", _short(_attribute("href"), 200) & ~_attribute("href").startswith("javascript:")), of(17, "src", _short(_attribute("src"), 200)),
+        *[of(18, a, _short(_attribute(a), 150)) for a in ("alt", "title")],
     ]
     return F.filter(F.concat(*parts), lambda c: c.isNotNull())
 
 
-def _prepared(rows: DataFrame) -> DataFrame:
-    up = rows.select("page_id", F.col("hpid").alias("parent"), F.col("elementId").alias("parent_id"))
-    return sibling_ordinals(rows).join(up, ["page_id", "parent"], "left")
+def _attribute_keys() -> Column:
+    return F.transform(F.map_entries("attributes"), lambda e: _key("a", F.col("tagName"), e["key"], e["value"]))
 
 
-def _anchors(rows: DataFrame) -> DataFrame:
-    """Each element's ancestors that can anchor: page_id, idx, up (1 for the parent), anchor, anchor_key."""
-    selector, key = _anchor()
-    held = rows.select("page_id", F.col("hpid").alias("above"), selector.alias("anchor"), key.alias("anchor_key")).filter("anchor is not null")
-    asked = rows.select("page_id", "idx", F.posexplode(F.reverse(H.ancestors(F.col("hpid")))).alias("at", "above"))
-    return asked.join(held, ["page_id", "above"]).select("page_id", "idx", (F.col("at") + 1).alias("up"), "anchor", "anchor_key")
+def facts(rows: DataFrame, kind: str, mine: Column) -> DataFrame:
+    """page_id, tree, idx, hpid, key and k (the place of key in the array mine, else null): all that an element fulfils by itself.
 
+    rows: prepared. Keys that other elements' texts, classes and siblings decide on come from the functions below.
+    """
+    tag, parent = F.col("tagName"), F.get("up", F.lit(0))
+    given = lambda *keys: F.filter(F.array(*keys), lambda k: k.isNotNull())
+    typed = F.when(_attribute("type").isNotNull() & _attribute("name").isNotNull(), _key("tn", tag, _attribute("type"), _attribute("name")))
+    parts = [F.array(_key("t", tag)), _attribute_keys()]
+    if kind == "css":
+        classes = _classes()
+        pairs = F.flatten(F.transform(classes, lambda a: F.transform(F.filter(classes, lambda b: b > a), lambda b: _key("cc", tag, a, b))))
+        subsets = F.aggregate(_flags(), F.array(F.lit("")), lambda acc, f: F.concat(acc, F.transform(acc, lambda x: F.concat(x, F.lit(":"), f))))
+        parts += [given(_key("n", tag, F.col("nth").cast("string")), typed, F.when(parent["id"].isNotNull(), _key("k", parent["id"], tag))), F.transform(classes, lambda c: _key("c", tag, c)), pairs, F.transform(F.filter(subsets, lambda s: s != ""), lambda s: _key("p", tag, s))]
+    else:
+        up = lambda kind, *more: F.when(parent["id"].isNotNull(), _key(kind, parent["tag"], parent["id"], tag, *more))
+        parts += [given(typed, up("pk"), up("pn", F.col("nth_of_type").cast("string")), F.when(F.col("subtree").isNotNull(), _key("s", tag, F.col("subtree")))), F.transform("texts", lambda t: _key("x", tag, t))]
+    return rows.select(*_AT, "idx", "hpid", mine.alias("__mine"), F.explode(F.array_distinct(F.concat(*parts))).alias("key")).select(*_AT, "idx", "hpid", "key", F.nullif(F.array_position("__mine", F.col("key")), F.lit(0)).alias("k"))
 
-def _best(found: DataFrame, groups: tuple[tuple[int, int], ...]) -> DataFrame:
-    """Of the selectors that fit one element alone: that of the first group of tiers, in it of the lowest tier, in it the first."""
-    group = F.array_position(F.transform(F.array(*[F.lit(high) for _, high in groups]), lambda high: F.col("tier") <= high), F.lit(True))
-    order = F.struct(group, "tier", "k", "scoped")
-    return found.groupBy("page_id", "idx").agg(F.min_by(F.struct("selector", "tier", "scoped"), order).alias("s")).select("page_id", "idx", "s.*")
 
+def phrase_facts(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Facts of the phrases in asked (page_id, tree, tag, phrase, key): the elements of a tag whose text contains a phrase of two to four words.
 
-def generate(rows: DataFrame, kind: str = "css") -> DataFrame:
-    """page_id, idx, selector, tier (null for a path), scoped (by an ancestor) and robustness of each element.
+    Words that follow each other are looked up in an index by their inner words, or by the letters where two words meet; the
+    outer words may be parts of longer ones. An occurrence lies in the elements that hold both its ends.
+    """
+    wanted = asked.select(*_AT).distinct()
+    words = rows.select(*_AT, F.explode("words").alias("w")).select(*_AT, "w.*").join(wanted, list(_AT), "left_semi")
+    follow = Window.partitionBy(*_AT).orderBy("pos")
+    word = F.struct("word", "owners")
+    table = words.withColumns({f"w{k}": F.lead(word, k).over(follow) for k in (1, 2, 3)}).withColumn("w0", word)
+    met = lambda a, b: F.concat(F.right(a, F.lit(1)), F.left(b, F.lit(1)))
+    grams = F.array(F.struct(F.lit(2).alias("n"), met(F.col("w0.word"), F.col("w1.word")).alias("gram")), F.struct(F.lit(3).alias("n"), F.col("w1.word").alias("gram")), F.struct(F.lit(4).alias("n"), F.concat_ws(" ", "w1.word", "w2.word").alias("gram")))
+    ends = F.array("w0", "w1", "w2", "w3")
+    index = table.select(*_AT, ends.alias("ws"), F.explode(grams).alias("g")).filter(F.get("ws", F.col("g.n") - 1).isNotNull()).select(*_AT, F.col("ws")[0].alias("first"), F.get("ws", F.col("g.n") - 1).alias("end"), "g.n", "g.gram")
+    parts = F.split("phrase", " ")
+    n = F.size(parts)
+    sought = asked.withColumns({"n": n, "p0": parts[0], "p9": F.get(parts, n - 1), "gram": F.when(n == 2, met(parts[0], parts[1])).when(n == 3, parts[1]).otherwise(F.concat_ws(" ", parts[1], parts[2]))})
+    found = index.join(sought, [*_AT, "n", "gram"]).filter(F.col("first.word").endswith(F.col("p0")) & F.col("end.word").startswith(F.col("p9")))
+    owner = lambda w, at: F.element_at(F.filter(w["owners"], lambda o: o["at"] <= at), -1)["hpid"]
+    a, b = owner(F.col("first"), F.length("first.word") - F.length("p0")), owner(F.col("end"), F.length("p9") - 1)
+    both = F.array_intersect(F.concat(within(a, F.col("tree")), F.array(a)), F.concat(within(b, F.col("tree")), F.array(b)))
+    holds = found.select(*_AT, "tag", "key", F.explode(both).alias("hpid")).distinct()
+    return holds.join(rows.select("page_id", "hpid", "idx", F.col("tagName").alias("tag")), ["page_id", "hpid", "tag"]).select(*_AT, "idx", "hpid", "key")
+
+
+def class_facts(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Facts of asked (page_id, tree, tag, part, key): the elements of a tag whose class attribute contains a part, found by its first two letters."""
+    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2))))
+    held = rows.filter(F.length("className") >= 2).select(*_AT, "idx", "hpid", F.col("tagName").alias("tag"), "className", F.explode(pairs(F.col("className"))).alias("gram"))
+    met = held.join(asked.withColumn("gram", F.left("part", F.lit(2))), [*_AT, "tag", "gram"])
+    return met.filter(F.contains("className", F.col("part"))).select(*_AT, "idx", "hpid", "key")
+
+
+def sibling_facts(rows: DataFrame, asked: DataFrame, ahead: bool) -> DataFrame:
+    """Facts of asked (page_id, tree, beside, id, tag, key): of each element with that tag and id, the first sibling of a tag behind it (ahead) or the last before it."""
+    up = F.coalesce("parent", F.lit("")).alias("parent")
+    marks = rows.select(*_AT, up, "idx", F.col("tagName").alias("beside"), F.col("elementId").alias("id")).join(asked, [*_AT, "beside", "id"]).select(*_AT, "parent", "tag", "idx", "key")
+    wanted = marks.select(*_AT, "parent", "tag").distinct()
+    there = rows.select(*_AT, up, F.col("tagName").alias("tag"), "idx", F.lit(None).cast("string").alias("key")).join(wanted, [*_AT, "parent", "tag"], "left_semi")
+    line = Window.partitionBy(*_AT, "parent", "tag").orderBy("idx")
+    own = F.when(F.col("key").isNull(), F.col("idx"))
+    target = F.min(own).over(line.rangeBetween(1, Window.unboundedFollowing)) if ahead else F.max(own).over(line.rangeBetween(Window.unboundedPreceding, -1))
+    found = marks.unionByName(there).withColumn("target", target).filter("key is not null and target is not null").select(*_AT, F.col("target").alias("idx"), "key").distinct()
+    return found.join(rows.select("page_id", "idx", "hpid"), ["page_id", "idx"]).select(*_AT, "idx", "hpid", "key")
+
+
+def _special_facts(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Facts of the chosen XPath keys that rest on phrases, parts of classes and siblings."""
+    part = lambda n: F.get(F.split("key", _SEP), F.lit(n))
+    of = lambda kind: chosen.filter(F.col("key").startswith(f"{kind}{_SEP}")).select(*_AT, "key").distinct()
+    named = {"tag": part(1), "phrase": part(2), "part": part(2)}
+    found = [phrase_facts(rows, of("ph").withColumns({k: named[k] for k in ("tag", "phrase")})), class_facts(rows, of("cl").withColumns({k: named[k] for k in ("tag", "part")}))]
+    for kind, ahead in (("sf", True), ("sp", False)):
+        found.append(sibling_facts(rows, of(kind).withColumns({"beside": part(1), "id": part(2), "tag": part(3)}), ahead))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _ranked(rows: DataFrame, *by: str) -> DataFrame:
+    """rows with n (how many hold the same key) and pos (the place among them in document order)."""
+    there = Window.partitionBy(*_AT, *by)
+    return rows.withColumns({"n": F.count("*").over(there), "pos": F.row_number().over(there.orderBy("idx"))})
+
+
+def pair_counts(rows: DataFrame, met: DataFrame, asked: DataFrame, holder_keys: Column) -> DataFrame:
+    """asked (page_id, tree, idx, k, above, key) with n and pos: among the elements that fulfil key below any that fulfils above.
+
+    met has the facts of the keys; holder_keys are the keys that an ancestor of rows fulfils.
+    """
+    holders = rows.select(*_AT, F.col("hpid").alias("up"), F.explode(holder_keys).alias("above")).join(asked.select(*_AT, "above").distinct(), [*_AT, "above"], "left_semi")
+    wanted = asked.select(*_AT, "above", "key").distinct()
+    members = met.select(*_AT, "idx", "hpid", "key").join(wanted.select(*_AT, "key").distinct(), [*_AT, "key"], "left_semi")
+    below = members.select(*_AT, "idx", "key", F.explode(within(F.col("hpid"), F.col("tree"))).alias("up")).join(holders, [*_AT, "up"]).select(*_AT, "idx", "key", "above").distinct()
+    counted = _ranked(below.join(wanted, [*_AT, "above", "key"], "left_semi"), "above", "key")
+    return asked.join(counted, [*_AT, "idx", "above", "key"]).select(*_AT, "idx", "k", "above", "key", "n", "pos")
 
-    A candidate that fits several elements is tried again below the nearest ancestor that can anchor it (CSS); an element
-    without any selector of its own gets its path.
+
+def _robustness(table: dict[int, int]) -> Column:
+    return F.coalesce(*[F.when(F.col("tier") == t, r) for t, r in table.items()], F.lit(FALLBACK_ROBUSTNESS)).alias("robustness")
+
+
+def generate(rows: DataFrame, kind: str = "css") -> DataFrame:
+    """page_id, idx, selector, tier (null for a CSS path), scoped (by an ancestor added to the candidate) and robustness of each element."""
+    return _css(prepared(rows)) if kind == "css" else _xpath(prepared(rows))
+
+
+def _css(rows: DataFrame) -> DataFrame:
+    anchor = _anchor()
+    asked = written(rows.select(*_AT, "idx", css_candidates().alias("c"), F.when(anchor.isNotNull(), _css_anchor(anchor)).alias("anchor")), "candidates")
+    alone = F.transform(F.col("c"), lambda c: F.when(c["above"].isNull(), c["key"]).otherwise(""))
+    with_c = rows.join(asked.drop("tree"), ["page_id", "idx"])
+    own = path_classes()
+    path_key = F.when(F.size(own) > 1, _key("cc", F.col("tagName"), F.least(own[0], F.get(own, F.lit(1))), F.greatest(own[0], F.get(own, F.lit(1))))).when(F.size(own) == 1, _key("c", F.col("tagName"), F.get(own, F.lit(0))))
+    held = facts(with_c.withColumn("__path", path_key), "css", F.concat(alone, F.array(F.coalesce("__path", F.lit("")))))
+    # Keys that some candidate asks for, above it or not; the last of an element's keys is its path's.
+    below = asked.select(*_AT, F.explode("c").alias("c")).select(*_AT, "c.key").distinct().withColumn("below", F.lit(True))
+    met = written(_ranked(held, "key").join(below, [*_AT, "key"], "left").filter("k is not null or below").drop("below"), "met")
+    c = asked.select(*_AT, "idx", "anchor", F.posexplode("c").alias("at", "c")).select(*_AT, "idx", "anchor", (F.col("at") + 1).alias("k"), "c.*")
+    counts = met.filter("k is not null").select("page_id", "idx", "key", "n")
+    single = c.filter("above is null").join(counts, ["page_id", "idx", "key"])
+    fit = single.filter("n = 1").select("page_id", "idx", "k", "tier", "selector", F.lit(False).alias("scoped"))
+    anchored = single.filter((F.col("n") > 1) & F.col("anchor").isNotNull() & (F.col("tier") != 8)).withColumn("above", F.col("anchor.key"))
+    pairs = anchored.withColumn("selector", F.concat_ws(" ", "anchor.selector", "selector")).select(*_AT, "idx", "k", "above", "key", "tier", "selector", F.lit(True).alias("scoped"))
+    pairs = written(pairs.unionByName(c.filter("above is not null").select(*_AT, "idx", "k", "above", "key", "tier", "selector", (F.col("tier") == 11).alias("scoped"))), "pairs")
+    holder = F.concat(F.filter(F.array(F.when(F.col("elementId").isNotNull(), _key("#", F.col("elementId")))), lambda x: x.isNotNull()), F.transform(F.filter(F.map_entries("attributes"), lambda e: e["key"].isin(C.SELECTOR_TEST_ATTRIBUTES)), lambda e: _key("@", e["key"], e["value"])))
+    counted = pair_counts(rows, met, pairs.select(*_AT, "idx", "k", "above", "key"), holder).filter("n = 1")
+    fit = fit.unionByName(pairs.join(counted.select("page_id", "idx", "k", "above"), ["page_id", "idx", "k", "above"]).select("page_id", "idx", "k", "tier", "selector", "scoped"))
+    best = fit.groupBy("page_id", "idx").agg(F.min_by(F.struct("selector", "tier", "scoped"), "k").alias("s")).select("page_id", "idx", "s.*")
+    by_class = counts.withColumnRenamed("n", "same").join(with_c.select("page_id", "idx", path_key.alias("key")), ["page_id", "idx", "key"]).filter("same = 1").select("page_id", "idx", F.lit(True).alias("sole"))
+    named = rows.join(by_class, ["page_id", "idx"], "left").join(best, ["page_id", "idx"], "left")
+    out = named.select("page_id", "idx", "selector", "tier", "scoped").join(paths(named, "css", F.col("selector").isNull()), ["page_id", "idx"], "left")
+    return out.select("page_id", "idx", F.coalesce("selector", "path").alias("selector"), "tier", F.coalesce("scoped", F.lit(False)).alias("scoped"), _robustness(CSS_ROBUSTNESS))
+
+
+def _xpath(rows: DataFrame) -> DataFrame:
+    anchor = _anchor()
+    first = F.get(xpath_candidates(), F.lit(0))
+    chosen = written(rows.select(*_AT, "idx", "tagName", first.alias("c"), F.when(anchor.isNotNull(), _xpath_anchor(anchor)).alias("anchor")).select(*_AT, "idx", "tagName", "anchor", "c.*"), "chosen")
+    held = facts(rows.join(chosen.select("page_id", "idx", F.col("key").alias("__key")), ["page_id", "idx"]), "xpath", F.array(F.coalesce("__key", F.lit(""))))
+    own = chosen.select("page_id", "idx", "key", F.lit(1).cast("int").alias("k"))
+    special = _special_facts(rows, chosen).join(own, ["page_id", "idx", "key"], "left").select(*_AT, "idx", "hpid", "key", "k")
+    every = held.select(*_AT, "idx", "hpid", "key", F.col("k").cast("int").alias("k")).unionByName(special)
+    # Keys that nobody chose are of no further use.
+    some = F.max("k").over(Window.partitionBy(*_AT, "key"))
+    met = written(_ranked(every.withColumn("some", some).filter("some is not null").drop("some"), "key"), "met")
+    mine = met.filter("k is not null").select("page_id", "idx", "key", "n", "pos")
+    below = chosen.filter("above is not null").withColumn("k", F.lit(0))
+    single = chosen.filter("above is null").join(mine, ["page_id", "idx", "key"])
+    counted = pair_counts(rows, met, below.select(*_AT, "idx", "k", "above", "key"), _attribute_keys())
+    settled = written(single.select(*chosen.columns, "n", "pos").unionByName(below.drop("k").join(counted.select("page_id", "idx", "n", "pos"), ["page_id", "idx"])), "settled")
+    several = settled.filter("n > 1 and tail is not null and anchor is not null").select(*_AT, "idx", F.lit(1).alias("k"), F.col("anchor.key").alias("above"), F.when(F.col("above").isNull(), F.col("key")).otherwise(_key("t", F.col("tagName"))).alias("key"))
+    narrowed = pair_counts(rows, met, several, _attribute_keys()).select("page_id", "idx", F.col("n").alias("n2"), F.col("pos").alias("pos2"))
+    made = settled.join(narrowed, ["page_id", "idx"], "left")
+    shorter = F.concat(F.col("anchor.selector"), F.lit("//"), "tagName", "tail")
+    at = lambda x, pos: F.concat(F.lit("("), x, F.lit(")["), pos.cast("string"), F.lit("]"))
+    selector = F.when(F.col("n") == 1, F.col("selector")).when(F.col("n2") == 1, shorter).when(F.col("n2") > 1, at(shorter, F.col("pos2"))).otherwise(at(F.col("selector"), F.col("pos")))
+    best = made.select("page_id", "idx", selector.alias("selector"), "tier", ((F.col("n") > 1) & F.col("n2").isNotNull()).alias("scoped"))
+    named = rows.join(best, ["page_id", "idx"], "left").withColumn("sole", F.lit(False))
+    out = named.select("page_id", "idx", "selector", F.when(F.col("selector").isNull(), 19).otherwise(F.col("tier")).alias("tier"), "scoped").join(paths(named, "xpath", F.col("selector").isNull()), ["page_id", "idx"], "left")
+    return out.select("page_id", "idx", F.coalesce("selector", "path").alias("selector"), "tier", F.coalesce("scoped", F.lit(False)).alias("scoped"), _robustness(XPATH_ROBUSTNESS))
+
+
+def path_classes() -> Column:
+    """The first two classes that a step of a CSS path may go by."""
+    return F.slice(F.filter(_classes(), lambda c: (F.length(c) >= 2) & ~c.rlike(PATH_UNSTABLE_CLASSES)), 1, 2)
+
+
+def paths(rows: DataFrame, kind: str, wanted: Column) -> DataFrame:
+    """page_id, idx and path of the wanted elements: tags and places among siblings of a tag. A CSS path begins at the nearest
+    stable id or at classes that are the element's alone (sole).
     """
-    prepared = _prepared(rows)
-    made = css_candidates() if kind == "css" else xpath_candidates()
-    asked = prepared.select("page_id", "idx", F.posexplode(made).alias("k", "c")).select("page_id", "idx", "k", "c.*")
-    known = facts(prepared)
-    counts = known.groupBy("page_id", "key").agg(F.count("*").alias("n"))
-    met = asked.join(counts, ["page_id", "key"])
-    found = met.filter("n = 1").withColumn("scoped", F.lit(False)).select("page_id", "idx", "k", "tier", "selector", "scoped")
-    if kind == "css":
-        anchors = _anchors(rows)
-        nearest = anchors.filter(F.col("up") <= ANCHOR_LEVELS).groupBy("page_id", "idx").agg(F.min_by(F.struct("anchor", "anchor_key"), "up").alias("a")).select("page_id", "idx", "a.*")
-        several = met.filter("n > 1").join(nearest, ["page_id", "idx"])
-        wanted = several.select("page_id", "key", "anchor_key").distinct()
-        below = anchors.select("page_id", "idx", "anchor_key").distinct()
-        scoped = wanted.join(known, ["page_id", "key"]).join(below, ["page_id", "idx", "anchor_key"]).groupBy("page_id", "key", "anchor_key").agg(F.count("*").alias("within")).filter("within = 1")
-        found = found.unionByName(several.join(scoped, ["page_id", "key", "anchor_key"]).select("page_id", "idx", "k", "tier", F.concat_ws(" ", "anchor", "selector").alias("selector"), F.lit(True).alias("scoped")))
-    best = _best(found, CSS_GROUPS if kind == "css" else XPATH_GROUPS)
-    robustness = F.coalesce(*[F.when(F.col("tier") == t, r) for t, r in (CSS_ROBUSTNESS if kind == "css" else XPATH_ROBUSTNESS).items()], F.lit(FALLBACK_ROBUSTNESS))
-    out = rows.select("page_id", "idx").join(best, ["page_id", "idx"], "left").join(paths(prepared, kind).withColumnRenamed("selector", "path"), ["page_id", "idx"])
-    return out.select("page_id", "idx", F.coalesce("selector", "path").alias("selector"), "tier", F.coalesce("scoped", F.lit(False)).alias("scoped"), robustness.alias("robustness"))
-
-
-def paths(prepared: DataFrame, kind: str) -> DataFrame:
-    """Each element's path of tags and places among siblings of its tag; a CSS path begins at the nearest stable id."""
     place = F.when(F.col("of_type") > 1, F.concat(F.lit(":nth-of-type(" if kind == "css" else "["), F.col("nth_of_type").cast("string"), F.lit(")" if kind == "css" else "]"))).otherwise("")
-    own = F.when(F.lit(kind == "css") & T.is_stable_id(F.col("elementId")), F.concat(F.lit("#"), T.css_identifier(F.col("elementId"))))
-    steps = prepared.select("page_id", F.col("hpid").alias("step"), F.coalesce(own, F.concat("tagName", place)).alias("part"), own.isNotNull().alias("stops"))
-    asked = prepared.select("page_id", "idx", F.posexplode(F.concat(H.ancestors(F.col("hpid")), F.array("hpid"))).alias("at", "step"))
-    met = asked.join(steps, ["page_id", "step"])
-    begin = F.max(F.when(F.col("stops"), F.col("at")).otherwise(-1)).over(Window.partitionBy("page_id", "idx"))
-    kept = met.withColumn("begin", begin).filter(F.col("at") >= F.col("begin"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), " > " if kind == "css" else "/")  # as many as the path is deep
-    return kept.groupBy("page_id", "idx").agg((joined if kind == "css" else F.concat(F.lit("/"), joined)).alias("selector"))
+    if kind == "css":
+        classes = F.concat("tagName", F.array_join(F.transform(path_classes(), lambda c: F.concat(F.lit("."), T.css_identifier(c))), ""))
+        inner = F.size("up") > 0
+        own = F.when(inner & T.is_stable_id(F.col("elementId")), F.concat(F.lit("#"), T.css_identifier(F.col("elementId")))).when(inner & F.coalesce("sole", F.lit(False)), classes)
+    else:
+        own = F.lit(None).cast("string")
+    steps = rows.select("page_id", F.col("hpid").alias("step"), F.coalesce(own, F.concat("tagName", place)).alias("part"), own.isNotNull().alias("stops"))
+    asked = rows.filter(wanted).select("page_id", "idx", F.posexplode(F.concat(within(F.col("hpid"), F.col("tree")), F.array("hpid"))).alias("at", "step"))
+    met = asked.join(steps, ["page_id", "step"]).groupBy("page_id", "idx").agg(F.array_sort(F.collect_list(F.struct("at", "part", "stops"))).alias("s"))  # as many as the path is deep
+    begin = lambda s: F.coalesce(F.array_max(F.transform(F.filter(s, lambda x: x["stops"]), lambda x: x["at"])), F.lit(-1))
+    joined = F.array_join(F.transform(let(F.col("s"), lambda s: F.filter(s, lambda x: x["at"] >= begin(s))), lambda x: x["part"]), " > " if kind == "css" else "/")
+    return met.select("page_id", "idx", (joined if kind == "css" else F.concat(F.lit("/"), joined)).alias("path"))
+
+
+def hosts(rows: DataFrame) -> DataFrame:
+    """page_id, idx and shadow_path of the elements of shadow trees: a selector for each host on the way in, the outermost first."""
+    held = F.coalesce(*[F.when(_attribute(a).isNotNull(), F.concat(F.lit(f'[{a}="'), F.regexp_replace(_attribute(a), r'([\\"])', r"\\$1"), F.lit('"]'))) for a in HOST_ATTRIBUTES])
+    named = F.coalesce(held, F.when(F.nullif("elementId", F.lit("")).isNotNull(), F.concat(F.lit("#"), T.css_identifier(F.col("elementId")))), F.col("tagName"))
+    every = F.filter(F.concat(H.ancestors(F.col("tree")), F.array("tree")), lambda p: p.endswith(".0"))
+    asked = rows.filter("tree <> ''").select("page_id", "idx", F.posexplode(F.transform(every, lambda p: F.regexp_replace(p, r"\.0$", ""))).alias("at", "host"))
+    met = asked.join(rows.select("page_id", F.col("hpid").alias("host"), named.alias("selector")), ["page_id", "host"])
+    ordered = F.array_sort(F.collect_list(F.struct("at", "selector")))  # as many as trees lie in each other
+    return met.groupBy("page_id", "idx").agg(F.transform(ordered, lambda x: x["selector"]).alias("shadow_path"))

@@ -50,11 +50,20 @@ class _Walker(HTMLParser):
         self.stack: list[dict] = []
         self.roots = 0
         self.skipped: list[str] = []
+        self.nodes: list[list] = []  # text nodes: the element that holds it, its tree and text, and the tags before it
+        self.tags = 0
+
+    def shut(self, k: int) -> None:
+        """Closes the open elements from the k-th on."""
+        for row in self.stack[k:]:
+            row["last"], row["to"] = len(self.rows) - 1, len(self.nodes)
+        del self.stack[k:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.tags += 1
         up = self.stack[-1] if self.stack else None
         if tag == "template" and up and not self.skipped and any(k == "shadowrootmode" for k, _ in attrs):
-            self.stack.append({"hpid": f"{up['hpid']}.0", "dom_path": f"{up['dom_path']}.0", "depth": up["depth"], "tagName": tag, "texts": [], "kids": 0, "all": 0})
+            self.stack.append({"hpid": f"{up['hpid']}.0", "dom_path": f"{up['dom_path']}.0", "depth": up["depth"], "tagName": tag, "texts": [], "kids": 0, "all": 0, "tree": f"{up['hpid']}.0", "root": True})
             return
         if self.skipped or tag in C.IRRELEVANT_TAGS:
             if not self.skipped and up:
@@ -63,9 +72,9 @@ class _Walker(HTMLParser):
                 self.skipped.append(tag)
             return
         if tag in _CLOSES_P and self.stack and self.stack[-1]["tagName"] == "p":
-            self.stack.pop()
+            self.shut(len(self.stack) - 1)
         elif tag in _SAME and self.stack and self.stack[-1]["tagName"] in _SAME[tag]:
-            self.stack.pop()
+            self.shut(len(self.stack) - 1)
         up = self.stack[-1] if self.stack else None
         if up:
             up["kids"] += 1
@@ -78,8 +87,10 @@ class _Walker(HTMLParser):
         depth = up["depth"] + 1 if up else 0
         if depth >= MAX_DEPTH:
             raise EngineBoundaryError(f"a page is deeper than {MAX_DEPTH} elements")
-        held = {k: v or "" for k, v in reversed(attrs)}
-        row = {"idx": len(self.rows), "hpid": path, "parent": up["hpid"].removesuffix(".0") if up else None, "dom_path": dom, "depth": depth, "tagName": tag, "attributes": held, "texts": [], "kids": 0, "all": 0}
+        held: dict[str, str] = {}
+        for k, v in attrs:
+            held.setdefault(k, v or "")
+        row = {"idx": len(self.rows), "hpid": path, "parent": up["hpid"].removesuffix(".0") if up else None, "dom_path": dom, "depth": depth, "tagName": tag, "attributes": held, "texts": [], "kids": 0, "all": 0, "tree": up["tree"] if up else "", "from": len(self.nodes), "to": len(self.nodes), "last": len(self.rows)}
         self.rows.append(row)
         if tag not in _VOID:
             self.stack.append(row)
@@ -88,19 +99,32 @@ class _Walker(HTMLParser):
         self.handle_starttag(tag, attrs)
         self.handle_endtag(tag)
 
+    def handle_comment(self, data: str) -> None:
+        self.tags += 1
+
     def handle_endtag(self, tag: str) -> None:
+        self.tags += 1
         if self.skipped:
             if tag in self.skipped:
                 del self.skipped[len(self.skipped) - 1 - self.skipped[::-1].index(tag) :]
             return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k]["tagName"] == tag:
-                del self.stack[k:]
+                self.shut(k)
                 break
 
+    def close(self) -> None:
+        super().close()
+        self.shut(0)
+
     def handle_data(self, data: str) -> None:
         if not self.skipped and self.stack:
-            self.stack[-1]["texts"].append(data)
+            up = self.stack[-1]
+            up["texts"].append(data)
+            if self.nodes and self.nodes[-1][3] == self.tags:
+                self.nodes[-1][2] += data
+            else:
+                self.nodes.append([up, up["tree"], data, self.tags])
 
 
 def _own_text(texts: list[str]) -> str | None:
@@ -108,20 +132,61 @@ def _own_text(texts: list[str]) -> str | None:
     return f"{text[:MAX_TEXT]}..." if len(text) > MAX_TEXT else text or None
 
 
-def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """One row per relevant element of each page, in document order; null and empty pages have none."""
+#: What path expressions take for white space.
+_XML_SPACE, _XML_WORD = re.compile(r"[ \t\r\n]+"), re.compile(r"[^ \t\r\n]+")
+#: Longest text of a subtree, or of a single text node, that selectors ask for.
+SHORT_TEXT = 200
+TEXTS = "last int, tree string, texts array<string>, subtree string, words array<struct<pos:int,word:string,owners:array<struct<at:int,hpid:string>>>>"
+
+
+def _texts(walker: _Walker) -> None:
+    """Adds to each row its short text nodes, the text of its subtree if that is short, and the words that begin in it with the
+    elements that hold their parts. Subtrees are intervals of text nodes; a shadow tree's text is not its host's.
+    """
+    before, words, held = [0], {}, {}
+    for owner, tree, text, _ in walker.nodes:
+        before.append(before[-1] + len(_XML_SPACE.sub("", text)))
+        if "root" in owner:  # lies in no element of its tree
+            continue
+        if len(text) <= SHORT_TEXT:
+            owner.setdefault("nodes", []).append(text)
+        own = words.setdefault(tree, [])
+        for m in _XML_WORD.finditer(text):
+            if m.start() or not held.get(tree):
+                own.append({"word": m[0], "owners": [{"at": 0, "hpid": owner["hpid"]}], "pos": len(own)})
+                owner.setdefault("words", []).append(own[-1])
+            else:  # goes on with the word that the text before broke off
+                own[-1]["owners"].append({"at": len(own[-1]["word"]), "hpid": owner["hpid"]})
+                own[-1]["word"] += m[0]
+        held[tree] = bool(text) and text[-1] not in " \t\r\n"
+    for row in walker.rows:
+        a, b = row["from"], row["to"]
+        if before[b] - before[a] <= SHORT_TEXT:
+            text = _XML_SPACE.sub(" ", "".join(t for _, tree, t, _ in walker.nodes[a:b] if tree == row["tree"])).strip(" ")
+            row["subtree"] = text if len(text) <= SHORT_TEXT else None
+
+
+def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", texts: bool = False) -> DataFrame:
+    """One row per relevant element of each page, in document order; null and empty pages have none.
+
+    With texts also what selectors ask for: the last element below, the tree (empty, or the path of a shadow root), and texts (see _texts).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["page_id", *(f.split()[0] for f in ELEMENTS.split(", "))]
+        names = ["page_id", *(f.split()[0] for f in fields.split(", "))]
         for batch in batches:
             for page, text in zip(batch["page_id"], batch["html"], strict=True):
                 walker = _Walker()
                 walker.feed(text or "")
                 walker.close()
-                rows = [(page, r["idx"], r["hpid"], r["parent"], r["dom_path"], r["depth"], r["tagName"], r["attributes"].get("id"), r["attributes"].get("class"), r["attributes"].get("role"), r["attributes"], _own_text(r["texts"])) for r in walker.rows]
+                if texts:
+                    _texts(walker)
+                more = lambda r: (r["last"], r["tree"], r.get("nodes", []), r.get("subtree"), r.get("words", [])) if texts else ()
+                rows = [(page, r["idx"], r["hpid"], r["parent"], r["dom_path"], r["depth"], r["tagName"], r["attributes"].get("id"), r["attributes"].get("class"), r["attributes"].get("role"), r["attributes"], _own_text(r["texts"]), *more(r)) for r in walker.rows]
                 yield pd.DataFrame(rows, columns=names)
 
-    return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInPandas(run, f"page_id {dict(pages.dtypes)[id_col]}, {ELEMENTS}")
+    fields = f"{ELEMENTS}, {TEXTS}" if texts else ELEMENTS
+    return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInPandas(run, f"page_id {dict(pages.dtypes)[id_col]}, {fields}")
 
 
 def wanted_by(filters: Mapping[str, str]) -> Column | None:

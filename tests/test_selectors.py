@@ -14,7 +14,7 @@ PAGE = """<html><body><div id=menu class="bar wide"><a href="/a">A</a><a href="/
 
 @pytest.fixture(scope="module")
 def rows(spark):
-    return html.elements(spark.createDataFrame([("p", PAGE)], "page_id string, html string")).persist()
+    return html.elements(spark.createDataFrame([("p", PAGE)], "page_id string, html string"), texts=True).persist()
 
 
 def test_css_selectors(rows):
@@ -25,8 +25,8 @@ def test_css_selectors(rows):
     assert got["1.1.1.2"] == ('a[data-testid="go"]', 2, False)
     assert got["1.1.1.1"] == ('a[href="\\/a"]', 10, False)
     assert got["1.1.2.1"] == ('input[type="text"][name="q"]', 4, False)
-    assert got["1.1.2.2"] == ("span", 8, False)
-    assert got["1.1.1.3"] == ("p:nth-child(3)", 11, False) or got["1.1.1.3"] == ("#menu p:nth-child(3)", 11, True)
+    assert got["1.1.2.2"] == ("span:nth-child(2)", 11, False)
+    assert got["1.1.1.3"] == ("#menu p:nth-child(3)", 11, True)
     assert got["1.1.2.4.2"][0] == "li:nth-child(2)"
 
 
@@ -35,7 +35,7 @@ def test_xpath_selectors(rows):
     got = {by[r.idx]: r.selector for r in selectors.generate(rows, "xpath").collect()}
     assert len(set(got.values())) == len(by)
     assert got["1.1.2.2"] == "//span[text()='Only text here']" and got["1.1.1.2"] == "//a[@data-testid='go']"
-    assert got["1.1.2.4.2"] == "/html/body/div[2]/ul/li[2]"
+    assert got["1.1.2.4.2"] == "(//div[@class='bar']//li)[2]" and got["1.1.1.3"] == "(//div[@id='menu']//p[text()='one'])[1]"
 
 
 def test_filters_number_their_roots_anew(rows):
