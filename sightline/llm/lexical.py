@@ -132,10 +132,10 @@ def by_term(met: DataFrame, n_docs: int, n_words: int) -> DataFrame:
 
 
 def weighed(lists: DataFrame, asked: DataFrame, n_docs: int) -> DataFrame:
-    """asked with the term's weight and its highest impact; terms that no document holds are left out."""
-    df = lists.groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("top"))
+    """asked with the term's weight and its highest and lowest impact; terms that no document holds are left out."""
+    df = lists.groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("top"), F.min("impact").alias("bottom"))
     weight = F.floor(1000 * F.log(F.lit(2.0 * n_docs + 2) / (2 * F.col("df") + 1).cast("double")))
-    return stash(asked.join(df, "term").select("block", "query", "term", weight.alias("weight"), "top"), "weighed")
+    return stash(asked.join(df, "term").select("block", "query", "term", weight.alias("weight"), "top", "bottom"), "weighed")
 
 
 class _Thresholds:
@@ -146,14 +146,15 @@ class _Thresholds:
         number = {q: i for i, q in enumerate(self.queries)}
         rows = sorted(rows, key=lambda r: r.term)
         self.k, self.term = k, np.array([r.term for r in rows], dtype=np.int64)
-        self.query, self.weight, top = (np.array(x, dtype=np.int64) for x in ([number[r.query] for r in rows], [r.weight for r in rows], [r.top for r in rows]))
+        self.query, self.weight, top, bottom = (np.array(x, dtype=np.int64) for x in ([number[r.query] for r in rows], [r.weight for r in rows], [r.top for r in rows], [r.bottom for r in rows]))
         n = len(self.queries)
         self.t1 = np.array([bounds.get(q, 0) for q in self.queries], dtype=np.int64)
         lists = np.bincount(self.query, minlength=n)
         each, t1 = (self.weight * lists[self.query]), self.t1[self.query]
         # A posting is read if impact * weight * lists >= t1.
         self.least = np.where(each > 0, -(-t1 // np.maximum(each, 1)), np.where(t1 > 0, np.iinfo(np.int64).max, 0))
-        self.unread = np.minimum(np.maximum((t1 - 1) // lists[self.query], 0), self.weight * top)
+        # A list that is read to its end holds nothing more; another's unread postings lie below the threshold and its top.
+        self.unread = np.where(bottom >= self.least, 0, np.minimum(np.maximum((t1 - 1) // lists[self.query], 0), self.weight * top))
         self.all_unread = np.zeros(n, dtype=np.int64)
         np.add.at(self.all_unread, self.query, self.unread)
         self.terms, self.begin = np.unique(self.term, return_index=True)
