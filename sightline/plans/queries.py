@@ -416,7 +416,13 @@ def section_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def selector_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A CSS selector for every element of every page."""
-    return selectors.generate(_elements(spark, sf_dir), "css")
+    return selectors.generate(html.elements(table(spark, sf_dir, "pages"), texts=True), "css")
+
+
+@query
+def selector_xpath(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path expression for every element of every page."""
+    return selectors.generate(html.elements(table(spark, sf_dir, "pages"), texts=True), "xpath")
 
 
 @query

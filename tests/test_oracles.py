@@ -7,8 +7,9 @@ from sightline.plans.oracles import ORACLE_SQL
 from sightline.plans.queries import QUERIES
 
 TABLES = "part orders lineitem events pages".split()
-#: Rows-only queries: order-dependent walks, and trees of pages.
-NO_SQL = {"match_sequence_align", "match_position_grid", "match_all_passes", "apex_suppression", "content_intelligence", "extract_elements", "section_detection", "child_tag_histogram"}
+#: Rows-only queries: order-dependent walks, and trees of pages. test_selectors_plain.py holds selectors of all pages against a plain evaluator,
+#: test_pages_plain.py the others against plain walks of the trees.
+NO_SQL = {"selector_unique", "selector_xpath", "element_neighbours", "match_sequence_align", "match_position_grid", "match_all_passes", "apex_suppression", "content_intelligence", "extract_elements", "section_detection", "child_tag_histogram"}
 
 
 @pytest.fixture(scope="module")
