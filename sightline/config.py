@@ -186,7 +186,6 @@ class MatchOptions:
     position_tolerance: float = 50.0
     alignment: bool = True
     orphan_recovery: bool = False
-    max_elements: int = MAX_ELEMENTS
     strategies: Mapping[str, float] = field(default_factory=lambda: MappingProxyType({"absolute-hpid": 0.95, "id": 0.90, "css-selector": 0.80, "xpath": 0.78, "position": 0.30}))
 
 

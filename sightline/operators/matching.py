@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -66,66 +67,125 @@ def identity(base: DataFrame, other: DataFrame) -> DataFrame:
     return met.withColumn("outcome", F.when(F.col("c_idx").isNull(), "removed").when(F.col("b_idx").isNull(), "added").when(F.col("b_tag") == F.col("c_tag"), "pair").otherwise("replaced"))
 
 
+#: Elements of a side that a task takes in at once; the walk goes on from block to block.
+BLOCK = 20_000
+#: Rows of the alignment that are handed on at once.
+HANDED_ON = 50_000
+
+
 class _Walk:
-    """Two cursors over the elements of both sides, which look a few elements ahead where they disagree."""
+    """Two cursors over the elements of both sides, which look a few elements ahead where they disagree.
+
+    Blocks of (idx, path code, path-and-tag code) are fed side by side; what is behind both cursors is let go. Stretches where
+    both sides agree, at whatever distance the cursors are, are compared at once.
+    """
+
+    def __init__(self, look: int, confidence: float) -> None:
+        self.look, self.confidence = look, confidence
+        self.held = [np.empty((3, 0), dtype=np.int64), np.empty((3, 0), dtype=np.int64)]
+        self.rows: list[tuple] = []
+
+    def feed(self, side: int, block: np.ndarray) -> None:
+        self.held[side] = np.concatenate([self.held[side], block], axis=1)
 
-    def __init__(self, base: pd.DataFrame, other: pd.DataFrame, look: int) -> None:
-        path = lambda h: tuple(int(s) if s.isdigit() else s for s in h.split(".")) if isinstance(h, str) and h else ()
-        self.sides = [[(path(h), t, i) for h, t, i in zip(d["hpid"], d["tagName"], d["idx"], strict=True)] for d in (base, other)]
-        self.look, self.rows = look, []
+    def _note(self, b: np.ndarray, c: np.ndarray, outcome: str, strategy: str | None = None, confidence: float | None = None) -> None:
+        """b and c: index columns of equal length; -1 stands for none."""
+        self.rows.append((b, c, outcome, strategy, confidence))
 
-    def note(self, b: int | None, c: int | None, outcome: str, strategy: str | None = None, confidence: float | None = None) -> None:
-        left, right = self.sides
-        self.rows.append((None if b is None else left[b][2], None if c is None else right[c][2], outcome, strategy, confidence))
+    def _lone(self, idx: np.ndarray, side: int) -> None:
+        none = np.full(len(idx), -1)
+        self._note(*((idx, none) if side == 0 else (none, idx)), "removed" if side == 0 else "added")
 
-    def ahead(self, side: int, at: int, wanted: tuple) -> int | None:
-        rows = self.sides[side]
-        return next((k for k in range(at + 1, min(at + self.look, len(rows) - 1) + 1) if rows[k][:2] == wanted[:2]), None)
+    def _ahead(self, side: int, at: int, code: int) -> int | None:
+        found = np.flatnonzero(self.held[side][2, at + 1 : at + 1 + self.look] == code)
+        return at + 1 + int(found[0]) if len(found) else None
 
-    def run(self, confidence: float) -> list[tuple]:
-        left, right = self.sides
+    def run(self, last: bool) -> None:
+        """Walks on: to the end with last, else as long as all elements ahead that a step may look at are there."""
+        (left, right), look = self.held, self.look
         b = c = 0
-        while b < len(left) and c < len(right):
-            x, y = left[b], right[c]
-            if x[0] == y[0]:
-                if x[1] == y[1]:
-                    self.note(b, c, "match", "sequence-hpid", confidence)
-                else:  # replaced
-                    self.note(b, None, "removed")
-                    self.note(None, c, "added")
+        keep = 0 if last else look
+        while (n := min(left.shape[1] - b, right.shape[1] - c) - keep) > 0:
+            size = 1
+            while n > 0:
+                equal = left[2, b : b + min(size, n)] == right[2, c : c + min(size, n)]
+                met = len(equal) if equal.all() else int(equal.argmin())
+                if met:
+                    self._note(left[0, b : b + met], right[0, c : c + met], "match", "sequence-hpid", self.confidence)
+                    b, c, n = b + met, c + met, n - met
+                if met < len(equal):
+                    break
+                size = min(size * 4, 4096)
+            if n <= 0:
+                continue
+            if left[1, b] == right[1, c]:  # replaced
+                self._lone(left[0, b : b + 1], 0)
+                self._lone(right[0, c : c + 1], 1)
                 b, c = b + 1, c + 1
-            elif (k := self.ahead(1, c, x)) is not None:
-                for j in range(c, k):
-                    self.note(None, j, "added")
-                self.note(b, k, "match", "sequence-resync-add", confidence - 0.05)
+            elif (k := self._ahead(1, c, left[2, b])) is not None:
+                self._lone(right[0, c:k], 1)
+                self._note(left[0, b : b + 1], right[0, k : k + 1], "match", "sequence-resync-add", self.confidence - 0.05)
                 b, c = b + 1, k + 1
-            elif (k := self.ahead(0, b, y)) is not None:
-                for j in range(b, k):
-                    self.note(j, None, "removed")
-                self.note(k, c, "match", "sequence-resync-remove", confidence - 0.05)
+            elif (k := self._ahead(0, b, right[2, c])) is not None:
+                self._lone(left[0, b:k], 0)
+                self._note(left[0, k : k + 1], right[0, c : c + 1], "match", "sequence-resync-remove", self.confidence - 0.05)
                 b, c = k + 1, c + 1
             else:
-                self.note(b, c, "orphan")
+                self._note(left[0, b : b + 1], right[0, c : c + 1], "orphan")
                 b, c = b + 1, c + 1
-        for j in range(b, len(left)):
-            self.note(j, None, "removed")
-        for j in range(c, len(right)):
-            self.note(None, j, "added")
-        return self.rows
+        self.held = [left[:, b:], right[:, c:]]
+        if last:
+            self._lone(self.held[0][0], 0)
+            self._lone(self.held[1][0], 1)
+            self.held = [x[:, :0] for x in self.held]
+
+    def take(self, pair: int) -> pd.DataFrame:
+        rows, self.rows = self.rows, []
+        sizes = [len(r[0]) for r in rows]
+        spread = lambda k, kind: np.repeat(np.array([r[k] for r in rows], dtype=kind), sizes)
+        idx = [pd.array(np.concatenate([r[k] for r in rows]) if rows else np.empty(0, dtype=np.int64), dtype="Int64") for k in (0, 1)]
+        for x in idx:
+            x[x == -1] = pd.NA
+        return pd.DataFrame({"pair_id": np.full(sum(sizes), pair), "b_idx": idx[0], "c_idx": idx[1], "outcome": spread(2, object), "strategy": spread(3, object), "confidence": spread(4, float)})
 
 
 def align(base: DataFrame, other: DataFrame, options: C.MatchOptions = C.MatchOptions()) -> DataFrame:
-    """Sequence alignment in document order, one comparison at a time (its elements are bounded: limit_elements): FOUND rows with
-    outcome match, added, removed or orphan.
-    """
-
-    def walk(key: tuple, b: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        rows = _Walk(b.sort_values("idx"), c.sort_values("idx"), options.look_ahead).run(options.in_sequence)
-        out = pd.DataFrame(rows, columns=["b_idx", "c_idx", "outcome", "strategy", "confidence"]).astype({"b_idx": "Int64", "c_idx": "Int64", "confidence": "float64"})
-        return out.assign(pair_id=key[0])[["pair_id", "b_idx", "c_idx", "outcome", "strategy", "confidence"]]
+    """Sequence alignment in document order: FOUND rows with outcome match, added, removed or orphan. idx is 0 or more.
 
-    cut = lambda d: d.select("pair_id", "idx", "hpid", "tagName").groupBy("pair_id")
-    return cut(base).cogroup(cut(other)).applyInPandas(walk, FOUND)
+    Paths and tags become numbers that are equal where they are; the elements of each side are put in blocks by their order, and
+    a task walks a comparison's blocks one after the other, with the cursors handed on. It holds a block of each side and as many
+    elements as one cursor is ahead of the other, so a comparison may be of any size.
+    """
+    number = lambda s: F.when(s.rlike("^[0-9]+$"), F.regexp_replace(s, "^0+(?=.)", "")).otherwise(s)
+    path = F.array_join(F.transform(H.segments(F.coalesce("hpid", F.lit(""))), number), ".")
+    rows = reduce(DataFrame.unionByName, [d.select("pair_id", F.lit(side).alias("side"), F.col("idx").cast("long").alias("idx"), path.alias("path"), "tagName") for side, d in enumerate((base, other))])
+    code = lambda *by: F.min(F.col("idx") * 2 + F.col("side")).over(Window.partitionBy("pair_id", *by))
+    coded = rows.withColumn("p", code("path")).withColumn("k", code("path", "tagName"))
+    place = F.row_number().over(Window.partitionBy("pair_id", "side").orderBy("idx"))
+    blocks = coded.select("pair_id", "side", "idx", "p", "k", F.floor((place - 1) / BLOCK).alias("block")).groupBy("pair_id", "block", "side").agg(F.array_sort(F.collect_list(F.struct("idx", "p", "k"))).alias("rows"))  # BLOCK rows at most
+    columns = blocks.select("pair_id", "block", "side", *[F.col(f"rows.{f}").alias(f) for f in ("idx", "p", "k")])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, done, at = None, None, None
+        for batch in batches:
+            for pair, block, side, *parts in batch.itertuples(index=False):
+                if now is not None and pair != at:
+                    now.run(True)
+                    yield now.take(at)
+                    now = None
+                if now is None:
+                    now, at, done = _Walk(options.look_ahead, options.in_sequence), pair, block
+                if block != done:  # both sides of the blocks before are in
+                    now.run(False)
+                    done = block
+                    if sum(len(r[0]) for r in now.rows) > HANDED_ON:
+                        yield now.take(at)
+                now.feed(side, np.array(parts, dtype=np.int64))
+        if now is not None:
+            now.run(True)
+            yield now.take(at)
+
+    return columns.repartition("pair_id").sortWithinPartitions("pair_id", "block", "side").mapInPandas(walk, FOUND)
 
 
 def near(base: DataFrame, other: DataFrame, options: C.MatchOptions = C.MatchOptions()) -> DataFrame:
@@ -133,7 +193,7 @@ def near(base: DataFrame, other: DataFrame, options: C.MatchOptions = C.MatchOpt
 
     Base rows claim in document order; of equally near ones the first counts, cell by cell of the tolerance's size. A position
     alone is worth 0.30 at most, so nothing is found above that threshold (the default). Claims interact, so they are settled for
-    one comparison at a time, whose elements are bounded (limit_elements); no pairs are formed but a row's nine cells.
+    one comparison at a time; no pairs are formed but a row's nine cells.
     """
     size, worth = options.position_tolerance, options.strategies.get("position", 0.30)
     if worth < options.confidence_threshold:
@@ -163,12 +223,6 @@ def near(base: DataFrame, other: DataFrame, options: C.MatchOptions = C.MatchOpt
     return cut(base).cogroup(cut(other)).applyInPandas(claim, FOUND)
 
 
-def limit_elements(elements: DataFrame, most: int = C.MAX_ELEMENTS, owner: str = "pair_id") -> DataFrame:
-    """The first `most` elements of each report, in document order: what one report may hold."""
-    place = F.row_number().over(Window.partitionBy(owner).orderBy("idx"))
-    return elements.withColumn("__place", place).filter(F.col("__place") <= most).drop("__place")
-
-
 def _without(rows: DataFrame, used: DataFrame, column: str) -> DataFrame:
     return rows.join(used.select("pair_id", F.col(column).alias("idx")).filter("idx is not null").distinct(), ["pair_id", "idx"], "left_anti")
 
@@ -192,7 +246,6 @@ def match(base: DataFrame, other: DataFrame, options: C.MatchOptions = C.MatchOp
     them; orphan_recovery passes them on to suffix, key and place. Without alignment the key passes see all that is left.
     Compare rows that an ambiguous row could mean are not added rows of the later passes.
     """
-    base, other = limit_elements(base, options.max_elements), limit_elements(other, options.max_elements)
     anchors = keyed(base, other, anchor_key(), "test-attribute", 1.0, options)
     matches, ambiguous = [anchors.filter("outcome = 'match'")], [anchors.filter("outcome = 'ambiguous'")]
     reserved = [candidates(other, anchor_key(), ambiguous[0])]

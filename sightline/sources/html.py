@@ -189,6 +189,15 @@ def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
     return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInPandas(run, f"page_id {dict(pages.dtypes)[id_col]}, {fields}")
 
 
+def limited(rows: DataFrame, most: int = C.MAX_ELEMENTS) -> tuple[DataFrame, DataFrame]:
+    """What a report of each page takes up, its first `most` elements in document order, and the overflow: page_id, elements and
+    left_out of the pages that have more. Comparisons take reports of any size.
+    """
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("idx"))
+    over = rows.groupBy("page_id").agg(F.count("*").alias("elements")).filter(F.col("elements") > most).withColumn("left_out", F.col("elements") - most)
+    return rows.withColumn("__place", place).filter(F.col("__place") <= most).drop("__place"), over
+
+
 def wanted_by(filters: Mapping[str, str]) -> Column | None:
     """The elements that filters ask for: class (words of a group all, groups apart by commas), id and tag; any of the three will do. None without filters."""
     classes = F.split(F.trim(F.coalesce("className", F.lit(""))), r"\s+")
