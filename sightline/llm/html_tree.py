@@ -16,10 +16,11 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"""[>"']""")
 _NAMING = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Elements whose inside is no text of the page. Without an end tag, the latter kinds end at once and the former take the rest.
+#: Elements whose inside is no text of the page. Without an end tag, the former end at the next tag and the latter at once.
 RAW = frozenset("script style title".split())
 HIDDEN = frozenset("template svg iframe".split())
-_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW | HIDDEN}
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW | HIDDEN}
+_NEXT_TAG = re.compile(r"<[a-zA-Z/!?]")
 #: Open blocks on top of each other; deeper ones become siblings, as browsers have it.
 MAX_DEPTH = 512
 
@@ -92,12 +93,14 @@ class Scanner:
                 tag = ""
             if mark != "/" and tag in _RAW_END and not attributes.endswith("/"):
                 close = None if tag in self.unclosed else _RAW_END[tag].search(page, at)
-                if close:
-                    at = begin = close.end()
-                elif tag in RAW:
-                    at = begin = len(page)
+                shut = page.find(">", close.end()) if close and close.end() <= self.last else -1
+                if shut >= 0:
+                    at = begin = shut + 1
                 else:
                     self.unclosed.add(tag)
+                    if tag in RAW:
+                        following = _NEXT_TAG.search(page, at)
+                        at = begin = following.start() if following else len(page)
                 tag = ""
             yield text, tag, attributes, mark == "/"
         yield page[begin:], "", "", False
