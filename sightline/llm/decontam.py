@@ -9,7 +9,7 @@ Texts and items are compared lower-cased with each run of white space as one spa
 Defined results
 * null, empty and blank texts have no hits; null, empty and blank items are never found;
 * an item so short that its budget is no edit (below 1 / rate characters) is found as it is, between word boundaries;
-* equal items are each reported; a text that holds an item several times gets one row with the best occurrence (fewest
+* ids of items may be of any type, null too; equal items are each reported; a text that holds an item several times gets one row with the best occurrence (fewest
   edits, then the first);
 * repeated documents are each reported; empty tables give an empty result; other columns are not looked at.
 """
@@ -108,7 +108,7 @@ class Matcher:
                     else:
                         spans.append((low, high))
         out = []
-        for n, spans in windows.items():
+        for n, spans in sorted(windows.items()):
             i, item, k = self.items[n]
             best: tuple[int, int] | None = None
             for low, high in spans:
@@ -121,7 +121,7 @@ class Matcher:
                     best = found
             if best:
                 out.append((i, best[0], k, best[1]))
-        return sorted(out)
+        return out
 
 
 def _bounded(text: str, low: int, high: int) -> bool:
@@ -130,7 +130,7 @@ def _bounded(text: str, low: int, high: int) -> bool:
 
 def _passes(items: DataFrame, item_col: str, item_text_col: str, pass_chars: int) -> Iterator[Broadcast]:
     """The items, broadcast in groups of about pass_chars characters: one group but for very large test sets."""
-    test = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item_text"))
+    test = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item_text"))
     n = test.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()[0] // pass_chars + 1
     for p in range(n):
         own = test.filter(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(n)) == p)
@@ -143,7 +143,7 @@ def _search(shared: Broadcast, rate: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(shared.value, rate)
         for batch in batches:
-            yield pd.DataFrame([(d, *hit) for d, text in zip(batch["id"], batch["text"], strict=True) for hit in matcher.find(text)], columns=columns)
+            yield pd.DataFrame([(d, *hit) for d, text in zip(batch["id"], batch["text"], strict=True) for hit in matcher.find(text)], columns=columns, dtype=object)
 
     return run
 
@@ -162,7 +162,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """One row per document row and item that it holds: id, item_id, edits, budget and the end of the best occurrence."""
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    found = [rows.mapInPandas(_search(shared, rate), "id string, item_id long, edits int, budget int, end int") for shared in _passes(items, item_col, item_text_col, pass_chars)]
+    found = [rows.mapInPandas(_search(shared, rate), f"id string, item_id {items.schema[item_col].dataType.simpleString()}, edits int, budget int, end int") for shared in _passes(items, item_col, item_text_col, pass_chars)]
     return reduce(DataFrame.unionByName, found).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
