@@ -45,7 +45,7 @@ def recurrences(rows: DataFrame) -> DataFrame:
     extra = [c for c in ("is_apex", "suppressed") if c in rows.columns]
     first = F.min_by(F.struct("ord", "hpid", "total", "properties", *extra), "ord").alias("first")
     paths = F.transform(F.array_sort(F.collect_list(F.struct("ord", "hpid"))), lambda x: x["hpid"])  # as many as a comparison has elements
-    grouped = rows.groupBy("pair_id", "severity", "label", F.xxhash64("signature").alias("__signature")).agg(first, F.count("*").alias("recurrence"), paths.alias("recurrence_hpids"))
+    grouped = rows.groupBy("pair_id", "severity", "label", F.sha2("signature", 256).alias("__signature")).agg(first, F.count("*").alias("recurrence"), paths.alias("recurrence_hpids"))
     return grouped.select("pair_id", "severity", "label", "first.*", "recurrence", "recurrence_hpids")
 
 
@@ -159,6 +159,28 @@ def instances(rows: DataFrame) -> DataFrame:
     return rows.select("pair_id", "label", "severity", F.col("recurrence").alias("of"), F.posexplode("recurrence_hpids").alias("at", "hpid")).select("pair_id", "hpid", "label", "severity", (F.col("at") + 1).alias("instance"), "of")
 
 
+#: Groups of a report in the order in which its items are looked at.
+GROUPS = (*C.SEVERITIES, "added", "removed", "unchanged")
+
+
+def item_map(rows: DataFrame) -> DataFrame:
+    """Which item and which label each path of a report goes by: pair_id, node, group, is_apex, label, instance and of.
+
+    rows: items with pair_id, hpid, label, group (of GROUPS), place, and is_apex and recurrence_hpids where they are changed. A
+    path's own item comes first, of several the one looked at last; else it is that of the first recurrence that counts the path.
+    For labels unchanged items are looked at before all others, for items after them.
+    """
+    at = lambda names: F.array_position(F.array(*map(F.lit, names)), F.col("group"))
+    far = F.coalesce("place", F.lit(0))
+    item = F.struct(F.col("group"), F.coalesce("is_apex", F.lit(False)).alias("is_apex"), F.coalesce(F.size("recurrence_hpids"), F.lit(1)).alias("of"))
+    held = rows.select("pair_id", "hpid", "label", item.alias("item"), at(GROUPS).alias("g"), at(("unchanged", *GROUPS[:-1])).alias("l"), far.alias("place"), F.coalesce("recurrence_hpids", F.array("hpid")).alias("paths"))
+    each = held.select("pair_id", "hpid", "label", "item", "g", "l", "place", F.posexplode("paths").alias("i", "node"))
+    own = F.col("node") == F.col("hpid")
+    order = lambda c: F.struct((~own).alias("a"), F.when(own, -F.col(c)).otherwise(F.col(c)).alias("b"), F.when(own, -F.col("place")).otherwise(F.col("place")).alias("c"), "i")
+    found = each.groupBy("pair_id", "node").agg(F.min_by(F.struct("item", (F.col("i") + 1).alias("instance")), order("g")).alias("x"), F.min_by("label", order("l")).alias("label"))
+    return found.select("pair_id", "node", "x.item.group", "x.item.is_apex", "label", "x.instance", "x.item.of")
+
+
 def finalised(matches: DataFrame, residual: DataFrame, root_causes: DataFrame, settled: DataFrame, added: DataFrame, removed: DataFrame, ambiguous: DataFrame) -> DataFrame:
     """The report's summary, a row for each comparison, with `consistent`: severities sum up to the root causes, and these, the suppressed and the unchanged to all matched pairs."""
     zero = F.lit(0).cast("long")

@@ -147,6 +147,25 @@ ORACLE_SQL: dict[str, str] = {
       SELECT pair_id, hpid AS node, 3 AS k FROM per_match UNION ALL SELECT c.pair_id, c.hpid, 1 FROM cmp c ANTI JOIN base b ON c.pair_id = b.pair_id AND c.hpid = b.hpid UNION ALL SELECT b.pair_id, b.hpid, 2 FROM base b ANTI JOIN cmp c ON c.pair_id = b.pair_id AND c.hpid = b.hpid
     ), both_ AS (SELECT * FROM own UNION ALL SELECT pair_id, '1', 4 FROM own UNION ALL SELECT pair_id, {_PARENT.replace("hpid", "node")}, 4 FROM own)
     SELECT pair_id, node, CASE min(k) WHEN 1 THEN 'DOM_INSERTION' WHEN 2 THEN 'DOM_DELETION' WHEN 3 THEN 'DIFF' ELSE 'STRUCTURAL' END AS kind FROM both_ GROUP BY ALL""",
+    "report_tree": f"""{_ITEMS}, apex AS (
+      SELECT DISTINCT p.pair_id, p.hpid FROM diffs d JOIN diffs p ON p.pair_id = d.pair_id AND p.hpid = ({_PARENT.replace("hpid", "d.hpid")}) WHERE d.property = 'color' AND p.property = 'color' AND p.base_value = d.base_value AND p.compare_value = d.compare_value
+    ), changed AS (
+      SELECT i.pair_id, i.hpid, i.severity AS "group", i.label, row_number() OVER (PARTITION BY i.pair_id, i.severity, i.label, i.signature ORDER BY i.ord) AS instance, o.recurrence AS "of", (o.pair_id, o.hpid) IN (SELECT (pair_id, hpid) FROM apex) AS is_apex
+      FROM items i JOIN once o ON o.pair_id = i.pair_id AND o.severity = i.severity AND o.label = i.label AND o.signature = i.signature
+      UNION ALL SELECT c.pair_id, c.hpid, 'added', concat_ws('.', c.tag, c.classes), 1, 1, false FROM cmp c ANTI JOIN base b ON c.pair_id = b.pair_id AND c.hpid = b.hpid
+      UNION ALL SELECT b.pair_id, b.hpid, 'removed', concat_ws('.', b.tag, b.classes), 1, 1, false FROM base b ANTI JOIN cmp c ON c.pair_id = b.pair_id AND c.hpid = b.hpid
+    ), deep AS (
+      SELECT *, string_split(hpid, '.') AS s, CAST(s[2] AS BIGINT) AS k, list_concat(['1', CAST(k % 7 + 1 AS VARCHAR), CAST(k % 3 + 1 AS VARCHAR)], s[2:]) AS steps FROM changed
+    ), above AS (
+      SELECT pair_id, array_to_string(steps[1:n], '.') AS node, count(*) AS below FROM deep, (SELECT unnest(range(1, 5)) AS n) WHERE n < len(steps) GROUP BY ALL
+    ), calm AS (
+      SELECT m.pair_id, string_split(m.hpid, '.') AS s, CAST(s[2] AS BIGINT) AS k, array_to_string(list_concat(['1', CAST(k % 7 + 1 AS VARCHAR), CAST(k % 3 + 1 AS VARCHAR)], s[2:]), '.') AS node, concat_ws('.', tag, classes) AS label FROM m ANTI JOIN diffs d ON d.pair_id = m.pair_id AND d.hpid = m.hpid
+    )
+    SELECT pair_id, array_to_string(steps, '.') AS node, CAST(len(steps) AS INT) AS depth, CASE WHEN "group" = 'added' THEN 'DOM_INSERTION' WHEN "group" = 'removed' THEN 'DOM_DELETION' WHEN is_apex THEN 'DIFF_APEX' ELSE 'DIFF_DETAIL' END AS kind,
+           "group", label, CAST(instance AS INT) AS instance, CAST("of" AS INT) AS "of", CAST(NULL AS BIGINT) AS child_diffs FROM deep
+    UNION ALL
+    SELECT a.pair_id, a.node, CAST(len(string_split(a.node, '.')) AS INT), 'STRUCTURAL', NULL, coalesce(c.label, a.node), NULL, NULL, below
+    FROM above a LEFT JOIN calm c ON c.pair_id = a.pair_id AND c.node = a.node WHERE (a.pair_id, a.node) NOT IN (SELECT (pair_id, array_to_string(steps, '.')) FROM deep)""",
     "breadcrumbs": f"""WITH {_diffs()}, labels AS (SELECT pair_id, hpid, tag || '#' || el_id || coalesce('.' || classes, '') AS label FROM base)
       SELECT a.pair_id, a.hpid AS node, '1 > ' || coalesce(p.label || ' > ', '') || l.label AS crumbs FROM per_match a JOIN labels l ON l.pair_id = a.pair_id AND l.hpid = a.hpid LEFT JOIN labels p ON a.hpid LIKE '1.%.%' AND p.pair_id = a.pair_id AND p.hpid = ({_PARENT.replace("hpid", "a.hpid")})""",
     "diffs_by_category": f"WITH {_diffs()} SELECT pair_id, hpid, category, string_agg(property, ',' ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 ELSE 4 END, CASE property WHEN 'width' THEN 1 WHEN 'color' THEN 2 WHEN 'display' THEN 3 WHEN 'textContent' THEN 4 ELSE 5 END) AS properties FROM diffs GROUP BY pair_id, hpid, category",

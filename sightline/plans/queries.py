@@ -294,6 +294,30 @@ def tree_structural_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.tree_nodes(_per_match(spark, sf_dir), unmatched_added(spark, sf_dir), unmatched_removed(spark, sf_dir))
 
 
+def _deeper(hpid: Column) -> Column:
+    """The snapshot's paths put two levels further down: 1.o.line becomes 1.a.b.o.line."""
+    order = H.segments(hpid)[1].cast("long")
+    return F.when(H.depth(hpid) == 1, hpid).otherwise(F.concat_ws(".", F.lit("1"), (order % 7 + 1).cast("string"), (order % 3 + 1).cast("string"), F.substring(hpid, 3, 1000)))
+
+
+@query
+def report_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's tree, five levels deep: changed, added and removed elements and all above them; apexes are those whose change others only follow."""
+    label = F.concat_ws(".", "tagName", "className").alias("label")
+    diffs = _diffs(spark, sf_dir)
+    took = hierarchy.cascades(diffs).filter("inherited").select("pair_id", H.parent(F.col("hpid")).alias("hpid")).distinct().withColumn("is_apex", F.lit(True))
+    items = report.recurrences(_items(spark, sf_dir)).withColumn("group_before", F.col("severity"))
+    causes = report.placed(items).join(took, ["pair_id", "hpid"], "left").withColumnRenamed("severity", "group")
+    met = matching.identity(base(spark, sf_dir), edited(spark, sf_dir)).select("pair_id", "hpid", "outcome")
+    lone = lambda rows, kind: rows.select("pair_id", "hpid", label).join(met.filter(F.col("outcome") == kind), ["pair_id", "hpid"]).select("pair_id", "hpid", "label", F.lit(kind).alias("group"))
+    unchanged = matched(spark, sf_dir).join(diffs.select("pair_id", "hpid").distinct(), ["pair_id", "hpid"], "left_anti").select("pair_id", "hpid", label, F.lit("unchanged").alias("group"))
+    every = causes.select("pair_id", "hpid", "label", "group", "place", "is_apex", "recurrence_hpids")
+    for rows in (lone(edited(spark, sf_dir), "added"), lone(base(spark, sf_dir), "removed"), unchanged):
+        every = every.unionByName(rows, allowMissingColumns=True)
+    deep = every.withColumns({"hpid": _deeper(F.col("hpid")), "recurrence_hpids": F.transform("recurrence_hpids", _deeper)})
+    return hierarchy.report_tree(report.item_map(deep)).withColumn("instance", F.col("instance").cast("int"))
+
+
 @query
 def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = base(spark, sf_dir).select("pair_id", "hpid", text.element_label(F.col("tagName"), F.col("elementId"), F.col("className")).alias("label"))
