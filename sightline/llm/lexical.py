@@ -27,6 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -119,14 +120,14 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_i
     n_blocks = asked.count() // max_pairs + 1
     terms_of = asked.join(reduce(DataFrame.unionByName, coded), "word").select("query", "term", F.pmod(F.xxhash64("query"), F.lit(n_blocks)).alias("block"))
     found = weighed(lists, terms_of, size.docs)
-    answers = [best(lists, found.filter(F.col("block") == b).drop("block"), met, k) for b in range(n_blocks)]
+    answers = [best(lists, found.filter(F.col("block") == b).drop("block"), k) for b in range(n_blocks)]
     return reduce(DataFrame.unionByName, answers).select(F.col("query").alias(query_col), "rank", F.col("doc_id").alias(id_col), "score")
 
 
 def by_term(met: DataFrame, n_docs: int, n_words: int) -> DataFrame:
-    """The lists: term, impact and row, sorted by term and falling impact; a term's rows are dealt to SALTS places."""
+    """The lists: term, impact, row and doc_id, sorted by term and falling impact; a term's rows are dealt to SALTS places."""
     m = F.expr(f"50 + ((50L * n * {n_docs}L) div {max(n_words, 1)}L)")
-    impact = met.filter("term is not null").withColumn("m", m).select("term", F.expr("(1000000000L * tf) div (1000L * tf + 20L * m)").cast("int").alias("impact"), "row")
+    impact = met.filter("term is not null").withColumn("m", m).select("term", F.expr("(1000000000L * tf) div (1000L * tf + 20L * m)").cast("int").alias("impact"), "row", "doc_id")
     dealt = impact.repartition("term", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
     return stash(dealt.sortWithinPartitions("term", F.col("impact").desc()), "lists")
 
@@ -160,68 +161,73 @@ class _Thresholds:
         self.terms, self.begin = np.unique(self.term, return_index=True)
         self.end = np.searchsorted(self.term, self.terms, side="right")
 
-    def partial(self, row: np.ndarray, term: np.ndarray, impact: np.ndarray) -> tuple[np.ndarray, ...]:
-        """query, row, score and the most that the exact score can be, over the postings of whole documents."""
+    def partial(self, row: np.ndarray, term: np.ndarray, impact: np.ndarray, doc: pa.Array) -> pa.Table:
+        """query, row, doc, score and most (the exact score can be), over the postings of whole documents."""
         at = np.searchsorted(self.terms, term)
         n = self.end[at] - self.begin[at]
         which = np.repeat(np.arange(len(term)), n)
         pair = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + self.begin[at][which]
         read = impact[which] >= self.least[pair]
         which, pair = which[read], pair[read]
-        rows, inverse = np.unique(row, return_inverse=True)
+        rows, first, inverse = np.unique(row, return_index=True, return_inverse=True)
         key, inverse = np.unique(inverse[which] * len(self.queries) + self.query[pair], return_inverse=True)
-        score = np.zeros(len(key), dtype=np.int64)
-        seen = np.zeros(len(key), dtype=np.int64)
+        score, seen = np.zeros(len(key), dtype=np.int64), np.zeros(len(key), dtype=np.int64)
         np.add.at(score, inverse, self.weight[pair] * impact[which])
         np.add.at(seen, inverse, self.unread[pair])
-        query = key % len(self.queries)
-        return query, rows[key // len(self.queries)], score, score + self.all_unread[query] - seen
-
-    def kept(self, found: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
-        """found without the rows that can't be among a query's k best, as its k-th highest partial score in found shows."""
-        query, row, score, most = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((-score, query))
-        first = np.searchsorted(query[order], np.arange(len(self.queries)))
-        kth = first + self.k - 1
-        full = (kth < len(order)) & (query[order][np.minimum(kth, len(order) - 1)] == np.arange(len(self.queries)))
-        self.t1[full] = np.maximum(self.t1[full], score[order][kth[full]])
-        keep = most >= self.t1[query]
-        return [(query[keep], row[keep], score[keep], most[keep])]
+        query, own = key % len(self.queries), key // len(self.queries)
+        most = score + self.all_unread[query] - seen
+        good = most >= self.t1[query]
+        query, own, score, most = query[good], own[good], score[good], most[good]
+        return pa.table({"q": query, "row": rows[own], "doc": doc.take(pa.array(first[own])), "score": score, "most": most})
+
+    def kept(self, found: list[pa.Table]) -> pa.Table:
+        """found without the rows that can't be among a query's k best: those below its k-th highest score in found, and those
+        that are sure to tie with it and stand behind k others.
+        """
+        table = pa.concat_tables(found).combine_chunks()
+        order = pc.sort_indices(table, sort_keys=[("q", "ascending"), ("score", "descending"), ("doc", "ascending"), ("row", "ascending")], null_placement="at_end")
+        table = table.take(order)
+        query, score, most = (table.column(c).to_numpy() for c in ("q", "score", "most"))
+        first = np.searchsorted(query, np.arange(len(self.queries)))
+        kth = np.minimum(first + self.k - 1, max(len(query) - 1, 0))
+        full = (first + self.k <= len(query)) & (query[kth] == np.arange(len(self.queries))) if len(query) else np.zeros(len(self.queries), dtype=bool)
+        self.t1[full] = np.maximum(self.t1[full], score[kth[full]])
+        behind = (np.arange(len(query)) - first[query] >= self.k) & (score == most)  # k others are as good at least, and go first among equals
+        return table.filter(pa.array((most >= self.t1[query]) & ~behind))
 
 
 def _sum_up(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan: _Thresholds = shared.value
         plan.t1 = plan.t1.copy()  # grows in this task alone
-        found, n, rest = [], 0, None
-
-        def add(part: np.ndarray) -> None:
-            nonlocal found, n
-            query, row, score, most = plan.partial(*part)
-            good = most >= plan.t1[query]
-            found.append((query[good], row[good], score[good], most[good]))
-            n += int(good.sum())
-            if n > GATHERED:
-                found = plan.kept(found)
-                n = max(len(found[0][0]) - GATHERED // 2, 0)
+        found, n, rest, floor = [], 0, None, 0
+
+        def add(part: pa.Table) -> None:
+            nonlocal found, n, floor
+            row, term, impact = (part.column(c).to_numpy() for c in ("row", "term", "impact"))
+            found.append(plan.partial(row, term, impact, part.column("doc_id").combine_chunks()))
+            n += found[-1].num_rows
+            if n > GATHERED + 2 * floor:
+                found = [plan.kept(found)]
+                n = floor = found[0].num_rows
 
         for batch in batches:
-            part = np.stack([batch.column(i).to_numpy() for i in range(3)])
-            part = part if rest is None else np.concatenate([rest, part], axis=1)
-            whole = np.searchsorted(part[0], part[0][-1]) if part.shape[1] else 0  # rows are sorted; the last may go on
-            rest = part[:, whole:]
+            part = pa.Table.from_batches([batch])
+            part = part if rest is None else pa.concat_tables([rest, part])
+            row = part.column("row").to_numpy()
+            whole = int(np.searchsorted(row, row[-1])) if len(row) else 0  # rows are sorted; the last may go on
+            rest = part.slice(whole)
             if whole:
-                add(part[:, :whole])
-        if rest is not None and rest.shape[1]:
+                add(part.slice(0, whole))
+        if rest is not None and rest.num_rows:
             add(rest)
         if found:
-            query, row, score, most = plan.kept(found)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (query, row, score, most)], names=["q", "row", "score", "most"])
+            yield from plan.kept(found).drop_columns(["doc"]).combine_chunks().to_batches()
 
     return run
 
 
-def best(lists: DataFrame, asked: DataFrame, met: DataFrame, k: int) -> DataFrame:
+def best(lists: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """query, rank, doc_id and score: the three phases over lists (by_term) and a block of asked (weighed)."""
     spark = lists.sparkSession
     worth = F.col("weight") * F.col("impact")
@@ -236,7 +242,7 @@ def best(lists: DataFrame, asked: DataFrame, met: DataFrame, k: int) -> DataFram
     plan = _Thresholds(asked.collect(), bounds, k)
     lows = [(int(t), int(plan.least[b:e].min())) for t, b, e in zip(plan.terms, plan.begin, plan.end, strict=True)]
     read = lists.join(F.broadcast(spark.createDataFrame(lows, "t int, low long")), (F.col("term") == F.col("t")) & (F.col("impact") >= F.col("low")))
-    by_row = read.select("row", F.col("term").cast("long"), F.col("impact").cast("long")).repartition("row").sortWithinPartitions("row")
+    by_row = read.select("row", F.col("term").cast("long"), F.col("impact").cast("long"), "doc_id").repartition("row").sortWithinPartitions("row")
     names = spark.createDataFrame([(i, q) for i, q in enumerate(plan.queries)], f"q long, query {asked.schema['query'].dataType.simpleString()}")
     partial = stash(by_row.mapInArrow(_sum_up(spark.sparkContext.broadcast(plan)), "q long, row long, score long, most long").join(F.broadcast(names), "q"), "partial")
     second = _kth(partial.select(F.col("q").alias("query"), "score"), k).select(F.col("query").alias("q"), F.col("least").alias("t2"))
@@ -246,10 +252,10 @@ def best(lists: DataFrame, asked: DataFrame, met: DataFrame, k: int) -> DataFram
     few = candidates.count() <= MAX_PAIRS
     rows = candidates.select("row").distinct()
     rows, pairs = (F.broadcast(rows), F.broadcast(candidates)) if few else (rows, candidates)
-    held, ids = lists.join(rows, "row", "left_semi"), met.filter("term is null").select("row", "doc_id").join(rows, "row", "left_semi")
+    held = lists.join(rows, "row", "left_semi")
     of = asked.select(F.col("query").alias("asker"), F.col("term").alias("t"), "weight")
     exact = held.join(pairs, "row").join(F.broadcast(of), (F.col("term") == F.col("t")) & F.col("query").eqNullSafe(F.col("asker")))
-    score = exact.groupBy("query", "row").agg(F.sum(worth).alias("score")).filter("score > 0").join(ids, "row")
+    score = exact.groupBy("query", "row").agg(F.sum(worth).alias("score"), F.first("doc_id").alias("doc_id")).filter("score > 0")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "row"))
     return score.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query", "rank", "doc_id", "score")
 
