@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import hpid as H
+from ..shared import written
 
 FOUND = "pair_id long, b_idx long, c_idx long, outcome string, strategy string, confidence double"
 
@@ -231,54 +232,59 @@ def _without(rows: DataFrame, used: DataFrame, column: str) -> DataFrame:
 _KEY_COLUMNS = {"absolute-hpid": ("absoluteHpid", "hpid"), "id": ("elementId",), "css-selector": ("cssSelector",), "xpath": ("xpath",)}
 
 
-def _strategy(name: str, b: DataFrame, c: DataFrame, confidence: float, options: C.MatchOptions) -> tuple[DataFrame, Column | None] | None:
-    """One pass by its registered name, and its key; None where the elements lack the columns."""
-    if name == "position":
-        return (near(b, c, options), None) if {"x", "y"} <= set(b.columns) else None
-    column = next((k for k in _KEY_COLUMNS.get(name, ()) if k in b.columns and k in c.columns), None)
-    return (keyed(b, c, text_key(column), name, confidence, options), text_key(column)) if column else None
-
-
 def match(base: DataFrame, other: DataFrame, options: C.MatchOptions = C.MatchOptions()) -> dict[str, DataFrame]:
-    """matches, ambiguous, reserved, added and removed, and the persisted rows of the walk (walked), which the caller frees.
+    """matches, ambiguous, reserved, added and removed.
 
     Anchors claim first, then the sequence alignment. Its orphans are in no list, as by default the later passes don't see
     them; orphan_recovery passes them on to suffix, key and place. Without alignment the key passes see all that is left.
     Compare rows that an ambiguous row could mean are not added rows of the later passes.
+
+    Elements are read once a side, for a narrow table of keys; that and what each pass finds are written to the shared folder,
+    so no pass does the work of those before it again.
     """
-    anchors = keyed(base, other, anchor_key(), "test-attribute", 1.0, options)
-    matches, ambiguous = [anchors.filter("outcome = 'match'")], [anchors.filter("outcome = 'ambiguous'")]
-    reserved = [candidates(other, anchor_key(), ambiguous[0])]
-    b, c = _without(base, matches[0], "b_idx"), _without(other, matches[0], "c_idx")
-    added = removed = walked = None
+    usable = {n: next((k for k in names if k in base.columns and k in other.columns), None) for n, names in _KEY_COLUMNS.items()}
+    keys = {"anchor": anchor_key(), "suffix": suffix_key(options.suffix_depth)} | {n: text_key(c) for n, c in usable.items() if c and n in options.strategies}
+    places = [c for c in ("x", "y") if c in base.columns and c in other.columns]
+    all_b, all_c = (written(d.select("pair_id", "idx", "hpid", "tagName", *places, *[k.alias(f"key {n}") for n, k in keys.items()]), "keys") for d in (base, other))
+    matches, ambiguous, reserved = [], [], []
+
+    def claim(b: DataFrame, c: DataFrame, found: DataFrame, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
+        """Notes what a pass found and returns the rows that are left."""
+        found = written(found.filter("outcome <> 'orphan'"), "pass")
+        matches.append(found.filter("outcome = 'match'"))
+        if key is not None:
+            ambiguous.append(found.filter("outcome = 'ambiguous'"))
+            reserved.append(candidates(c, key, ambiguous[-1]))
+        return _without(b, found, "b_idx"), _without(c, matches[-1], "c_idx")
+
+    anchor = F.col("key anchor")
+    anchors = keyed(all_b, all_c, anchor, "test-attribute", 1.0, options)
+    _, c = claim(all_b, all_c, anchors, anchor)
+    b = _without(all_b, matches[0], "b_idx")
+    added = removed = None
     if options.alignment:
-        walked = align(b, c, options).persist()
+        walked = written(align(b, c, options), "walked")
         matches.append(walked.filter("outcome = 'match'"))
         added, removed = walked.filter("outcome = 'added'").select("pair_id", F.col("c_idx").alias("idx")), walked.filter("outcome = 'removed'").select("pair_id", F.col("b_idx").alias("idx"))
         lost = walked.filter("outcome = 'orphan'")
         b, c = (d.join(lost.select("pair_id", F.col(k).alias("idx")), ["pair_id", "idx"], "left_semi") for d, k in ((b, "b_idx"), (c, "c_idx")))
     if options.orphan_recovery or not options.alignment:
         if options.alignment:
-            found = suffix_pass(b, c, options)
-            matches.append(found)
-            b, c = _without(b, found, "b_idx"), _without(c, found, "c_idx")
+            found = keyed(b, c, F.col("key suffix"), "suffix-realign", options.suffix, options).filter("outcome = 'match'")
+            b, c = claim(b, c, found)
         for name, confidence in sorted(options.strategies.items(), key=lambda x: -x[1]):
-            done = _strategy(name, b, c, confidence, options)
-            if done is None:
-                continue
-            found, key = done
-            matches.append(found.filter("outcome = 'match'"))
-            if key is not None:
-                ambiguous.append(found.filter("outcome = 'ambiguous'"))
-                reserved.append(candidates(c, key, ambiguous[-1]))
-            b, c = _without(b, found.filter("outcome <> 'orphan'"), "b_idx"), _without(c, matches[-1], "c_idx")
+            if name == "position" and len(places) == 2:
+                b, c = claim(b, c, near(b, c, options))
+            elif name in keys:
+                key = F.col(f"key {name}")
+                b, c = claim(b, c, keyed(b, c, key, name, confidence, options), key)
         rest_c, rest_b = _without(c, reduce(DataFrame.unionByName, reserved), "c_idx").select("pair_id", "idx"), b.select("pair_id", "idx")
         added = rest_c if added is None else added.unionByName(rest_c)
         removed = rest_b if removed is None else removed.unionByName(rest_b)
     columns = ["pair_id", "b_idx", "c_idx", "strategy", "confidence"]
     joined = reduce(DataFrame.unionByName, [m.select(*columns) for m in matches])
     unclear = reduce(DataFrame.unionByName, [a.select("pair_id", "key", "b_idx", "n_candidates", "strategy", "confidence") for a in ambiguous])
-    return {"matches": joined, "ambiguous": unclear, "reserved": reduce(DataFrame.unionByName, reserved), "added": added.distinct(), "removed": removed.distinct()} | ({"walked": walked} if walked is not None else {})
+    return {"matches": joined, "ambiguous": unclear, "reserved": reduce(DataFrame.unionByName, reserved), "added": added.distinct(), "removed": removed.distinct()}
 
 
 def match_rate(matched: Column, removed: Column, added: Column) -> Column:

@@ -12,6 +12,7 @@ from ..compare import Comparison, grouped_report
 from ..functions import css
 from ..functions.text import escape_html
 from ..operators.diffing import KEYS, rank
+from ..shared import written
 from .tables import fixed, line, lines, plain, text, workbooks, write_files
 
 _IDENTITY = {"HPID": "hpid", "Absolute HPID": "absoluteHpid", "Tag Name": "tagName", "Element ID": "elementId", "Class Name": "className", "Text Content": "textContent", "Tier": "tier", "Depth": "depth", "CSS Selector": "cssSelector", "XPath": "xpath"}
@@ -31,14 +32,14 @@ def _tables(result: Comparison) -> dict[str, DataFrame]:
     matched = elements.select(*KEYS, "tagName", "elementId", "className", "strategy", "confidence").join(result.per_match().select(*KEYS, "total", "worst"), list(KEYS), "left")
     lone = lambda rows, status: rows.select("pair_id", "idx", F.lit(status).alias("status"), *[_held(rows, c).cast("string").alias(c) for c in _IDENTITY.values()])
     unmatched = lone(result.removed, "Only in Baseline (removed)").unionByName(lone(result.added, "Only in Compare (added)"))
-    return {"differences": differences, "matched": matched, "unmatched": unmatched}
+    return {k: written(v, k) for k, v in (("differences", differences), ("matched", matched), ("unmatched", unmatched))}
 
 
 def _facts(result: Comparison, meta: DataFrame) -> DataFrame:
     """One row a pair: what the summaries show."""
     _, grouped = grouped_report(result)
-    counts = result.matching().join(result.summary(), "pair_id", "left").join(grouped.select("pair_id", "root_causes", "property_diffs"), "pair_id", "left")
-    return meta.join(counts, "pair_id", "left").na.fill(0)
+    counts = result.matching().drop("ambiguous").join(result.summary(), "pair_id", "left").join(grouped.select("pair_id", "root_causes", "property_diffs"), "pair_id", "left")
+    return written(meta.join(counts, "pair_id", "left").na.fill(0), "facts")
 
 
 def comparison_json(result: Comparison, meta: DataFrame, exported_at: Column) -> DataFrame:
