@@ -208,3 +208,7 @@ ORACLE_SQL: dict[str, str] = {
       SELECT a.*, x[CAST(greatest(1, ceil(len(x) * 0.5)) AS INT)] AS p50, x[CAST(greatest(1, ceil(len(x) * 0.95)) AS INT)] AS p95, x[CAST(greatest(1, ceil(len(x) * 0.99)) AS INT)] AS p99 FROM a JOIN xs USING (event_type)""",
     "rolling_100_samples": "SELECT event_id, CAST(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS BIGINT) AS cents FROM events",
 }
+
+ORACLE_SQL["sql_functions"] = f"""WITH n AS ({ORACLE_SQL["normalize_named_color"]})
+  SELECT p_partkey, color, CASE WHEN p_partkey % 3 * 1000.0 / p_size > 50 THEN 'critical' ELSE 'high' END AS severity, CASE WHEN p_partkey % 3 = 1 THEN 'COMPATIBLE' ELSE 'CAUTION' END AS compatibility,
+         CAST(depth AS INT) AS depth, CASE depth WHEN 1 THEN '1' ELSE '1.' || p_size END AS ancestor FROM part JOIN n USING (p_partkey), (VALUES (1), (2)) d(depth)"""

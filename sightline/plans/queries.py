@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import css, text, url
+from ..functions import css, sql, text, url
 from ..functions import hpid as H
 from ..operators import diffing, hierarchy, matching, report, selectors, storage, visual
 from ..sources import html
@@ -176,6 +176,20 @@ def expand_margin_shorthand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("p_partkey", *[F.col("m").getItem(f"margin-{s}").alias(s) for s in ("top", "right", "bottom", "left")], F.map_contains_key("m", F.lit("margin")).alias("kept"))
 
 
+@query
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session's SQL functions over parts: colours, severities, addresses, and the paths above one of three steps."""
+    sql.register(spark)
+    return spark.sql(
+        """
+        SELECT p_partkey, css_normalize(initcap(substring_index(p_name, ' ', 1))) AS color, css_severity('width', p_size || '.00px', (p_size + p_partkey % 3 * 10) || '.00px') AS severity,
+               url_compat('http://a/x?p=1', 'http://b/x?p=' || p_partkey % 3) AS compatibility, depth, ancestor
+        FROM {part}, LATERAL hpid_ancestors('1.' || p_size || '.' || p_partkey)
+        """,
+        part=table(spark, sf_dir, "part"),
+    )
+
+
 # differences
 
 
