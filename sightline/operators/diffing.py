@@ -5,8 +5,10 @@ matches: pair_id, ord, hpid and any keys, with base and other: structs of styles
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,27 +98,40 @@ def rank(level: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, C.SEVERITIES)), level).cast("int")
 
 
+#: Expressions over columns of fixed names, built once for a JVM: building them takes seconds, for they are sent to it node by node.
+_BUILT: dict[tuple, Column | list[Column]] = {}
+
+
+def _once(name: tuple, build: Callable[[], Column | list[Column]]) -> Column | list[Column]:
+    key = (SparkContext._gateway, *name)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
 def diff(matches: DataFrame, mode: C.Mode = C.STATIC) -> DataFrame:
     """KEYS, n, property, base_value, compare_value, type, category, severity: one row per difference, in the order n.
 
     Entries that differ as written become rows within their task; only those are normalised and held against the tolerances.
     """
     keys = [k for k in matches.columns if k not in ("base", "other")]
-    raw = matches.select(*keys, _raw_changes(F.col("base"), F.col("other"), mode).alias("raw")).filter(F.size("raw") > 0)
+    changes = _once(("changes", mode), lambda: _raw_changes(F.col("base"), F.col("other"), mode))
+    raw = matches.select(*keys, changes.alias("raw")).filter(F.size("raw") > 0)
     own = F.get(F.filter("raw", lambda d: (d["kind"] == "style") & (d["property"] == "color")), F.lit(0))
     rows = raw.select(*keys, own.alias("own"), F.posexplode("raw").alias("n", "d"))
     name, style, border = F.col("d.property"), F.col("d.kind") == "style", css.one_of(F.col("d.property"), C.BORDER_COLORS)
-    value = lambda side: F.when(style, css.normalize_value(name, F.col(f"d.{side}"))).otherwise(F.col(f"d.{side}")).alias(side)
-    color = lambda side: F.when(border, css.normalize_color(F.col(f"own.{side}"))).alias(f"own_{side}")
+    value = lambda side: _once(("value", side), lambda: F.when(style, css.normalize_value(name, F.col(f"d.{side}"))).otherwise(F.col(f"d.{side}")).alias(side))
+    color = lambda side: _once(("color", side), lambda: F.when(border, css.normalize_color(F.col(f"own.{side}"))).alias(f"own_{side}"))
     rows = bound(rows, [*keys, "n"], F.col("d.kind").alias("kind"), name.alias("property"), F.col("own").isNotNull().alias("colored"), value("base_value"), value("compare_value"), color("base_value"), color("compare_value"))
     name, style, b, c = F.col("property"), F.col("kind") == "style", F.col("base_value"), F.col("compare_value")
     follows = css.one_of(name, C.BORDER_COLORS) & F.col("colored") & b.eqNullSafe(F.col("own_base_value")) & c.eqNullSafe(F.col("own_compare_value"))  # a border's colour that only changed as the element's own did
-    rows = bound(rows.filter(~(style & (b.eqNullSafe(c) | follows))), [*keys, "n", "kind", "property", "base_value", "compare_value"], *parsed(b, c))
-    kind = F.when(style, category(name)).when(F.col("kind") == "text", "content").otherwise("attribute")
+    rows = bound(rows.filter(~(style & (b.eqNullSafe(c) | follows))), [*keys, "n", "kind", "property", "base_value", "compare_value"], *_once(("parsed",), lambda: parsed(b, c)))
+    kind = _once(("kind",), lambda: F.when(style, category(name)).when(F.col("kind") == "text", "content").otherwise("attribute"))
     shown = F.when(F.col("kind") == "attribute", F.concat(F.lit("attr:"), name)).otherwise(name)
-    rows = rows.filter(~(style & within_tolerance(name, b, c, mode.tolerances)))
-    long = rows.select(*keys, "n", shown.alias("property"), "base_value", "compare_value", F.when(style, _change(name, b, c)).otherwise("modified").alias("type"), kind.alias("category"), "b_rgba", "c_rgba", "b_px", "c_px")
-    return long.withColumn("severity", severity(F.col("property"), F.col("category"))).drop("b_rgba", "c_rgba", "b_px", "c_px")
+    rows = rows.filter(_once(("far", mode.tolerances), lambda: ~(style & within_tolerance(name, b, c, mode.tolerances))))
+    changed = _once(("type",), lambda: F.when(style, _change(name, b, c)).otherwise("modified").alias("type"))
+    long = rows.select(*keys, "n", shown.alias("property"), "base_value", "compare_value", changed, kind.alias("category"), "b_rgba", "c_rgba", "b_px", "c_px")
+    return long.withColumn("severity", _once(("severity",), lambda: severity(F.col("property"), F.col("category")))).drop("b_rgba", "c_rgba", "b_px", "c_px")
 
 
 def by_match(diffs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -305,7 +305,8 @@ def descendant_diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tree_structural_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.tree_nodes(_per_match(spark, sf_dir), unmatched_added(spark, sf_dir), unmatched_removed(spark, sf_dir))
+    lone = matching.identity(base(spark, sf_dir), edited(spark, sf_dir)).filter(F.col("outcome").isin("added", "removed"))
+    return hierarchy.tree_nodes(_per_match(spark, sf_dir), lone)
 
 
 def _deeper(hpid: Column) -> Column:
