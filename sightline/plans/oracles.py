@@ -34,13 +34,13 @@ li AS (
 _PARENT = "CASE WHEN length(hpid) - length(replace(hpid, '.', '')) = 2 THEN split_part(hpid, '.', 1) || '.' || split_part(hpid, '.', 2) ELSE '1' END"
 
 
-def _diffs(color: int = 5, size: int = 3, text: bool = True) -> str:
+def _diffs(color: int = 5, size: int = 3, text: bool = True, same_tag: bool = True) -> str:
     px = lambda c: f"CASE WHEN {c} = 0 THEN '0px' ELSE {c} || '.00px' END"
     red = lambda c: f"'rgba(' || {c} || ', 0, 0, 1)'"
     texts = "UNION ALL SELECT pair_id, ord, hpid, tag, classes, 'textContent', bt, ct, 'modified', 'content', 'low' FROM m WHERE coalesce(bt, '') <> coalesce(ct, '')" if text else ""
     return f"""{_SNAPSHOTS}, m AS (
   SELECT b.pair_id, b.idx AS ord, b.hpid, b.tag, b.classes, b.width AS bw, c.width AS cw, b.red AS br, c.red AS cr, b.display AS bd, c.display AS cd, trim(b.text) AS bt, trim(c.text) AS ct, c.role
-  FROM base b JOIN cmp c ON b.pair_id = c.pair_id AND b.hpid = c.hpid AND b.tag = c.tag
+  FROM base b JOIN cmp c ON b.pair_id = c.pair_id AND b.hpid = c.hpid {'AND b.tag = c.tag' if same_tag else ''}
 ), diffs AS (
   SELECT pair_id, ord, hpid, tag, classes, 'width' AS property, {px("bw")} AS base_value, {px("cw")} AS compare_value, 'modified' AS type, 'layout' AS category,
          CASE WHEN bw <> 0 AND cw <> 0 AND abs((cw - bw) / bw) * 100 > 50 THEN 'critical' ELSE 'high' END AS severity FROM m WHERE abs(cw - bw) > {size}
@@ -212,3 +212,17 @@ ORACLE_SQL: dict[str, str] = {
 ORACLE_SQL["sql_functions"] = f"""WITH n AS ({ORACLE_SQL["normalize_named_color"]})
   SELECT p_partkey, color, CASE WHEN p_partkey % 3 * 1000.0 / p_size > 50 THEN 'critical' ELSE 'high' END AS severity, CASE WHEN p_partkey % 3 = 1 THEN 'COMPATIBLE' ELSE 'CAUTION' END AS compatibility,
          CAST(depth AS INT) AS depth, CASE depth WHEN 1 THEN '1' ELSE '1.' || p_size END AS ancestor FROM part JOIN n USING (p_partkey), (VALUES (1), (2)) d(depth)"""
+
+# Anchors and paths pair all elements of one path, whatever their tags; ids of what is left never meet.
+ORACLE_SQL["compare_end_to_end"] = f"""WITH {_residual(5, 3, True, False)}, pairs AS (
+    SELECT pair_id, count(*) AS matched FROM m GROUP BY pair_id
+  ), ub AS (SELECT b.pair_id, count(*) AS n FROM base b ANTI JOIN cmp c ON c.pair_id = b.pair_id AND c.hpid = b.hpid GROUP BY b.pair_id
+  ), uc AS (SELECT c.pair_id, count(*) AS n FROM cmp c ANTI JOIN base b ON c.pair_id = b.pair_id AND c.hpid = b.hpid GROUP BY c.pair_id
+  ), worst AS (SELECT pair_id, count(*) AS modified, sum(total)::BIGINT AS differences, {", ".join(f"count(*) FILTER (worst = '{s}') AS {s}" for s in ("critical", "high", "medium", "low"))} FROM residual_match GROUP BY pair_id)
+  SELECT pair_id, matched AS total, matched - coalesce(modified, 0) AS unchanged, coalesce(modified, 0) AS modified, coalesce(differences, 0) AS differences, {", ".join(f"coalesce({s}, 0) AS {s}" for s in ("critical", "high", "medium", "low"))},
+         matched, coalesce(ub.n, 0) AS unmatched_baseline, coalesce(uc.n, 0) AS unmatched_compare, CAST(floor(100 * matched / (matched + coalesce(ub.n, 0) + coalesce(uc.n, 0)) + 0.5) AS INT) AS match_rate
+  FROM pairs LEFT JOIN ub USING (pair_id) LEFT JOIN uc USING (pair_id) LEFT JOIN worst USING (pair_id)"""
+ORACLE_SQL["report_round_trip"] = f"""WITH {_SNAPSHOTS} SELECT 'r' || pair_id AS report_id, row_number() OVER (PARTITION BY pair_id ORDER BY idx) - 1 AS idx, hpid, tag AS "tagName", el_id AS "elementId", classes AS "className", text AS "textContent",
+  CASE WHEN width IS NOT NULL THEN width || 'px' END AS width, 'rgb(' || red || ', 0, 0)' AS color, role FROM cmp"""
+ORACLE_SQL["store_round_trip"] = f"""WITH {_SNAPSHOTS}, kept AS (SELECT pair_id FROM (SELECT DISTINCT pair_id FROM cmp) ORDER BY pair_id DESC LIMIT 50)
+  SELECT 'r' || pair_id AS report_id, count(*) AS elements, sum(idx)::BIGINT AS places, any_value(pair_id)::BIGINT AS pair_id FROM cmp WHERE pair_id IN (SELECT pair_id FROM kept) GROUP BY pair_id"""

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import compare
 from .. import config as C
 from ..functions import css, sql, text, url
 from ..functions import hpid as H
 from ..operators import diffing, hierarchy, matching, report, selectors, storage, visual
+from ..shared import shared_dir
+from ..sinks import reports as report_files
 from ..sources import html
+from ..sources.reports import read_reports
 from ..streaming import gates
 from .snapshots import base, edited, lines, matched, table
 
@@ -130,6 +135,13 @@ def match_all_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match(base(spark, sf_dir), edited(spark, sf_dir))["matches"]
 
 
+@query
+def compare_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each comparison through all passes (keys only, so that what has no partner is added or removed), with what it finds and how much it matched."""
+    done = compare.compare(base(spark, sf_dir), edited(spark, sf_dir), options=C.MatchOptions(alignment=False))
+    return done.summary().drop("ambiguous").join(done.matching().drop("ambiguous"), "pair_id")
+
+
 # normalisation
 
 
@@ -496,6 +508,37 @@ def tier_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 # storage
 
 
+def _reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each comparison's edited side as a report, and the elements; later comparisons are newer."""
+    rows = edited(spark, sf_dir).withColumn("report_id", F.concat(F.lit("r"), F.col("pair_id").cast("string")))
+    elements = rows.select("report_id", "idx", "hpid", "tagName", "elementId", "className", "textContent", "styles", "attributes")
+    when = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("pair_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    reports = rows.groupBy("report_id", "pair_id").agg(F.count("*").alias("totalElements"))
+    return reports.select(F.col("report_id").alias("id"), F.lit("3.1").alias("version"), F.concat(F.lit("http://a/"), "report_id").alias("url"), F.lit("T").alias("title"), when.alias("timestamp"), "totalElements", F.lit(5.0).alias("duration"), "pair_id"), elements
+
+
+@query
+def report_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports written as JSON files, one each, and imported again."""
+    reports, elements = _reports(spark, sf_dir)
+    path = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    report_files.export_reports(reports.drop("pair_id"), elements, "json", path)
+    style = lambda n: F.element_at("styles", F.lit(n)).alias(n)
+    return read_reports(spark, path, fmt="json").elements.select("report_id", "idx", "hpid", "tagName", "elementId", "className", "textContent", style("width"), style("color"), F.element_at("attributes", F.lit("role")).alias("role"))
+
+
+@query
+def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports saved to a store, half of them twice; the newest 50 and their elements as they are read back."""
+    reports, elements = _reports(spark, sf_dir)
+    store = storage.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    half = lambda c: F.crc32(F.col(c).cast("binary")) % 2 == 0
+    store.save_reports(reports.filter(half("id")), elements.filter(half("report_id")))
+    store.save_reports(reports, elements)
+    held = store.table("elements").groupBy("report_id").agg(F.count("*").alias("elements"), F.sum("idx").alias("places"))
+    return held.join(store.table("reports").select(F.col("id").alias("report_id"), "pair_id"), "report_id")
+
+
 @query
 def report_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 newest orders of each customer, as reports of an owner."""
