@@ -2,13 +2,15 @@
 
 DataFrame functions only. A message's lines carry quote marks (``>``, nested as ``> >``); lines of one level in a row are a
 passage. Quoted passages and their lines, lower-cased and with white space evened out, are hashed and joined to the
-earliest message of the conversation whose own text holds the same passage or line. A message replies to the message that its
+earliest message of the conversation whose own text holds the same passage or line. Where that finds nothing, as with a part of a
+line, windows of WINDOW words of the quote are hashed and joined to those of earlier texts: the message that holds COVERED of a
+quote's windows is its origin. A message replies to the message that its
 level-1 quotes lead to (the latest such; deeper quotes count where level 1 leads nowhere); following replies to their
 root gives threads. Messages are ordered by thread, and within it by turn: a reply always comes after what it replies to.
 
 Defined results
 * null and empty texts: an empty message; a message of quotes only has an empty text;
-* quotes that lead to no earlier message are removed and link nothing; lines that say who wrote a quote go with it;
+* quotes that lead to no earlier message link nothing; a message without any link keeps its quotes' text in `unlinked` (null elsewhere); lines that say who wrote a quote go with it;
 * null conversation ids or turns: the message is kept, without links, as its own thread;
 * several rows of one conversation and turn are one message for links and are all kept; equal rows too;
 * an empty table gives an empty result; other columns are not looked at.
@@ -27,6 +29,10 @@ MARKS = r"^(?:[\x20\t]{0,3}>)+"
 SAID = r"(?:^|\n)[^\n]*\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s?:\s*$"
 
 
+#: Words of a window, and the share of a quote's windows that its origin holds.
+WINDOW, COVERED = 4, 0.8
+
+
 def evened(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
 
@@ -71,11 +77,27 @@ def threads(replies: DataFrame) -> DataFrame:
             return now.drop("moved")
 
 
+def _windows(body: Column) -> Column:
+    """Hashes of all windows of WINDOW words; none of shorter texts."""
+    hashed = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, WINDOW), " "))))
+    return let(F.split(evened(body), " "), lambda w: F.when(F.size(w) >= WINDOW, hashed(w)).otherwise(F.array().cast("array<bigint>")))
+
+
+def by_windows(found: DataFrame, left: DataFrame) -> DataFrame:
+    """conv, turn and reply_to of those rows of left (conv, turn, quotes) whose quotes are parts of earlier texts of found (conv, turn, text)."""
+    each = left.select("conv", "turn", F.posexplode("quotes").alias("q", "x")).select("conv", "turn", "q", F.col("x.level").alias("level"), _windows(F.col("x.body")).alias("w"))
+    asked = each.select("conv", "turn", "q", "level", F.size("w").alias("n"), F.explode("w").alias("key"))
+    texts = found.join(left.select("conv").distinct(), "conv", "left_semi")
+    origins = texts.select("conv", "turn", F.explode(_windows(F.col("text"))).alias("key")).groupBy("conv", "key").agg(F.min("turn").alias("origin"))
+    met = asked.join(origins, ["conv", "key"]).filter("origin < turn").groupBy("conv", "turn", "q", "level", "n", "origin").agg(F.count("*").alias("hits"))
+    return met.filter(F.col("hits") >= COVERED * F.col("n")).groupBy("conv", "turn").agg(F.coalesce(F.max(F.when(F.col("level") == 1, F.col("origin"))), F.max("origin")).alias("reply_to"))
+
+
 def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per message: its text without quotes, n_quotes, quote_depth, reply_to, root_turn, reply_depth and rendered (role and text);
+    """One row per message: its text without quotes, n_quotes, quote_depth, reply_to, root_turn, reply_depth, rendered (role and text) and unlinked;
     rows are sorted by conversation, thread and turn over the whole result.
     """
-    found = parsed(messages, conv_col, turn_col, role_col, text_col)
+    found = stash(parsed(messages, conv_col, turn_col, role_col, text_col), "parsed")
     quoting = found.filter(F.size("quotes") > 0)
     levelled = F.flatten(F.transform("quotes", lambda q: F.transform(_keys(F.array(q["body"])), lambda k: F.struct(q["level"].alias("level"), k["key"].alias("key"), k["whole"].alias("whole")))))
     asked = quoting.select("conv", "turn", F.explode(levelled).alias("q")).select("conv", "turn", "q.*")
@@ -85,10 +107,13 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
     met = asked.join(origins, ["conv", "key"]).filter("origin < turn")
     near, whole = F.col("level") == 1, F.col("whole")
     best = lambda cond: F.max(F.when(cond, F.col("origin")))
-    replies = stash(met.groupBy("conv", "turn").agg(F.coalesce(best(near & whole), best(near), best(whole), F.max("origin")).alias("reply_to")), "replies")
-    out = found.select("conv", "turn", "role", "text", F.size("quotes").alias("n_quotes"), F.coalesce(F.array_max(F.transform("quotes", lambda q: q["level"])), F.lit(0)).alias("quote_depth"))
+    linked = stash(met.groupBy("conv", "turn").agg(F.coalesce(best(near & whole), best(near), best(whole), F.max("origin")).alias("reply_to")), "linked")
+    left = quoting.select("conv", "turn", "quotes").join(linked, ["conv", "turn"], "left_anti")
+    replies = stash(linked.unionByName(by_windows(found, left)), "replies")
+    bodies = F.when(F.size("quotes") > 0, F.array_join(F.transform("quotes", lambda q: q["body"]), "\n")).alias("bodies")
+    out = found.select("conv", "turn", "role", "text", bodies, F.size("quotes").alias("n_quotes"), F.coalesce(F.array_max(F.transform("quotes", lambda q: q["level"])), F.lit(0)).alias("quote_depth"))
     known = replies.join(threads(replies), ["conv", "turn"])
-    out = out.join(known, ["conv", "turn"], "left").select("conv", "turn", "role", "text", "n_quotes", "quote_depth", "reply_to", F.coalesce("root", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).alias("reply_depth"), F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.col("text")).alias("rendered"))
+    out = out.join(known, ["conv", "turn"], "left").select("conv", "turn", "role", "text", "n_quotes", "quote_depth", "reply_to", F.coalesce("root", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).alias("reply_depth"), F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.col("text")).alias("rendered"), F.when(F.col("reply_to").isNull(), F.col("bodies")).alias("unlinked"))
     ordered = out.repartitionByRange("conv", "root_turn", "turn", "text").sortWithinPartitions("conv", "root_turn", "turn", "text")
     return ordered.withColumnsRenamed({"conv": conv_col, "turn": turn_col, "role": role_col})
 
