@@ -195,4 +195,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = [k.name for k in KINDS if k.base]
     of_kind = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in base]
-    return found.select("doc_id", *counts, F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores")  # of the spans, in their order
+    return found.select("doc_id", *counts, F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), scores)
