@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import hpid as H
 from ..functions import text as T
+from ..functions import url
 
 ELEMENTS = "idx int, hpid string, parent string, dom_path string, depth int, tagName string, elementId string, className string, role string, attributes map<string,string>, textContent string"
 
@@ -189,6 +190,24 @@ def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
     return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInPandas(run, f"page_id {dict(pages.dtypes)[id_col]}, {fields}")
 
 
+def with_frames(pages: DataFrame, frames: DataFrame) -> DataFrame:
+    """Elements of pages (page_id, url, html) with those of their frames (page_id, frame_id, frame_url, html) behind them, frame by
+    frame: idx goes on, frameId and frameUrl tell where they come from (null for the page's own). Only frames of the page's own
+    origin count; frame 0 is the page itself.
+    """
+    own = elements(pages.select("page_id", "html")).select("*", F.lit(None).cast(frames.schema["frame_id"].dataType).alias("frameId"), F.lit(None).cast("string").alias("frameUrl"))
+    near = frames.join(pages.select("page_id", F.col("url").alias("page_url")), "page_id").filter((F.col("frame_id") != 0) & url.same_origin(F.col("page_url"), F.col("frame_url")))
+    key = F.struct("page_id", "frame_id", "frame_url").alias("key")
+    inner = elements(near.select(key, "html"), "key").select(F.col("page_id").alias("key"), *[c for c in own.columns if c not in ("page_id", "frameId", "frameUrl")])
+    inner = inner.select("key.page_id", *[c for c in inner.columns if c != "key"], F.col("key.frame_id").alias("frameId"), F.col("key.frame_url").alias("frameUrl"))
+    every = own.unionByName(inner)
+    sizes = every.groupBy("page_id", "frameId").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("page_id").orderBy(F.col("frameId").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select("page_id", F.col("frameId").alias("f"), F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("begin"))
+    met = every.withColumnRenamed("page_id", "p").join(begins, (F.col("p") == F.col("page_id")) & F.col("frameId").eqNullSafe(F.col("f")))
+    return met.withColumn("idx", F.col("idx") + F.col("begin")).select(*own.columns)
+
+
 def limited(rows: DataFrame, most: int = C.MAX_ELEMENTS) -> tuple[DataFrame, DataFrame]:
     """What a report of each page takes up, its first `most` elements in document order, and the overflow: page_id, elements and
     left_out of the pages that have more. Comparisons take reports of any size.
