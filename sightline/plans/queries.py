@@ -605,8 +605,8 @@ def pivot_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def keyframe_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extents of the elements beneath each order's element."""
-    rows = base(spark, sf_dir).filter("y is not null").withColumn("root", H.parent(F.col("hpid")))
-    return rows.groupBy("pair_id", "root").agg(F.min("y").alias("top"), F.max("y").alias("bottom"), F.count("*").alias("n"))
+    rows = base(spark, sf_dir).filter("y is not null").select("pair_id", "idx", F.substring("hpid", 3, 1000).alias("hpid"), F.col("y").alias("document_y"), F.lit(0.0).alias("height"))
+    return visual.clusters(rows).select("pair_id", F.concat(F.lit("1."), "root").alias("root"), "top", "bottom", "n")
 
 
 # state over events
