@@ -140,14 +140,22 @@ def normalize_font(value: Column) -> Column:
     return F.array_join(F.transform(F.filter(F.split(value, ","), lambda f: F.trim(f) != ""), family), ", ")
 
 
+_WHOLE = r"(?:0|[1-9]\d{0,8})"
+
+
 def normalize_value(name: Column, value: Column) -> Column:
-    """A value by the kind of its property; empty and null values stay."""
+    """A value by the kind of its property; empty and null values stay.
+
+    Whole pixels and rgb() of whole channels, as browsers write computed values, take a short way to the same text; all others go
+    by the rules above, in a lambda, which keeps the code around it small enough to be compiled.
+    """
+    color, size = one_of(name, C.COLOR_PROPERTIES), one_of(name, C.SIZE_PROPERTIES)
+    kind = lambda x: F.when(one_of(x["name"], C.COLOR_PROPERTIES), normalize_color(x["value"])).when(x["name"] == "font-family", normalize_font(x["value"])).otherwise(normalize_unit(x["value"]))
     return (
-        F.when(value.isNull() | (value == ""), value)
-        .when(one_of(name, C.COLOR_PROPERTIES), normalize_color(value))
-        .when(one_of(name, C.SIZE_PROPERTIES), normalize_unit(value))
-        .when(name == "font-family", normalize_font(value))
-        .otherwise(value)
+        F.when(value.isNull() | (value == "") | ~(color | size | (name == "font-family")), value)
+        .when(size & (value != "0px") & value.rlike(rf"^{_WHOLE}px\z"), F.concat(F.substring(value, F.lit(1), F.length(value) - 2), F.lit(".00px")))
+        .when(color & value.rlike(rf"^rgb\({_WHOLE}, {_WHOLE}, {_WHOLE}\)\z"), F.concat(F.lit("rgba("), F.substring(value, F.lit(5), F.length(value) - 5), F.lit(", 1)")))
+        .otherwise(let(F.struct(name.alias("name"), value.alias("value")), kind))
     )
 
 
@@ -162,40 +170,40 @@ def expand_shorthands(styles: Column) -> Column:
     """styles without shorthands; longhands that were absent or empty come from them, earlier shorthands first."""
     entry = lambda name, value: F.struct(F.lit(name).alias("key"), value.alias("value"))
     of = lambda name: F.nullif(F.element_at(styles, F.lit(name)), F.lit(""))
-    sides = {short: side_values(of(short)) for short in C.FOUR_SIDES}
-    found = [entry(long, F.get(sides[short], F.lit(i))) for short, longs in C.FOUR_SIDES.items() for i, long in enumerate(longs)]
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    held = lambda name, made: F.when(of(name).isNull(), none).otherwise(let(made(of(name))[0], made(of(name))[1]))  # noqa: E731 - what is absent costs nothing
+    found = [held(short, lambda v, longs=longs: (side_values(v), lambda s: F.array(*[entry(long, F.get(s, F.lit(i))) for i, long in enumerate(longs)]))) for short, longs in C.FOUR_SIDES.items()]
 
-    words = lambda name: F.split(F.coalesce(of(name), F.lit("")), r"\s+")
-    last = lambda name, test: F.element_at(F.filter(words(name), test), -1)
-    first = lambda name, test: F.get(F.filter(words(name), test), F.lit(0))
+    words = lambda v: F.split(v, r"\s+")
+    first = lambda w, test: F.get(F.filter(w, test), F.lit(0))
     is_width = lambda w: w.rlike(r"^\d") | w.isin("thin", "medium", "thick")
     is_style = lambda w: one_of(w, C.BORDER_STYLES)
     tries = (("width", is_width), ("style", is_style), ("color", lambda w: ~is_width(w) & ~is_style(w) & (w != "")))
     for kind, test in tries:  # a border's part counts only where the top side has none yet
-        top = F.coalesce(of(f"border-top-{kind}"), F.get(sides[f"border-{kind}"], F.lit(0)))
-        part = F.when(top.isNull(), F.try_element_at(F.filter(words("border"), test), F.lit(-1)))
-        found += [entry(f"border-{side}-{kind}", part) for side in ("top", "right", "bottom", "left")]
-    background = F.coalesce(of("background"), F.lit(""))
-    found.append(entry("background-color", F.nullif(F.regexp_extract(background, r"(?i)(#[0-9a-f]{3,8}|rgba?\([^)]+\)|hsla?\([^)]+\)|[a-z]+)", 1), F.lit(""))))
-    found.append(entry("background-image", F.nullif(F.regexp_extract(background, r"(url\([^)]+\))", 1), F.lit(""))))
+        top = F.coalesce(of(f"border-top-{kind}"), F.get(side_values(of(f"border-{kind}")), F.lit(0)))
+        part = lambda v, top=top, test=test: F.when(top.isNull(), F.try_element_at(F.filter(words(v), test), F.lit(-1)))
+        found.append(held("border", lambda v, kind=kind, part=part: (part(v), lambda p: F.array(*[entry(f"border-{side}-{kind}", p) for side in ("top", "right", "bottom", "left")]))))
+    color, image = (lambda v: F.nullif(F.regexp_extract(v, r"(?i)(#[0-9a-f]{3,8}|rgba?\([^)]+\)|hsla?\([^)]+\)|[a-z]+)", 1), F.lit(""))), (lambda v: F.nullif(F.regexp_extract(v, r"(url\([^)]+\))", 1), F.lit("")))
+    found.append(held("background", lambda v: (v, lambda b: F.array(entry("background-color", color(b)), entry("background-image", image(b))))))
     slanted, heavy, sized = (lambda w: w.isin("italic", "oblique")), (lambda w: w.isin("bold", "bolder", "lighter") | w.rlike(r"^\d{3}$")), (lambda w: w.rlike(r"^\d") & ~w.rlike(r"^\d{3}$"))
-    found.append(entry("font-style", first("font", slanted)))
-    found.append(entry("font-weight", first("font", heavy)))
-    found.append(entry("font-size", F.nullif(F.regexp_extract(first("font", sized), r"^([^/]+)", 1), F.lit(""))))
-    found.append(entry("line-height", F.nullif(F.regexp_extract(first("font", sized), r"/(.+)", 1), F.lit(""))))
-    found.append(entry("font-family", first("font", lambda w: ~slanted(w) & ~heavy(w) & ~sized(w) & (w != ""))))
+
+    def of_font(w: Column) -> Column:
+        size = lambda pattern: F.nullif(F.regexp_extract(first(w, sized), pattern, 1), F.lit(""))
+        family = first(w, lambda x: ~slanted(x) & ~heavy(x) & ~sized(x) & (x != ""))
+        return F.array(entry("font-style", first(w, slanted)), entry("font-weight", first(w, heavy)), entry("font-size", size(r"^([^/]+)")), entry("line-height", size(r"/(.+)")), entry("font-family", family))
+
+    found.append(held("font", lambda v: (words(v), of_font)))
 
     kept = F.map_filter(styles, lambda k, v: ~one_of(k, C.SHORTHANDS))
 
     def filled(entries: Column, own: Column) -> Column:
         """own with the entries for keys that it has no value of; the first entry of a key counts."""
         open_ = lambda e: e["value"].isNotNull() & (F.coalesce(F.element_at(own, e["key"]), F.lit("")) == "")
-        first = lambda e, i, new: F.array_position(F.transform(new, lambda x: x["key"]), e["key"]) == i + 1
-        put = lambda new: F.map_concat(F.map_filter(own, lambda k, v: ~F.exists(new, lambda e: e["key"] == k)), F.map_from_entries(F.filter(new, lambda e, i: first(e, i, new))))
+        put = lambda new: F.map_concat(F.map_filter(own, lambda k, v: ~F.array_contains(new["key"], k)), F.map_from_entries(F.filter(new, lambda e, i: F.array_position(new["key"], e["key"]) == i + 1)))
         return let(F.filter(entries, open_), put)
 
-    has_short = F.exists(F.map_keys(styles), lambda k: one_of(k, C.SHORTHANDS))
-    return F.when(has_short, let(F.struct(F.array(*found).alias("f"), kept.alias("k")), lambda x: filled(x["f"], x["k"]))).otherwise(styles)
+    has_short = F.arrays_overlap(F.map_keys(styles), F.array(*map(F.lit, C.SHORTHANDS)))
+    return F.when(has_short, let(F.struct(F.concat(*found).alias("f"), kept.alias("k")), lambda x: filled(x["f"], x["k"]))).otherwise(styles)
 
 
 def normalize_styles(styles: Column) -> Column:
@@ -206,11 +214,11 @@ def parse_rgba(value: Column) -> Column:
     """(r, g, b, a) of the first rgb() or rgba() with whole channels, null without one; a is null where it isn't written."""
     form = r"rgba?\s*\(\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*(?:,\s*([0-9.]+))?\s*\)"
     part = lambda i: F.regexp_extract(value, form, i).try_cast("double")
-    return F.when(value.rlike(form), F.struct(part(1).alias("r"), part(2).alias("g"), part(3).alias("b"), part(4).alias("a")))
+    return F.when(F.contains(value, F.lit("rgb")) & value.rlike(form), F.struct(part(1).alias("r"), part(2).alias("g"), part(3).alias("b"), part(4).alias("a")))
 
 
 def parse_px(value: Column) -> Column:
-    return F.regexp_extract(value, r"^([0-9.]+)px$", 1).try_cast("double")
+    return F.when(F.contains(value, F.lit("px")), F.regexp_extract(value, r"^([0-9.]+)px$", 1).try_cast("double"))
 
 
 def luminance(rgba: Column) -> Column:

@@ -69,19 +69,23 @@ def _raw_changes(base: Column, other: Column, mode: C.Mode) -> Column:
         return F.transform(changed, lambda k: entry(kind, k, F.element_at(b, k), F.element_at(c, k)))
 
     def of_styles(both: Column) -> Column:
-        names = F.array(*map(F.lit, mode.properties)) if mode.properties else F.array_union(F.map_keys(both["b"]), F.map_keys(both["c"]))
-        return of_maps("style", both, names)
+        names = F.array_union(F.map_keys(both["b"]), F.map_keys(both["c"]))
+        return of_maps("style", both, F.array_intersect(F.array(*map(F.lit, mode.properties)), names) if mode.properties else names)  # in the mode's order
 
     def of_attributes(both: Column) -> Column:
         names = F.array_union(F.map_keys(both["b"]), F.map_keys(both["c"]))
         return of_maps("attribute", both, F.filter(names, lambda k: css.one_of(k, mode.attributes)) if mode.attributes else names)
 
-    pair = lambda b, c: F.struct(b.alias("b"), c.alias("c"))
-    parts = [css.let(pair(css.expand_shorthands(held(base["styles"])), css.expand_shorthands(held(other["styles"]))), of_styles)]
+    pair = lambda x: F.struct(x["b"].alias("b"), x["c"].alias("c"))
+    none = F.array().cast("array<struct<kind:string,property:string,base_value:string,compare_value:string>>")
+    sides = lambda name: {"b": held(base[name]), "c": held(other[name])}
+    same = lambda x: F.map_entries(x["b"]) == F.map_entries(x["c"])  # noqa: E731 - most elements end here
+    styles, attributes = sides("styles"), sides("attributes")
+    parts = [F.when(same(styles), none).otherwise(css.let(pair({k: css.expand_shorthands(v) for k, v in styles.items()}), of_styles))]
     if mode.text:
         b, c = trimmed(base["textContent"]), trimmed(other["textContent"])
-        parts.append(F.when(b != c, F.array(entry("text", F.lit("textContent"), b, c))).otherwise(F.array().cast("array<struct<kind:string,property:string,base_value:string,compare_value:string>>")))
-    parts.append(css.let(pair(held(base["attributes"]), held(other["attributes"])), of_attributes))
+        parts.append(F.when(~base["textContent"].eqNullSafe(other["textContent"]) & (b != c), F.array(entry("text", F.lit("textContent"), b, c))).otherwise(none))
+    parts.append(F.when(same(attributes), none).otherwise(css.let(pair(attributes), of_attributes)))
     return F.concat(*parts)
 
 
@@ -89,7 +93,8 @@ def severity(name: Column, kind: Column) -> Column:
     """Severity of one difference by its property, then by the size of the change. Reads the columns of parsed()."""
     a, b, x, y = map(F.col, ("b_rgba", "c_rgba", "b_px", "c_px"))
     breaks = name.isin("width", "height") & (x != 0) & (y != 0) & (F.abs((y - x) / F.nullif(x, F.lit(0.0))) * 100 > 50)
-    loud = F.contains(name, F.lit("color")) & (F.abs(css.luminance(a) - css.luminance(b)) > 0.4)
+    apart = css.let(F.struct(a.alias("a"), b.alias("b")), lambda x: F.abs(css.luminance(x["a"]) - css.luminance(x["b"])))
+    loud = F.contains(name, F.lit("color")) & (apart > 0.4)
     listed = lambda level: css.one_of(name, C.SEVERITY_PROPERTIES[level])
     return F.when(listed("critical") | F.coalesce(breaks, F.lit(False)), "critical").when(listed("high") | F.coalesce(loud, F.lit(False)), "high").when(listed("medium") | (kind == "layout"), "medium").otherwise("low")
 
@@ -116,12 +121,13 @@ def diff(matches: DataFrame, mode: C.Mode = C.STATIC) -> DataFrame:
     """
     keys = [k for k in matches.columns if k not in ("base", "other")]
     changes = _once(("changes", mode), lambda: _raw_changes(F.col("base"), F.col("other"), mode))
-    raw = matches.select(*keys, changes.alias("raw")).filter(F.size("raw") > 0)
+    sides = bound(matches, keys, F.col("base"), F.col("other"))  # else what makes a caller's styles would be worked out at every place that reads them
+    raw = sides.select(*keys, changes.alias("raw")).filter(F.size("raw") > 0)
     own = F.get(F.filter("raw", lambda d: (d["kind"] == "style") & (d["property"] == "color")), F.lit(0))
     rows = raw.select(*keys, own.alias("own"), F.posexplode("raw").alias("n", "d"))
     name, style, border = F.col("d.property"), F.col("d.kind") == "style", css.one_of(F.col("d.property"), C.BORDER_COLORS)
     value = lambda side: _once(("value", side), lambda: F.when(style, css.normalize_value(name, F.col(f"d.{side}"))).otherwise(F.col(f"d.{side}")).alias(side))
-    color = lambda side: _once(("color", side), lambda: F.when(border, css.normalize_color(F.col(f"own.{side}"))).alias(f"own_{side}"))
+    color = lambda side: _once(("color", side), lambda: F.when(border, css.normalize_value(F.lit("color"), F.col(f"own.{side}"))).alias(f"own_{side}"))
     rows = bound(rows, [*keys, "n"], F.col("d.kind").alias("kind"), name.alias("property"), F.col("own").isNotNull().alias("colored"), value("base_value"), value("compare_value"), color("base_value"), color("compare_value"))
     name, style, b, c = F.col("property"), F.col("kind") == "style", F.col("base_value"), F.col("compare_value")
     follows = css.one_of(name, C.BORDER_COLORS) & F.col("colored") & b.eqNullSafe(F.col("own_base_value")) & c.eqNullSafe(F.col("own_compare_value"))  # a border's colour that only changed as the element's own did

@@ -179,12 +179,17 @@ def normalize_font(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", css.normalize_font(fonts).alias("font"))
 
 
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts dealt over all cores: a few megabytes are otherwise one or two tasks, however much is made of each row."""
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+
+
 @query
 def expand_margin_shorthand(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = lambda n: F.concat((F.col("p_partkey") % n).cast("string"), F.lit("px"))
     parts = F.array(px(3), px(5), px(7), px(11))
     styles = F.create_map(F.lit("margin"), F.array_join(F.slice(parts, 1, (F.col("p_partkey") % 4 + 1).cast("int")), " "), F.lit("margin-left"), F.when(F.col("p_size") % 2 == 0, "9px").otherwise(""))
-    out = table(spark, sf_dir, "part").select("p_partkey", css.expand_shorthands(styles).alias("m"))
+    out = _dealt(spark, sf_dir).select("p_partkey", css.expand_shorthands(styles).alias("m"))
     return out.select("p_partkey", *[F.col("m").getItem(f"margin-{s}").alias(s) for s in ("top", "right", "bottom", "left")], F.map_contains_key("m", F.lit("margin")).alias("kept"))
 
 
@@ -251,7 +256,7 @@ def luminance_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _matched_with(spark: SparkSession, sf_dir: str, base_styles: Column, other_styles: Column) -> DataFrame:
     """Parts as matched elements with the given styles."""
     side = lambda styles, name: F.struct(styles.alias("styles"), F.create_map().cast("map<string,string>").alias("attributes"), F.lit("").alias("textContent")).alias(name)
-    return table(spark, sf_dir, "part").select((F.col("p_partkey") % 10).alias("pair_id"), F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("hpid"), side(base_styles, "base"), side(other_styles, "other"))
+    return _dealt(spark, sf_dir).select((F.col("p_partkey") % 10).alias("pair_id"), F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("hpid"), side(base_styles, "base"), side(other_styles, "other"))
 
 
 @query
