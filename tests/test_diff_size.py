@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sightline.functions import css
 from sightline.operators import diffing
 from sightline.plans.queries import QUERIES
+from sightline.plans.snapshots import matched
 
 
 def test_whole_values_take_the_short_way_to_the_same_text(spark):
@@ -25,3 +26,8 @@ def test_a_callers_styles_are_bound_before_they_are_compared(spark):
 def test_parts_are_dealt_over_all_cores(spark, sf_dir):
     for name in ("drop_shorthands", "expand_margin_shorthand"):
         assert "REPARTITION_BY_NUM" in QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_read_once_for_both_sides(spark, sf_dir):
+    plan = matched(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_partkey") and sum("Relation" in line and "l_partkey" in line for line in plan.splitlines()) == 1
