@@ -13,11 +13,12 @@ Defined results
 * null ids: they take part, and a component of null ids only has a null id;
 * an empty table gives an empty result; other columns are not looked at.
 
-The stage that drops near-duplicates asks for a Jaccard similarity of the shingle sets. At 0.8 fingerprints differ by about
-10 bits and at times by 20, which no choice of blocks covers at a bearable number of keys: there, documents meet that agree
-on all BAND_ROWS MinHashes of one of BANDS bands (pairs at 0.8 with probability 0.998, at 0.85 and more above 0.9998).
-Pairs that meet are discarded by the same pivot tables at WIDE_RADIUS bits (a pair at 0.8 exceeds that with probability
-1e-6), and only survivors whose similarity, computed from their shingle sets, reaches the threshold become links.
+The stage that drops near-duplicates asks for a Jaccard similarity of the shingle sets. At 0.8 fingerprints of 64 bits differ
+by about 10 and at times by 20, which no choice of blocks covers at a bearable number of keys. It goes the same way with
+fingerprints of WIDE bits, of which a pair at 0.8 differs in 15 % (unlike sets in half): those meet that agree on all bits of one
+of many drawn choices (as many as let a pair at 0.8 meet with probability 0.998 or more), the pivot tables and the XOR of their
+first NEAR bits discard pairs at more than WIDE_RADIUS (4 standard deviations above the mean at 0.8), and what is left makes
+components. Within each of them the shingle sets are compared, and only a similarity of the threshold or more is a link.
 """
 
 from __future__ import annotations
@@ -43,14 +44,15 @@ BUCKET_ROWS = 1024
 HUB_EDGES, HUBS = 200, 10_000
 #: Shingles whose bits are counted at once.
 SLAB = 1 << 16
-#: MinHash bands, and hashes in each.
-BANDS, BAND_ROWS = 16, 5
-#: Differing bits up to which a pair that met in a band is compared by its shingle sets.
-WIDE_RADIUS = 24
-#: Shingles that are hashed anew for all MinHashes at once, and shingles that one comparison takes from a bucket.
-MIN_SLAB, BLOCK_SHINGLES = 1 << 11, 1 << 21
-_DRAWN = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
-_TURN, _FACTOR = _DRAWN[0], _DRAWN[1] | np.uint64(1)
+#: Bits of a wide fingerprint, those of them that are carried to where pairs meet, and differing ones of these up to which a pair stays.
+WIDE, NEAR, WIDE_RADIUS = 512, 128, 37
+#: Bits of a drawn choice at least, wide fingerprints that a bucket is expected to hold at most, and share of bits on which sets of similarity 0.8 agree.
+CHOICE, CHOICE_ROWS, AGREE = 12, 256, 0.848
+#: Expected number of choices under which a pair at 0.8 meets.
+MEETINGS = 7.8
+#: Shingles whose bits are counted at once in wide fingerprints, and shingles that one comparison takes from a component.
+WIDE_SLAB, BLOCK_SHINGLES = 1 << 12, 1 << 21
+_TURN, _FACTOR = np.random.default_rng(11).integers(0, 1 << 64, (2, WIDE // 64), dtype=np.uint64) | np.uint64(1)
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -114,7 +116,8 @@ def near_pairs(a: np.ndarray, b: np.ndarray, fps: np.ndarray, table: np.ndarray,
             break
         keep = np.abs(column[a] - column[b]) <= radius
         a, b = a[keep], b[keep]
-    keep = np.bitwise_count(fps[a] ^ fps[b]) <= radius
+    apart = np.bitwise_count(fps[a] ^ fps[b])
+    keep = (apart.sum(axis=1) if apart.ndim > 1 else apart) <= radius  # wide fingerprints have several words
     return a[keep], b[keep]
 
 
@@ -144,30 +147,35 @@ def linked_in_buckets(keys: np.ndarray, fps: np.ndarray, table: np.ndarray, radi
 
 
 def _table(distances: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(distances), dtype=np.int8).reshape(-1, N_PIVOTS)
+    return np.frombuffer(b"".join(distances), dtype=np.uint8).reshape(-1, N_PIVOTS).astype(np.int16)
 
 
-def _links(radius: int):
-    """Links within buckets as edges from each fingerprint to its first; rows come sorted by bucket and distances."""
+def _links(radius: int, wide: bool = False):
+    """Links within buckets as edges from each fingerprint (wide ones: node) to its first; rows come sorted by bucket and distances."""
+
+    def bits(batch: pd.DataFrame) -> np.ndarray:
+        return np.frombuffer(b"".join(batch["fp"]), "<u8").reshape(-1, NEAR // 64) if wide else batch["fp"].to_numpy(np.int64).view(np.uint64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, fps, table = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, N_PIVOTS), np.int8)
+        keys, nodes, table = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, N_PIVOTS), np.int16)
+        fps = np.zeros((0, NEAR // 64) if wide else 0, np.uint64)
 
-        def edges(keys: np.ndarray, fps: np.ndarray, table: np.ndarray) -> pd.DataFrame:
+        def edges(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, table: np.ndarray) -> pd.DataFrame:
             label = linked_in_buckets(keys, fps, table, radius)
             moved = label != np.arange(len(label))
-            return pd.DataFrame({"u": fps[moved].view(np.int64), "v": fps[label[moved]].view(np.int64)})
+            return pd.DataFrame({"u": nodes[moved], "v": nodes[label[moved]]}).drop_duplicates()
 
         for batch in batches:
             keys = np.concatenate([keys, batch["bucket"].to_numpy(np.int64)])
-            fps = np.concatenate([fps, batch["fp"].to_numpy(np.int64).view(np.uint64)])
+            nodes = np.concatenate([nodes, batch["node" if wide else "fp"].to_numpy(np.int64)])
+            fps = np.concatenate([fps, bits(batch)])
             table = np.concatenate([table, _table(batch["distances"])])
             other = np.flatnonzero(keys != keys[-1]) if len(keys) else []
             whole = int(other[-1]) + 1 if len(other) else 0  # the last bucket may go on in the next batch
             if whole:
-                yield edges(keys[:whole], fps[:whole], table[:whole])
-                keys, fps, table = keys[whole:], fps[whole:], table[whole:]
-        yield edges(keys, fps, table)
+                yield edges(keys[:whole], nodes[:whole], fps[:whole], table[:whole])
+                keys, nodes, fps, table = keys[whole:], nodes[whole:], fps[whole:], table[whole:]
+        yield edges(keys, nodes, fps, table)
 
     return run
 
@@ -184,11 +192,17 @@ def links(distinct: DataFrame, radius: int, blocks: int, block_rows: int = BLOCK
     """
     masks = block_masks(radius, blocks)
     spread = distinct.select("fp", "distances", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks]))).select("fp", "distances", F.xxhash64("pos", "col").alias("bucket"))
+    return _dealt(spread, "fp", block_rows).mapInPandas(_links(radius), "u long, v long")
+
+
+def _dealt(spread: DataFrame, by: str, block_rows: int) -> DataFrame:
+    """spread (bucket, distances and more) lying by bucket and distances, with buckets of more than block_rows dealt to pairs of blocks."""
+    others = [c for c in spread.columns if c != "bucket"]
     heavy = stash(spread.groupBy("bucket").count().filter(F.col("count") > block_rows).select("bucket", F.ceil(F.col("count") / (block_rows // 2)).cast("int").alias("n")), "heavy-buckets")
-    own = F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("n")).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(1), by), F.col("n")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda other: F.xxhash64("bucket", F.least(own, other), F.greatest(own, other)))
-    dealt = spread.join(heavy, "bucket", "left").select("fp", "distances", F.explode(F.when(F.col("n").isNull(), F.array("bucket")).otherwise(pairs)).alias("bucket"))
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "distances").mapInPandas(_links(radius), "u long, v long")
+    dealt = spread.join(heavy, "bucket", "left").select(*others, F.explode(F.when(F.col("n").isNull(), F.array("bucket")).otherwise(pairs)).alias("bucket"))
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "distances")
 
 
 def _with_least(edges: DataFrame, n_edges: int) -> DataFrame:
@@ -236,38 +250,64 @@ def shingle_set(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
     return np.unique(np.concatenate(slabs)) if slabs else np.zeros(0, dtype=np.uint64)
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One key for each band; an empty set has none."""
-    if not len(shingles):
-        return np.zeros(0, dtype=np.int64)
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for begin in range(0, len(shingles), MIN_SLAB):
-        np.minimum(least, ((shingles[None, begin : begin + MIN_SLAB] ^ _TURN) * _FACTOR).min(axis=1), out=least)
-    return np.array([xxhash.xxh64_intdigest(own.tobytes(), i) for i, own in enumerate(least.reshape(BANDS, BAND_ROWS))], dtype=np.uint64).view(np.int64)
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """WIDE majority bits, as words of 64, of hashes made from the XXH64 of a set's shingles; 0 of the empty set."""
+    total = np.zeros(WIDE, dtype=np.int64)
+    for begin in range(0, len(shingles), WIDE_SLAB):
+        h = (shingles[begin : begin + WIDE_SLAB, None] ^ _TURN) * _FACTOR
+        h = (h ^ (h >> np.uint64(32))) * _FACTOR
+        h ^= h >> np.uint64(29)
+        total += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * total > len(shingles), bitorder="little").view("<u8")
 
 
-def with_bands(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Id, text_hash, node (a hash of the shingle set, 0 of the empty one), n (its size), the fingerprint of the set, and bands."""
+def wide_distances(fps: np.ndarray) -> np.ndarray:
+    """Rows of the pivot table, of the first NEAR bits."""
+    refs = np.array(pivots(N_PIVOTS * NEAR // 64), dtype=np.int64).view(np.uint64).reshape(N_PIVOTS, -1)
+    return np.bitwise_count(fps[:, None, : NEAR // 64] ^ refs).sum(axis=2).astype(np.uint8)
 
-    @F.pandas_udf("node long, n int, fp long, bands array<long>")
+
+def with_wide(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """Id, text_hash, node (a hash of the shingle set, 0 of the empty one), n (its size), and the wide fingerprint with its distances."""
+
+    @F.pandas_udf("node long, n int, fp binary, distances binary")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            nodes, sizes, fps, bands = [], [], [], []
-            for t in texts:
-                own = shingle_set(t, shingle)
-                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 3) if len(own) else 0)
-                sizes.append(len(own))
-                fps.append(majority([own]))
-                bands.append(band_keys(own))
-            yield pd.DataFrame({"node": np.array(nodes, dtype=np.uint64).view(np.int64), "n": np.array(sizes, dtype=np.int32), "fp": np.array(fps, dtype=np.int64), "bands": bands})
+            sets = [shingle_set(t, shingle) for t in texts]
+            fps = np.array([wide_fingerprint(own) for own in sets], dtype=np.uint64).reshape(-1, WIDE // 64)
+            nodes = np.array([xxhash.xxh64_intdigest(own.tobytes(), 3) if len(own) else 0 for own in sets], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"node": nodes, "n": np.array([len(own) for own in sets], dtype=np.int32), "fp": [x.tobytes() for x in fps], "distances": [x.tobytes() for x in wide_distances(fps)]})
 
     return docs.select(F.col(id_col), F.xxhash64(text_col).alias("text_hash"), of(F.col(text_col)).alias("s")).select(id_col, "text_hash", "s.*")
 
 
-def similar_in_bucket(sets: list[np.ndarray], threshold: float, fps: np.ndarray, table: np.ndarray) -> np.ndarray:
+def choices_for(n: int) -> np.ndarray:
+    """Drawn choices of bits, one a row: more bits, and so more choices, for more fingerprints."""
+    bits = next(b for b in range(CHOICE, WIDE) if n / 2**b <= CHOICE_ROWS)
+    rng = np.random.default_rng(17)
+    return np.array([rng.choice(WIDE, bits, replace=False) for _ in range(int(np.ceil(MEETINGS / AGREE**bits)))])
+
+
+def wide_links(nodes: DataFrame, n: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Edges (u, v) between nodes (node, fp, distances; n rows) that join all pairs that meet under a choice of bits within WIDE_RADIUS."""
+    choices = choices_for(n)
+    value = 1 << np.arange(choices.shape[1], dtype=np.int64)
+
+    @F.pandas_udf("array<long>")
+    def buckets_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for fps in batches:
+            bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little")
+            keys = np.stack([bits[:, c] @ value for c in choices], axis=1) + (np.arange(len(choices), dtype=np.int64) << 48)
+            yield pd.Series(list(keys), dtype=object)
+
+    spread = nodes.select("node", F.substring("fp", 1, NEAR // 8).alias("fp"), "distances", F.explode(buckets_of("fp")).alias("bucket"))
+    return _dealt(spread, "node", block_rows).mapInPandas(_links(WIDE_RADIUS, wide=True), "u long, v long")
+
+
+def similar_in_bucket(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     """For each shingle set the number of the first one that links of the threshold or more reach.
 
-    Every pair is taken up; those that the pivot table or the bits part by more than WIDE_RADIUS go, the sets of the others are compared.
+    Every pair that is not linked yet is compared.
     """
     n, sizes = len(sets), np.array([len(x) for x in sets])
     ends, label = np.cumsum(sizes), np.arange(n)
@@ -276,8 +316,7 @@ def similar_in_bucket(sets: list[np.ndarray], threshold: float, fps: np.ndarray,
     owner, begins = np.repeat(label, sizes)[order], np.concatenate([[0], np.cumsum(np.bincount(code))])
     for i in range(n - 1):
         after = np.arange(i + 1, n)
-        close = near_pairs(np.full(n - i - 1, i), after, fps, table, WIDE_RADIUS)[1]
-        close = close[label[close] != label[i]]
+        close = after[label[after] != label[i]]
         if not len(close):
             continue
         shared = [owner[begins[c] : begins[c + 1]] for c in code[ends[i] - sizes[i] : ends[i]]]
@@ -292,21 +331,21 @@ def similar_in_bucket(sets: list[np.ndarray], threshold: float, fps: np.ndarray,
 def _similar(threshold: float):
     """Links within buckets as edges from each node to its first; rows come sorted by bucket."""
 
-    def edges(nodes: list[int], sets: list[np.ndarray], fps: list[int], distances: list[bytes]) -> pd.DataFrame:
+    def edges(nodes: list[int], sets: list[np.ndarray]) -> pd.DataFrame:
         if len(nodes) < 2:
             return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
-        label = similar_in_bucket(sets, threshold, np.array(fps, dtype=np.int64).view(np.uint64), _table(distances))
+        label = similar_in_bucket(sets, threshold)
         moved, own = label != np.arange(len(nodes)), np.array(nodes, dtype=np.int64)
         return pd.DataFrame({"u": own[moved], "v": own[label[moved]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held, done = None, ([], [], [], []), []
+        key, held, done = None, ([], []), []
         for batch in batches:
-            for bucket, node, own, fp, distances in zip(batch["bucket"], batch["node"], batch["shingles"], batch["fp"], batch["distances"], strict=True):
+            for bucket, node, own in zip(batch["bucket"], batch["node"], batch["shingles"], strict=True):
                 if bucket != key:
                     done.append(edges(*held))
-                    key, held = bucket, ([], [], [], [])
-                for column, value in zip(held, (node, np.array(own, dtype=np.int64), fp, distances), strict=True):
+                    key, held = bucket, ([], [])
+                for column, value in zip(held, (node, np.array(own, dtype=np.int64)), strict=True):
                     column.append(value)
             if done:
                 yield pd.concat(done)
@@ -319,8 +358,8 @@ def _similar(threshold: float):
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per input row: id, text_hash and root, the component's own node; links are pairs of the threshold or more.
 
-    All pairs of a bucket are compared by their shingle sets. A bucket of many documents or shingles is dealt out to all
-    pairs of its blocks, so that no task holds it whole.
+    Components of near wide fingerprints come first; within one all pairs are compared by their shingle sets. One of many
+    documents or shingles is dealt out to all pairs of its blocks, so that no task holds it whole.
     """
 
     @F.pandas_udf("array<long>")
@@ -328,14 +367,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for texts in batches:
             yield pd.Series([shingle_set(t, shingle).view(np.int64) for t in texts], dtype=object)
 
-    rows = stash(with_bands(docs, id_col, text_col, shingle), "bands")
-    nodes = stash(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min("text_hash").alias("text_hash")), "distinct-sets")
-    spread = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    buckets = spread.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("size")).filter("members > 1")
-    met = stash(spread.join(buckets, "bucket").select("bucket", "node", "members", "size"), "bucket-members")
-    wanted = met.select("node").distinct().join(nodes.select("node", "fp", "text_hash"), "node")
-    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).join(wanted, "text_hash")
-    sets = stash(texts.groupBy("node", "fp").agg(F.first("text").alias("text")).select("node", "fp", pivot_distances(F.col("fp")).alias("distances"), set_of("text").alias("shingles")), "candidate-sets")
+    rows = stash(with_wide(docs, id_col, text_col, shingle), "wide-fingerprints")
+    nodes = stash(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("distances").alias("distances"), F.min("text_hash").alias("text_hash")), "distinct-sets")
+    near = components(wide_links(nodes.filter("n > 0").select("node", "fp", "distances"), nodes.count(), block_rows)).withColumnRenamed("root", "bucket")
+    near = stash(near.unionByName(near.select(F.col("bucket").alias("node"), "bucket").distinct()).join(nodes.select("node", "n", "text_hash"), "node"), "near-sets")
+    buckets = near.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("size"))
+    met = near.join(buckets, "bucket").select("bucket", "node", "members", "size")
+    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).join(near.select("node", "text_hash"), "text_hash")
+    sets = stash(texts.groupBy("node").agg(F.first("text").alias("text")).select("node", set_of("text").alias("shingles")), "candidate-sets")
 
     n_blocks = F.least("members", F.ceil(F.greatest(2 * F.col("members") / block_rows, 2 * F.col("size") / BLOCK_SHINGLES))).cast("int")
     own = F.pmod(F.xxhash64(F.lit(1), "node"), n_blocks).cast("int")
