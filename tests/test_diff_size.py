@@ -31,3 +31,23 @@ def test_parts_are_dealt_over_all_cores(spark, sf_dir):
 def test_lines_are_read_once_for_both_sides(spark, sf_dir):
     plan = matched(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_partkey") and sum("Relation" in line and "l_partkey" in line for line in plan.splitlines()) == 1
+
+
+def test_changes_are_worked_out_once_and_counted_without_sorting(spark, sf_dir):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = diffing.by_match(diffing.diff(matched(spark, sf_dir).drop("tagName", "elementId", "className")))._jdf.queryExecution()
+        assert plan.optimizedPlan().toString().count("array_union") == 2  # styles and attributes, once each
+        assert plan.executedPlan().toString().count("SortAggregate") == 2  # of the lines
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_orders_are_not_joined_and_each_of_equal_ones_meets_each(spark, tmp_path):
+    spark.createDataFrame([(7,), (7,), (8,), (None,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_quantity double, l_extendedprice double"
+    spark.createDataFrame([], lines).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([], "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    met = matched(spark, str(tmp_path))
+    assert sorted(r.hpid for r in met.select("hpid").collect()) == ["1.8"] * 4 + ["1.9"]
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # of lines and parts
