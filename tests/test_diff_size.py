@@ -6,6 +6,7 @@ from sightline.functions import css
 from sightline.operators import diffing
 from sightline.plans.queries import QUERIES
 from sightline.plans.snapshots import matched
+from sightline.sources.reports import read_reports
 
 
 def test_whole_values_take_the_short_way_to_the_same_text(spark):
@@ -51,3 +52,10 @@ def test_orders_are_not_joined_and_each_of_equal_ones_meets_each(spark, tmp_path
     met = matched(spark, str(tmp_path))
     assert sorted(r.hpid for r in met.select("hpid").collect()) == ["1.8"] * 4 + ["1.9"]
     assert met._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # of lines and parts
+
+
+def test_json_reports_are_parsed_once(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": "a", "version": "3.0", "url": "http://a/", "timestamp": "2024-01-01T00:00:00Z", "totalElements": 1, "elements": [{"hpid": "1", "tagName": "p"}]}')
+    found = read_reports(spark, str(tmp_path), fmt="json")
+    assert "binaryFile" not in found.elements._jdf.queryExecution().optimizedPlan().toString() + found.elements._jdf.queryExecution().executedPlan().toString()
+    assert [(r.report_id, r.hpid) for r in found.elements.collect()] == [("a", "1")]
