@@ -49,30 +49,42 @@ PREFIX = 6
 LANG_ROWS, THRESHOLDS = 30, (0.3, 0.7)
 #: Tokens convolved at once.
 SLAB = 40_000
-#: Words remembered by a worker.
-CACHE = 500_000
+#: Runs of words remembered by a worker, and the characters of the longest.
+CACHE, RUN = 500_000, 40
+#: Rows of the table that a step of Adam takes at once.
+ROWS = 4096
 
 _WORD = re.compile(r"\w+")
 _PAD = max(WIDTHS) - 1
 
 
 class Hasher:
-    """Words to two buckets each, of the word and of its first PREFIX letters; bucket 0 is padding."""
+    """Words to two buckets each, of the word and of its first PREFIX letters; bucket 0 is padding.
+
+    Texts are cut at white space, which no word holds; what lies between is looked up with all of its words.
+    """
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known = _Known()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        out = []
-        for w in _WORD.findall((text or "").lower()):
-            b = known.get(w)
-            if b is None:
-                b = known[w] = (_bucket(w), _bucket(w[:PREFIX] + "~"))
-            out.append(b)
-        return np.array(out + [(0, 0)] * _PAD, dtype=np.int32)
+        return np.frombuffer(self.packed(text), "<u2").reshape(-1, 2)
+
+    def packed(self, text: str | None) -> bytes:
+        """The buckets as bytes, two for each."""
+        if len(self.known) > CACHE:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, (text or "").lower().split())) + bytes(4 * _PAD)
+
+
+class _Known(dict):
+    """The buckets of the words of a text without white space; only short ones are remembered."""
+
+    def __missing__(self, run: str) -> bytes:
+        out = b"".join((_bucket(w) | _bucket(w[:PREFIX] + "~") << 16).to_bytes(4, "little") for w in _WORD.findall(run))
+        if len(run) <= RUN:
+            self[run] = out
+        return out
 
 
 def _bucket(key: str) -> int:
@@ -118,9 +130,9 @@ class Network:
             grad = self._gradient([np.where(rng.random((len(texts[i]), 1)) < HIDDEN, 0, texts[i]) for i in own], toxic[own])
             grad["emb"] *= known
             for k, g in grad.items():
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.01 * (g * g - second[k])
-                p[k] -= (EMBED_RATE if k == "emb" else RATE) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
+                for begin in range(0, len(g), ROWS):
+                    own = slice(begin, begin + ROWS)
+                    _adam(p[k][own], g[own], first[k][own], second[k][own], step, EMBED_RATE if k == "emb" else RATE)
 
     def _peaks(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Maxima over one text and their places, a slab at a time; a maximum is rectified, not each output."""
@@ -171,6 +183,24 @@ class Network:
         return grad
 
 
+def _adam(x: np.ndarray, g: np.ndarray, first: np.ndarray, second: np.ndarray, step: int, rate: float) -> None:
+    """Moves x, first and second in place; g is used up."""
+    t = g - first
+    t *= 0.1
+    first += t
+    np.multiply(g, g, out=t)
+    t -= second
+    t *= 0.01
+    second += t
+    np.divide(second, 1 - 0.99**step, out=t)
+    np.sqrt(t, out=t)
+    t += 1e-6
+    np.divide(first, 1 - 0.9**step, out=g)
+    g *= rate
+    g /= t
+    x -= g
+
+
 def fold(id_col: str) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(5)).cast("int")
 
@@ -194,7 +224,7 @@ def hashed_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hasher = Hasher()
         for texts in batches:
-            yield pd.Series([hasher(t).astype("<u2").tobytes() for t in texts], dtype=object)
+            yield pd.Series([hasher.packed(t) for t in texts], dtype=object)
 
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & (fold("__id") != 0)).groupBy("__id").agg(F.max("toxic").alias("toxic"))
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
