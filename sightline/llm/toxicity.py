@@ -362,16 +362,17 @@ def fitted(rows: DataFrame) -> tuple[Network, dict[str, float]]:
         share = (bad + 0.1) / (n + 1)
         network.p["c"][0] = np.log(share / (1 - share)) if n else -2.0
         return network, {}
-    counts = rows.filter(learn).select("toxic", "ids").mapInPandas(_seen, "bucket int, seen long, bad long").groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).toPandas()
-    seen, of_bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    seen[counts["bucket"]], of_bad[counts["bucket"]] = counts["seen"], counts["bad"]
+    counts = rows.filter(learn).select("toxic", "ids").mapInPandas(_seen, "bucket int, seen long, bad long").groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).toArrow()  # columns: as rows, they would take many times the memory
+    seen, of_bad, at = np.zeros(BUCKETS), np.zeros(BUCKETS), counts["bucket"].to_numpy()
+    seen[at], of_bad[at] = counts["seen"].to_numpy(), counts["bad"].to_numpy()
     known = network.begin(seen, of_bad, bad_learn / n_learn)
     least, best = np.inf, network.p
     for epoch in range(EPOCHS + 1):
         shared = context.broadcast((network.p, known))
-        found = rows.mapInPandas(_pass(shared, epoch, epoch < EPOCHS), _CHANGES).groupBy("key").agg(F.sum("n").alias("n"), *[F.sum(v).alias(v) for v in _VALUES]).toPandas()
+        found = rows.mapInPandas(_pass(shared, epoch, epoch < EPOCHS), _CHANGES).groupBy("key").agg(F.sum("n").alias("n"), *[F.sum(v).alias(v) for v in _VALUES]).toArrow()
         shared.destroy()
-        keys, mean = found["key"].to_numpy(), found[_VALUES].to_numpy(np.float64) / found[["n"]].to_numpy() * UNIT
+        keys, n_rows = found["key"].to_numpy(), found["n"].to_numpy()
+        mean = np.stack([found[v].to_numpy() / n_rows for v in _VALUES], axis=1) * UNIT
         loss = float(mean[keys == _LOSS, 0][0]) if (keys == _LOSS).any() else -float(epoch)
         if epoch and loss < least:
             least, best = loss, network.p
