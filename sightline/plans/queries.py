@@ -472,7 +472,7 @@ def section_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def selector_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A CSS selector for every element of every page."""
-    return selectors.generate(html.elements(table(spark, sf_dir, "pages"), texts=True), "css")
+    return selectors.generate(html.elements(table(spark, sf_dir, "pages"), trees=True), "css")
 
 
 @query

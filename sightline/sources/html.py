@@ -7,7 +7,7 @@ from collections.abc import Iterator, Mapping
 from functools import reduce
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +15,7 @@ from .. import config as C
 from ..functions import hpid as H
 from ..functions import text as T
 from ..functions import url
+from ..shared import written
 
 ELEMENTS = "idx int, hpid string, parent string, dom_path string, depth int, tagName string, elementId string, className string, role string, attributes map<string,string>, textContent string"
 
@@ -30,6 +31,8 @@ _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "
 MAX_DEPTH = 5000
 #: Characters of an element's own text that are kept.
 MAX_TEXT = 500
+#: Characters of pages whose elements a task hands on at once.
+BATCH_CHARS = 1_000_000
 # Where a page's header and footer lie, as shares of its height and of the viewport's.
 HEADER_SHARE, HEADER_VIEWPORTS, FOOTER_SHARE, FOOTER_VIEWPORTS = 0.20, 1.5, 0.15, 1.0
 
@@ -137,7 +140,11 @@ def _own_text(texts: list[str]) -> str | None:
 _XML_SPACE, _XML_WORD = re.compile(r"[ \t\r\n]+"), re.compile(r"[^ \t\r\n]+")
 #: Longest text of a subtree, or of a single text node, that selectors ask for.
 SHORT_TEXT = 200
-TEXTS = "last int, tree string, texts array<string>, subtree string, words array<struct<pos:int,word:string,owners:array<struct<at:int,hpid:string>>>>"
+TREES = "last int, tree string"
+TEXTS = "texts array<string>, subtree string, words array<struct<pos:int,word:string,owners:array<struct<at:int,hpid:string>>>>"
+
+_WORDS = pa.list_(pa.struct([("pos", pa.int32()), ("word", pa.string()), ("owners", pa.list_(pa.struct([("at", pa.int32()), ("hpid", pa.string())])))]))
+_ARROW = {k: pa.int32() for k in ("idx", "depth", "last")} | {k: pa.string() for k in "hpid parent dom_path tagName elementId className role textContent tree subtree".split()} | {"attributes": pa.map_(pa.string(), pa.string()), "texts": pa.list_(pa.string()), "words": _WORDS}
 
 
 def _texts(walker: _Walker) -> None:
@@ -167,27 +174,41 @@ def _texts(walker: _Walker) -> None:
             row["subtree"] = text if len(text) <= SHORT_TEXT else None
 
 
-def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", texts: bool = False) -> DataFrame:
+def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", texts: bool = False, trees: bool = False) -> DataFrame:
     """One row per relevant element of each page, in document order; null and empty pages have none.
 
-    With texts also what selectors ask for: the last element below, the tree (empty, or the path of a shadow root), and texts (see _texts).
+    With trees also the last element below and the tree (empty, or the path of a shadow root), which CSS selectors ask for;
+    with texts these and what path expressions ask for (see _texts).
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["page_id", *(f.split()[0] for f in fields.split(", "))]
+    fields = f"{ELEMENTS}, {TREES}, {TEXTS}" if texts else f"{ELEMENTS}, {TREES}" if trees else ELEMENTS
+    types = [_ARROW[f.split()[0]] for f in re.split(r", (?=\w+ )", fields)]
+
+    def made(ids: pa.Array, places: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(types)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(places, pa.int64())), *[pa.array(list(x), t) for x, t in zip(columns, types, strict=True)]], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page, text in zip(batch["page_id"], batch["html"], strict=True):
+            ids, places, rows, chars = batch.column("page_id"), [], [], 0
+            for k, page in enumerate(batch.column("html")):
+                text = page.as_py() or ""
                 walker = _Walker()
-                walker.feed(text or "")
+                walker.feed(text)
                 walker.close()
                 if texts:
                     _texts(walker)
-                more = lambda r: (r["last"], r["tree"], r.get("nodes", []), r.get("subtree"), r.get("words", [])) if texts else ()
-                rows = [(page, r["idx"], r["hpid"], r["parent"], r["dom_path"], r["depth"], r["tagName"], r["attributes"].get("id"), r["attributes"].get("class"), r["attributes"].get("role"), r["attributes"], _own_text(r["texts"]), *more(r)) for r in walker.rows]
-                yield pd.DataFrame(rows, columns=names)
+                more = (lambda r: (r["last"], r["tree"], r.get("nodes", []), r.get("subtree"), r.get("words", []))) if texts else (lambda r: (r["last"], r["tree"])) if trees else (lambda r: ())
+                rows += [(r["idx"], r["hpid"], r["parent"], r["dom_path"], r["depth"], r["tagName"], r["attributes"].get("id"), r["attributes"].get("class"), r["attributes"].get("role"), list(r["attributes"].items()), _own_text(r["texts"]), *more(r)) for r in walker.rows]
+                places += [k] * len(walker.rows)
+                chars += len(text)
+                if chars > BATCH_CHARS:
+                    yield made(ids, places, rows)
+                    places, rows, chars = [], [], 0
+            yield made(ids, places, rows)
 
-    fields = f"{ELEMENTS}, {TEXTS}" if texts else ELEMENTS
-    return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInPandas(run, f"page_id {dict(pages.dtypes)[id_col]}, {fields}")
+    names = ["page_id", *(f.split()[0] for f in re.split(r", (?=\w+ )", fields))]
+    return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInArrow(run, f"page_id {dict(pages.dtypes)[id_col]}, {fields}")
 
 
 def with_frames(pages: DataFrame, frames: DataFrame) -> DataFrame:
@@ -322,12 +343,12 @@ def child_tags(rows: DataFrame, most: int = 10) -> DataFrame:
 def neighbours(rows: DataFrame) -> DataFrame:
     """Each element's parent, siblings and children: parent, previousSibling, nextSibling (as labels), childrenCount, childrenTypes."""
     ref = T.element_ref(F.col("tagName"), F.col("elementId"), F.col("className"))
-    named = rows.select("page_id", "idx", "hpid", "parent", ref.alias("ref"))
+    named = written(rows.select("page_id", "idx", "hpid", "parent", "tagName", ref.alias("ref")), "named")  # pages are parsed once
     beside = Window.partitionBy("page_id", "parent").orderBy("idx")
     found = named.withColumns({"previousSibling": F.lag("ref").over(beside), "nextSibling": F.lead("ref").over(beside)})
     up = named.select("page_id", F.col("hpid").alias("parent"), F.col("ref").alias("parent_ref"))
-    counts = rows.filter("parent is not null").groupBy("page_id", F.col("parent").alias("hpid")).agg(F.count("*").alias("childrenCount"))
-    met = found.join(up, ["page_id", "parent"], "left").join(counts, ["page_id", "hpid"], "left").join(child_tags(rows), ["page_id", "hpid"], "left")
+    counts = named.filter("parent is not null").groupBy("page_id", F.col("parent").alias("hpid")).agg(F.count("*").alias("childrenCount"))
+    met = found.join(up, ["page_id", "parent"], "left").join(counts, ["page_id", "hpid"], "left").join(child_tags(named), ["page_id", "hpid"], "left")
     return met.select("page_id", "idx", "hpid", F.col("parent_ref").alias("parent"), "previousSibling", "nextSibling", F.coalesce("childrenCount", F.lit(0)).alias("childrenCount"), F.split(F.col("children"), ", ").alias("childrenTypes"))
 
 
