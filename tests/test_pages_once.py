@@ -19,3 +19,9 @@ def test_batches_of_pages_do_not_change_elements(spark, monkeypatch):
     assert whole[False][0].attributes == {"id": "a", "class": "x y"} and whole[False][3].attributes == {"title": "é"}
     texts = html.elements(pages, texts=True).collect()
     assert [r[: len(whole[True][0])] for r in texts] == [tuple(r) for r in whole[True]] and texts[1].words[0].owners[0].hpid == "1.1"
+
+
+def test_css_selectors_ask_for_no_texts(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr("sightline.operators.selectors.generate", lambda rows, kind: rows)
+    assert {"texts", "subtree", "words"}.isdisjoint(QUERIES["selector_unique"](spark, sf_dir).columns)
+    assert {"texts", "subtree", "words"} <= set(QUERIES["selector_xpath"](spark, sf_dir).columns)
