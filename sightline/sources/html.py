@@ -334,21 +334,29 @@ def with_class_occurrence(rows: DataFrame, owner: str = "page_id") -> DataFrame:
 
 def child_tags(rows: DataFrame, most: int = 10) -> DataFrame:
     """The tags of each element's children in the order in which they first occur, with their number where it is above 1."""
+    return _children(rows, most).select("page_id", "hpid", "children")
+
+
+def _children(rows: DataFrame, most: int = 10) -> DataFrame:
+    """page_id, hpid, children (see child_tags) and childrenCount of each element that has any."""
     counts = rows.filter("parent is not null").groupBy("page_id", "parent", "tagName").agg(F.count("*").alias("n"), F.min("idx").alias("first"))
     named = F.concat("tagName", F.when(F.col("n") > 1, F.concat(F.lit("("), F.col("n").cast("string"), F.lit(")"))).otherwise(""))
     parts = F.array_sort(F.collect_list(F.struct("first", named.alias("t"))))  # a row per tag name
-    return counts.groupBy("page_id", F.col("parent").alias("hpid")).agg(F.array_join(F.transform(F.slice(parts, 1, most), lambda x: x["t"]), ", ").alias("children"))
+    return counts.groupBy("page_id", F.col("parent").alias("hpid")).agg(F.array_join(F.transform(F.slice(parts, 1, most), lambda x: x["t"]), ", ").alias("children"), F.sum("n").alias("childrenCount"))
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """Each element's parent, siblings and children: parent, previousSibling, nextSibling (as labels), childrenCount, childrenTypes."""
+    """Each element's parent, siblings and children: parent, previousSibling, nextSibling (as labels), childrenCount, childrenTypes.
+
+    Joins are told not to broadcast: columns of elements are so alike that Spark takes the written file, a hundredth of the rows
+    in memory, for a small table and would gather it at the driver.
+    """
     ref = T.element_ref(F.col("tagName"), F.col("elementId"), F.col("className"))
     named = written(rows.select("page_id", "idx", "hpid", "parent", "tagName", ref.alias("ref")), "named")  # pages are parsed once
     beside = Window.partitionBy("page_id", "parent").orderBy("idx")
-    found = named.withColumns({"previousSibling": F.lag("ref").over(beside), "nextSibling": F.lead("ref").over(beside)})
+    found = named.withColumns({"previousSibling": F.lag("ref").over(beside), "nextSibling": F.lead("ref").over(beside)}).drop("tagName", "ref")
     up = named.select("page_id", F.col("hpid").alias("parent"), F.col("ref").alias("parent_ref"))
-    counts = named.filter("parent is not null").groupBy("page_id", F.col("parent").alias("hpid")).agg(F.count("*").alias("childrenCount"))
-    met = found.join(up, ["page_id", "parent"], "left").join(counts, ["page_id", "hpid"], "left").join(child_tags(named), ["page_id", "hpid"], "left")
+    met = found.join(up.hint("merge"), ["page_id", "parent"], "left").join(_children(named).hint("merge"), ["page_id", "hpid"], "left")
     return met.select("page_id", "idx", "hpid", F.col("parent_ref").alias("parent"), "previousSibling", "nextSibling", F.coalesce("childrenCount", F.lit(0)).alias("childrenCount"), F.split(F.col("children"), ", ").alias("childrenTypes"))
 
 

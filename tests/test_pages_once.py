@@ -25,3 +25,10 @@ def test_css_selectors_ask_for_no_texts(spark, sf_dir, monkeypatch):
     monkeypatch.setattr("sightline.operators.selectors.generate", lambda rows, kind: rows)
     assert {"texts", "subtree", "words"}.isdisjoint(QUERIES["selector_unique"](spark, sf_dir).columns)
     assert {"texts", "subtree", "words"} <= set(QUERIES["selector_xpath"](spark, sf_dir).columns)
+
+
+def test_neighbours_are_not_gathered_at_the_driver(spark, sf_dir):
+    found = QUERIES["element_neighbours"](spark, sf_dir)
+    found.collect()  # adaptive plans count too
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 2
