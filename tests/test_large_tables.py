@@ -5,8 +5,11 @@ import time
 
 from pyspark.sql import functions as F
 
+from sightline import compare
+from sightline import config as C
 from sightline.plans.queries import QUERIES
-from sightline.shared import CLEANUP, written
+from sightline.plans.snapshots import base, edited
+from sightline.shared import CLEANUP, passing, shared_dir, written
 
 
 def executed(frame):
@@ -32,3 +35,26 @@ def test_written_tables_leave_no_shuffle_files(spark):
     while (left := shuffle_files(spark) - before) and time.time() < end:  # executors are told, not asked
         time.sleep(0.1)
     assert not left and spark.conf.get(CLEANUP, None) is None
+
+
+def tables(spark):
+    at = shared_dir(spark).removeprefix("file:")
+    return set(os.listdir(at)) if os.path.isdir(at) else set()
+
+
+def test_a_steps_tables_go_with_it_but_for_kept_ones(spark):
+    before = tables(spark)
+    with passing():
+        with passing():
+            first, second = written(spark.range(3), "first"), written(spark.range(4), "second", kept=True)
+            assert (first.count(), second.count()) == (3, 4)
+        assert {n.partition("-")[0] for n in tables(spark) - before} == {"second"} and second.count() == 4
+        third = written(second, "third", kept=True)
+    assert {n.partition("-")[0] for n in tables(spark) - before} == {"third"} and third.count() == 4
+
+
+def test_a_comparison_leaves_only_what_it_returns(spark, sf_dir):
+    before = tables(spark)
+    done = compare.compare(base(spark, sf_dir).filter("pair_id < 2"), edited(spark, sf_dir).filter("pair_id < 2"), options=C.MatchOptions(alignment=False))
+    assert sorted(n.partition("-")[0] for n in tables(spark) - before) == ["alone"] * 3 + ["diffs", "pairs"]
+    assert done.matches.count() and done.summary().count() == done.matching().count() == 2
