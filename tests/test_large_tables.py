@@ -1,5 +1,6 @@
 """What larger tables would fill: the driver's memory by broadcasts, disks by files that nobody reads any more."""
 
+import gzip
 import os
 import time
 
@@ -10,6 +11,8 @@ from sightline import config as C
 from sightline.plans.queries import QUERIES
 from sightline.plans.snapshots import base, edited
 from sightline.shared import CLEANUP, passing, shared_dir, written
+from sightline.sinks.reports import export_reports
+from sightline.sources.reports import read_reports
 
 
 def executed(frame):
@@ -58,3 +61,23 @@ def test_a_comparison_leaves_only_what_it_returns(spark, sf_dir):
     done = compare.compare(base(spark, sf_dir).filter("pair_id < 2"), edited(spark, sf_dir).filter("pair_id < 2"), options=C.MatchOptions(alignment=False))
     assert sorted(n.partition("-")[0] for n in tables(spark) - before) == ["alone"] * 3 + ["diffs", "pairs"]
     assert done.matches.count() and done.summary().count() == done.matching().count() == 2
+
+
+def test_packed_reports_are_read_like_plain_ones(spark, tmp_path, monkeypatch):
+    names = [f"r {k}" for k in range(3)]
+    told = spark.createDataFrame([(n, "3.0", "http://a/", "2024-01-01T00:00:00Z", 1) for n in names], "id string, version string, url string, timestamp string, totalElements long")
+    elements = spark.createDataFrame([(n, 0, "1", "p", "é\n" * 900) for n in names], "report_id string, idx long, hpid string, tagName string, textContent string")
+    for packed in (False, True):
+        export_reports(told, elements, "json", f"{tmp_path}/{packed}", packed=packed)
+    held = {p: [f for f in (tmp_path / str(p)).rglob("part-*")] for p in (False, True)}
+    assert sum(f.stat().st_size for f in held[True]) * 3 < sum(f.stat().st_size for f in held[False])
+    rows = {p: sorted(map(tuple, read_reports(spark, f"{tmp_path}/{p}", fmt="json").elements.select("report_id", "idx", "hpid", "tagName", "textContent").collect())) for p in (False, True)}
+    assert rows[True] == rows[False] == [(n, 0, "1", "p", "é\n" * 900) for n in names]
+    mixed = [tmp_path / name for name in ("a.json", "b.json.gz", "c.csv.gz", "d.json.gz", "e.json.gz")]
+    content = '{"id": "%s", "version": "3.0", "url": "http://a/", "timestamp": "2024-01-01T00:00:00Z", "totalElements": 0, "title": "%s", "elements": []}'
+    for path, data in zip(mixed, ((content % ("a", "")).encode(), gzip.compress((content % ("b", "")).encode()), gzip.compress(b"x"), gzip.compress(b"none"), gzip.compress((content % ("e", "x" * 9000)).encode())), strict=True):
+        path.write_bytes(data)
+    monkeypatch.setattr("sightline.sources.reports.MAX_BYTES", 5000)
+    found = read_reports(spark, [str(p) for p in mixed])
+    assert sorted(r.id for r in found.reports.collect()) == ["a", "b"]
+    assert {r.path.rsplit("/", 1)[1]: r.error for r in found.refused.collect()} == {"c.csv.gz": "Unsupported format: use JSON, CSV, or Excel", "d.json.gz": "File could not be parsed", "e.json.gz": "File too large: 50 MB at most"}
